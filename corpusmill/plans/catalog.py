@@ -103,30 +103,49 @@ def _page_ids(documents: DataFrame, translations: DataFrame, limit: int, offset:
     return page(heads, [F.desc("undated"), F.desc("newest"), F.asc("votation_id")], limit, offset).select("votation_id")
 
 
+def newest_first() -> list[Column]:
+    """Ascending sort keys for: undated rows, then newest, then language, id."""
+    return [F.col("vote_date").isNotNull(), -F.unix_micros("vote_date"), F.col("lang"), F.col("id")]
+
+
+def preferring(lang: str) -> list[Column]:
+    return [F.col("lang") != lang, F.col("lang"), F.col("id")]
+
+
 def summarise_rows(rows: DataFrame, first_order: Sequence[Column], as_of: Column) -> DataFrame:
     """One row per votation: scalars of its first row and its language maps.
 
-    Titles are reduced per (votation, language) first, so the maps only ever
-    collect one entry per language.
+    Everything is reduced per (votation, language) with partial aggregates,
+    so the rows are read once, a huge votation is spread over all tasks, and
+    the maps only ever collect one entry per language.
     """
-    scalars = first_per_key(rows, ["votation_id"], first_order).select(
-        "votation_id",
-        dates.utc_text(F.coalesce("vote_date", as_of)).alias("date_iso"),
-        *_SCALARS,
-        F.col("lang").alias("first_lang"),
-    )
 
     def named(column: str) -> Column:
         return F.min_by(column, F.when((F.col(column) != "") & (F.col("lang") != ""), F.col("id"))).alias(column)
 
-    per_language = rows.groupBy("votation_id", "lang").agg(named("title"), named("display_title"))
+    key = F.struct(*[c.alias(f"k{n}") for n, c in enumerate(first_order)])
+    per_language = rows.groupBy("votation_id", "lang").agg(
+        named("title"),
+        named("display_title"),
+        F.min_by(F.struct("vote_date", *_SCALARS), key).alias("head"),
+        F.min(key).alias("key"),
+    )
 
     def as_map(column: str, alias: str) -> Column:
         entries = F.collect_list(F.when(F.col(column).isNotNull(), F.struct("lang", column)))
         return F.map_from_entries(F.array_sort(entries)).alias(alias)
 
-    maps = per_language.groupBy("votation_id").agg(as_map("title", "titles"), as_map("display_title", "display_titles"))
-    return scalars.join(maps, "votation_id")
+    whole = per_language.groupBy("votation_id").agg(
+        F.min_by("head", "key").alias("head"), as_map("title", "titles"), as_map("display_title", "display_titles")
+    )
+    return whole.select(
+        "votation_id",
+        dates.utc_text(F.coalesce("head.vote_date", as_of)).alias("date_iso"),
+        *[f"head.{name}" for name in _SCALARS],
+        "titles",
+        "display_titles",
+        F.col("head.vote_date").alias("vote_date"),
+    )
 
 
 def with_translation_state(items: DataFrame, requested: str, languages: LanguageSettings = LanguageSettings()) -> DataFrame:
@@ -164,7 +183,7 @@ def with_translation_state(items: DataFrame, requested: str, languages: Language
             "fallback_language": F.when(pending, F.col("__pick.lang")),
             "translation_message": F.when(pending, fv.TRANSLATION_PENDING_MESSAGE),
         }
-    ).drop("__ready", "__pick", "first_lang")
+    ).drop("__ready", "__pick")
 
 
 def _long(rows: DataFrame, column: str) -> DataFrame:
@@ -195,7 +214,6 @@ def list_votations(
     as_of = as_of if as_of is not None else dates.moment(None)
     limit, offset = wanted.paging()
     filtered = documents.filter(wanted.condition())
-    first = [F.desc_nulls_first("vote_date"), F.asc("lang"), F.asc("id")]
     if compat_row_paging:
         order = [F.desc_nulls_first("vote_date"), F.asc("votation_id"), F.asc("lang"), F.asc("id")]
         rows = page(_rows(filtered, translations), order, limit, offset)
@@ -203,8 +221,8 @@ def list_votations(
         ids_ = _page_ids(filtered, translations, limit, offset)
         # At most ``limit`` (100) ids: a bounded broadcast.
         rows = _rows(filtered.join(F.broadcast(ids_), "votation_id", "left_semi"), translations)
-    items, pending = _assemble(rows, first, wanted.lang, as_of, languages)
-    ordered = items.orderBy(F.desc("date_iso"), F.asc("votation_id"))
+    items, pending = _assemble(rows, newest_first(), wanted.lang, as_of, languages)
+    ordered = items.orderBy(F.desc_nulls_first("vote_date"), F.asc("votation_id"))
     return VotationPage(
         ordered, _long(rows, "object_id"), _long(rows, "source_uri"), pending, total_votations(documents, wanted), limit, offset
     )
@@ -228,7 +246,7 @@ def with_lists(found: VotationPage, max_per_votation: int = 10_000) -> DataFrame
     )
     empty = F.array().cast("array<string>")
     lists = {name: F.coalesce(F.col(name), empty) for name in ("object_ids", "source_urls")}
-    return joined.withColumns(lists).orderBy(F.desc("date_iso"), F.asc("votation_id"))
+    return joined.withColumns(lists).orderBy(F.desc_nulls_first("vote_date"), F.asc("votation_id"))
 
 
 def get_votation(
@@ -244,7 +262,7 @@ def get_votation(
     lang = lang or fv.DEFAULT_LANGUAGE
     chosen = documents.filter(F.col("votation_id") == votation_id)
     rows = _rows(chosen, translations)
-    items, pending = _assemble(rows, [F.desc(F.col("lang") == lang), F.asc("lang"), F.asc("id")], lang, as_of, languages)
+    items, pending = _assemble(rows, preferring(lang), lang, as_of, languages)
     total = chosen.agg(F.count_distinct("votation_id").alias("total"))
     return VotationPage(items, _long(rows, "object_id"), _long(rows, "source_uri"), pending, total, 1, 0)
 

@@ -460,8 +460,7 @@ def votation_detail(spark, sf):
     """Detail of every votation, German preferred."""
     docs, translations = _catalog(spark, sf)
     rows = catalog._rows(docs, translations)
-    order = [F.desc(F.col("lang") == "de"), F.asc("lang"), F.asc("id")]
-    items = catalog.with_translation_state(catalog.summarise_rows(rows, order, views.as_of()), "de")
+    items = catalog.with_translation_state(catalog.summarise_rows(rows, catalog.preferring("de"), views.as_of()), "de")
     return _flat_items(items)
 
 
