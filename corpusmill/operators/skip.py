@@ -126,6 +126,25 @@ def skip_decisions(
     )
 
 
-def to_process(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents that are not skipped."""
+def to_process(docs: DataFrame, decisions: DataFrame, mostly_skipped: bool = False) -> DataFrame:
+    """Documents that are not skipped.
+
+    The documents carry their text, so the id list joined to them should be
+    the shorter one: Spark then broadcasts it and the text stays in place.
+    """
+    if mostly_skipped:
+        return docs.join(decisions.filter("not skip").select("document_id"), "document_id", "left_semi")
     return docs.join(decisions.filter("skip").select("document_id"), "document_id", "left_anti")
+
+
+def drop_repeated(docs: DataFrame) -> DataFrame:
+    """The last path wins where two files give the same document and language.
+
+    The losing rows, normally none, are found on keys alone; the texts are not
+    shuffled for it.
+    """
+    keys = ["document_id", "lang"]
+    paths = docs.select(*keys, "source_path")
+    last = paths.groupBy(*keys).agg(F.max("source_path").alias("__last"))
+    losing = paths.join(last, keys).filter(F.col("source_path") < F.col("__last")).select(*keys, "source_path")
+    return docs.join(losing, [*keys, "source_path"], "left_anti")
