@@ -212,3 +212,116 @@ def usage_events(spark: SparkSession, sf: str) -> DataFrame:
 
     scoped = usage.apply_scope(usage_from(table(spark, sf, "events")), flow="rag_index")
     return usage.normalize_events(scoped, as_of()).filter("valid").drop("valid")
+
+
+# --- crawl payloads ----------------------------------------------------------
+
+
+def votings(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    key, empty = _text("o_orderkey"), F.lit("")
+    naive_day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return orders.select(
+        F.col("o_orderkey").alias("voting_id"),
+        F.col("o_orderkey").alias("position"),
+        naive_day.alias("date"),
+        F.create_map(F.lit("de"), F.concat(F.lit(" Abstimmung "), key), F.lit("en"), empty).alias("title"),
+        F.when(F.col("o_orderstatus") == "F", F.create_map(F.lit("fr"), F.concat(F.lit("Affaire "), key)))
+        .otherwise(F.create_map(F.lit("fr"), empty))
+        .alias("affair_title"),
+    )
+
+
+def affairs(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    low = F.col("o_orderpriority") == "5-LOW"
+    return orders.select(
+        F.col("o_orderkey").alias("voting_id"),
+        F.when(low, F.create_map(F.lit("it"), F.col("o_orderpriority"))).otherwise(F.create_map(F.lit("xx"), F.lit("?"))).alias("title"),
+        F.create_map(F.lit("rm"), F.when(F.col("o_orderstatus") == "O", "lung").otherwise(" ")).alias("title_long"),
+    ).withColumns({"type_name": F.col("title"), "state_name": F.col("title")})
+
+
+def contributors(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    role = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Motionnaire principal").otherwise("Membre")
+    return items.select(
+        F.col("l_orderkey").alias("voting_id"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("position"),
+        F.when(F.col("l_returnflag") == "A", " Person").otherwise("body").alias("type"),
+        F.lit("Anna").alias("firstname"),
+        F.concat(F.lit("Nr"), _text("l_suppkey")).alias("lastname"),
+        F.when(F.col("l_linenumber") < 4, F.concat(F.lit("Full "), _text("l_suppkey"))).otherwise("").alias("fullname"),
+        F.create_map(F.lit("fr"), role).alias("role"),
+        F.create_map(F.lit("fr"), F.lit(" ")).alias("role_harmonized"),
+        F.create_map(F.lit("zz"), F.lit("P2"), F.lit("aa"), F.lit("P1")).alias("party"),
+    )
+
+
+def vote_docs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents"))
+    return docs.select(F.col("source").alias("voting_id"), F.col("doc_id").alias("position"), "text", F.col("lang").alias("language"))
+
+
+def vote_texts(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark")
+    return items.select(
+        F.concat(F.lit("src"), _text("item_id")).alias("voting_id"),
+        F.col("item_id").alias("position"),
+        F.create_map(F.lit("de"), F.col("text")).alias("text"),
+    )
+
+
+def body_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as votings of their nation, a region's nations as its bodies."""
+    nations = table(spark, sf, "nation")
+    people = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    target = F.when(F.col("c_mktsegment") == "BUILDING", "none").otherwise(_text("c_nationkey"))
+    votes = people.select(F.col("c_custkey").alias("voting_id"), target.alias("body_key"), "n_regionkey")
+    listed = nations.select(
+        F.col("n_regionkey").alias("region"),
+        F.col("n_nationkey").alias("position"),
+        _text("n_nationkey").alias("body_key"),
+        F.when(F.col("n_nationkey") > 12, F.concat(F.lit("n"), F.char(F.col("n_nationkey") + 97))).otherwise("").alias("canton_key"),
+        F.create_map(F.lit("it"), F.when(F.col("n_nationkey") > 5, F.col("n_name")).otherwise("")).alias("name"),
+    )
+    bodies = votes.select("voting_id", "n_regionkey").join(listed, F.col("n_regionkey") == F.col("region"))
+    url = F.concat(F.lit("https://x/"), F.when(F.col("region") < 3, "bodies/").otherwise("v/"), _text("region"))
+    return votes, bodies.withColumn("url", url).drop("n_regionkey", "region")
+
+
+_API = "https://api.openparldata.ch/v1/"
+
+
+def link_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Seeds and pages of a link graph: customer, its orders, nation, region."""
+    orders = table(spark, sf, "orders")
+    people = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    nations = table(spark, sf, "nation")
+
+    def url(kind: str, column: str) -> Column:
+        return F.concat(F.lit(f"{_API}{kind}/"), _text(column))
+
+    links = orders.groupBy("o_custkey").agg(F.collect_list(url("o", "o_orderkey")).alias("orders"))
+    roots = people.join(links, F.col("c_custkey") == F.col("o_custkey"), "left")
+    elsewhere = F.lit("https://elsewhere.example/x")
+    pages = [
+        roots.select(
+            url("c", "c_custkey").alias("url"),
+            F.to_json(F.struct(F.struct("orders", elsewhere.alias("other")).alias("Links"))).alias("body"),
+        ),
+        orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(
+            url("o", "o_orderkey").alias("url"),
+            F.to_json(F.struct(F.array(F.struct(F.struct(url("n", "c_nationkey").alias("nation")).alias("links"))).alias("data"))).alias("body"),
+        ),
+        nations.select(
+            url("n", "n_nationkey").alias("url"),
+            F.to_json(F.struct(F.struct(url("r", "n_regionkey").alias("next_page")).alias("meta"))).alias("body"),
+        ),
+        table(spark, sf, "region").select(url("r", "r_regionkey").alias("url"), F.lit("{}").alias("body")),
+    ]
+    every = pages[0]
+    for more in pages[1:]:
+        every = every.unionByName(more)
+    seeds = people.select(F.col("c_custkey").alias("voting_id"), F.lit(0).alias("position"), F.lit("").alias("name"), url("c", "c_custkey").alias("url"))
+    return seeds, every

@@ -467,4 +467,73 @@ ORACLE: dict[str, str] = {
         cast(coalesce(sum(output_tokens) filter (operation = 'translation'), 0) as bigint) as llm_output_tokens_sum,
         cast(coalesce(sum(total_tokens) filter (operation = 'translation'), 0) as bigint) as llm_total_tokens_sum
         from u0 group by document_id""",
+    "usage_daily_stream": f"with {_USAGE} from daily",
+    "cache_replay": """with recursive l as (select event_id, event_type as key, ts as t from events),
+        n as materialized (select a.key, a.t, b.t as nxt from (select distinct key, t, t + interval 6 hour as open from l) a
+          asof join (select distinct key, t from l) b on a.key = b.key and a.open < b.t),
+        chain as (select key, min(t) as t from l group by key
+          union select n.key, n.nxt from chain join n using (key, t)),
+        m as (select key, t, min(event_id) as miss from chain join l using (key, t) group by all)
+        select event_id, l.key, case when event_id = miss then 'miss' else 'exact_hit' end as outcome
+        from l left join m on l.key = m.key and l.t = m.t""",
+    "selected_votings": """select o_orderkey as voting_id, 'future' as selection_strategy from orders
+        where o_orderdate > timestamp '2001-07-25' order by o_orderkey limit 30""",
+    "vote_display_titles": """with r as (select o_orderkey, o_orderstatus = 'F' as f, o_orderpriority = '5-LOW' as low, o_orderpriority from orders)
+        select o_orderkey as voting_id, array_to_string(list_filter(['de=Abstimmung ' || o_orderkey,
+          case when f then 'fr=Affaire ' || o_orderkey end, case when low then 'it=5-LOW' end], lambda x: x is not null), '|') as titles from r""",
+    "vote_languages": """with p as (
+          select o_orderkey as v, 'de' as l from orders union select o_orderkey, 'fr' from orders where o_orderstatus = 'F'
+          union select o_orderkey, 'it' from orders where o_orderpriority = '5-LOW'
+          union select o_orderkey, 'rm' from orders where o_orderstatus = 'O'
+          union select doc_id, lang from documents where lang in ('fr','de','it','rm','en')
+          union select item_id, 'en' from benchmark)
+        select o_orderkey as voting_id, string_agg(l, ',' order by l) as languages from orders join p on v = o_orderkey group by all""",
+    "vote_initiants": """with c as (select l_orderkey as voting_id,
+          cast(l_linenumber as bigint) * 1000000000 + l_partkey * 10000 + l_suppkey as position,
+          case when l_linenumber < 4 then 'Full ' || l_suppkey else 'Anna Nr' || l_suppkey end as fullname, 'P1' as party,
+          case when l_returnflag = 'R' and l_linestatus = 'O' then 'Motionnaire principal' else 'Membre' end as role,
+          l_returnflag = 'A' as person from lineitem),
+        s as (select *, bool_or(role <> 'Membre') over (partition by voting_id) as marked from c)
+        select voting_id, position, fullname, party, role from s where case when marked then role <> 'Membre' else person end""",
+    "vote_arguments": f"""with d as (select source as v, 0 as o, doc_id as p, {_squeeze('text')} as t from documents),
+        dc as (select v, o, p, case when strlen(t) <= 1800 then t else trim({_prefix('t', 1800)}) || '...' end as text from d),
+        sd as (select *, {_count_words(fv.PRO_WORDS)} as pro, {_count_words(fv.CONTRA_WORDS)} as con from dc),
+        b as (select 'src' || item_id as v, 1 as o, item_id as p, {_squeeze('text')} as t from benchmark),
+        bc as (select v, o, p, case when strlen(t) <= 1200 then t else trim({_prefix('t', 1200)}) || '...' end as text from b),
+        a as (select v, o, p, text, case when pro = 0 and con = 0 then 'u' when pro >= con then 'p' else 'c' end as side from sd
+          union all select v, o, p, text, 'u' from bc),
+        g as (select v, string_agg(text, ' ' order by o, p) filter (side = 'p') as pt,
+          string_agg(text, ' ' order by o, p) filter (side = 'c') as ct,
+          list(text order by o, p) filter (side = 'u') as u from a where text <> '' group by v),
+        f as (select v, coalesce(pt, u[1]) as pt, coalesce(ct, u[2]) as ct from g)
+        select v as voting_id,
+          coalesce(case when strlen(pt) <= 2400 then pt else trim({_prefix('pt', 2400)}) || '...' end, '{fv.ARGUMENT_MISSING}') as pro,
+          coalesce(case when strlen(ct) <= 2400 then ct else trim({_prefix('ct', 2400)}) || '...' end, '{fv.ARGUMENT_MISSING}') as contra from f""",
+    "vote_locations": """with v as (select c_custkey, case when c_mktsegment = 'BUILDING' then -1 else c_nationkey end as target, n_regionkey as r
+          from customer join nation on c_nationkey = n_nationkey),
+        b as (select c_custkey, n_nationkey as k, case when n_nationkey > 12 then 'N' || chr(n_nationkey + 65) else '' end as canton,
+          case when n_nationkey > 5 then n_name else '' end as place, n_nationkey = target as own
+          from v join nation on n_regionkey = r)
+        select c_custkey as voting_id, canton, cast(k as varchar) as commune_code, place as commune_name from b
+        qualify row_number() over (partition by c_custkey order by own desc, k) = 1""",
+    "crawl_levels": """with c as (select c_custkey as v, c_nationkey as n, n_regionkey as r, exists (select 1 from orders where o_custkey = c_custkey) as linked
+          from customer join nation on c_nationkey = n_nationkey),
+        u as (select v, 0 as depth, 'c/' || v as u, 'v1-c-' || v as label from c
+          union all select o_custkey, 1, 'o/' || o_orderkey, 'link' from orders
+          union all select v, 2, 'n/' || n, 'link' from c where linked union all select v, 3, 'r/' || r, 'link' from c where linked)
+        select v as voting_id, depth, 'https://api.openparldata.ch/v1/' || u as url, label from u""",
+    "stored_filters": f"""select o_orderkey, cast(o_orderkey as varchar) as votation_id, '' as object_id,
+        case when o_orderstatus = 'F' then 'federal' else 'cantonal' end as level, 'GE' as canton,
+        case when o_orderstatus <> 'P' and o_orderdate > {_AS_OF} then 'upcoming' else 'past' end as status, 'official' as source_type,
+        case when o_orderstatus <> 'P' then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') end as vote_date from orders""",
+    "people_from_names": f"""with {_DOCS}, s as (select document_id, (string_split(content, '.'))[1:3] as parts from docs),
+        w as (select document_id, unnest(parts) as part, unnest(range(0, len(parts))) as i from s),
+        t as (select document_id, i, list_filter(string_split({_squeeze('part')}, ' '), lambda x: x <> '') as ws from w),
+        n as (select document_id, i, ws[1] || '~' || array_to_string(ws[2:], ' ') as name from t where len(ws) >= 2),
+        f as (select * from n qualify row_number() over (partition by document_id, lower(name) order by i) = 1)
+        select document_id, cast(row_number() over (partition by document_id order by i) - 1 as integer) as at, name from f""",
+    "language_view": """with d as (select doc_id, '{"body":{"text":' || to_json(text) || '},"doc":{"doc_id":' || doc_id || '},"title":"' || source || '"}' as j from documents)
+        select doc_id, sha256(replace(replace(replace(j, '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), '&', chr(92) || 'u0026')) as fr_sha,
+          '{"doc":{"doc_id":' || doc_id || '}}' as de_view from d""",
+    "metadata_sanitized": """select c_custkey, '{"more":{"segment":"' || c_mktsegment || '"},"name":"' || c_name || '"}' as clean from customer""",
 }

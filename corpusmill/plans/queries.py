@@ -12,7 +12,7 @@ from corpusmill.functions import dates, ids, urls, vectors
 from corpusmill.functions import json_values as js
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
-from corpusmill.operators import qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage
+from corpusmill.operators import qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage, votes
 from corpusmill.operators.chunking import ChunkPlan, expected_chunks
 from corpusmill.operators.embedding import HashEmbedder
 from corpusmill.plans import catalog
@@ -625,3 +625,133 @@ def usage_daily_page(spark, sf):
 @query
 def usage_per_document(spark, sf):
     return usage.per_document(views.usage_events(spark, sf))
+
+
+@query
+def usage_daily_stream(spark, sf):
+    """The daily aggregate kept by a stream over the events table."""
+    from corpusmill.session import work_folder
+    from corpusmill.streaming import usage as stream
+
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    scoped = usage.apply_scope(views.usage_from(raw), flow="rag_index")
+    events = usage.normalize_events(scoped, views.as_of()).filter("valid").drop("valid")
+    folder = work_folder(spark)
+    stream.write_updates(stream.daily_stream(events), f"{folder}/daily", f"{folder}/checkpoint").awaitTermination()
+    return stream.read_daily(spark, f"{folder}/daily")
+
+
+@query
+def cache_replay(spark, sf):
+    """Hits and misses of a question log; few keys, so every key is hot."""
+    from corpusmill.operators.cache_replay import replay_exact
+
+    log = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("asked_at")
+    )
+    return replay_exact(log, 6 * 3600).outcomes
+
+
+# --- votes from payloads -----------------------------------------------------
+
+
+@query
+def selected_votings(spark, sf):
+    found = votes.select_votings(views.votings(spark, sf), dates.moment("2001-07-25T00:00:00Z"), 30)
+    return found.select("voting_id", "selection_strategy")
+
+
+@query
+def vote_display_titles(spark, sf):
+    joined = views.votings(spark, sf).join(views.affairs(spark, sf).withColumnRenamed("title", "affair"), "voting_id")
+    shown = votes.display_titles(F.col("affair_title"), F.col("affair"), F.col("title"))
+    return joined.select("voting_id", shown.alias("m")).select("voting_id", _json_map("m", "titles"))
+
+
+@query
+def vote_languages(spark, sf):
+    docs = views.vote_docs(spark, sf).select(F.col("position").alias("voting_id"), "language")
+    texts = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("voting_id"), F.create_map(F.lit("EN"), F.col("text")).alias("text")
+    )
+    found = votes.available_languages(views.votings(spark, sf), views.affairs(spark, sf), docs, texts)
+    return found.select("voting_id", F.array_join("available_languages", ",").alias("languages"))
+
+
+@query
+def vote_initiants(spark, sf):
+    return votes.initiants(views.contributors(spark, sf))
+
+
+@query
+def vote_arguments(spark, sf):
+    return votes.arguments(views.vote_docs(spark, sf), views.vote_texts(spark, sf))
+
+
+@query
+def vote_locations(spark, sf):
+    return votes.locations(*views.body_pages(spark, sf))
+
+
+@query
+def crawl_levels(spark, sf):
+    from corpusmill.sources.crawl import crawl, from_table
+
+    seeds, pages = views.link_pages(spark, sf)
+    return crawl(seeds, from_table(pages), max_nodes=None).select("voting_id", "depth", "url", "label")
+
+
+@query
+def stored_filters(spark, sf):
+    """Filter columns read back from documents' metadata."""
+    from corpusmill.plans.index_job import filter_columns
+
+    orders = table(spark, sf, "orders")
+    place = F.when(F.col("o_orderstatus") == "F", "Federal").otherwise("")
+    day = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("")
+    meta = F.to_json(F.struct(place.alias("level"), F.lit(" ge ").alias("canton"), day.alias("vote_date")))
+    staged = orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("external"), meta.alias("meta"))
+    found = staged.withColumns(filter_columns(F.col("meta"), F.col("external"), views.as_of()))
+    return found.select(
+        "o_orderkey", "votation_id", "object_id", "level", "canton", "status", "source_type", dates.utc_text(F.col("vote_date")).alias("vote_date")
+    )
+
+
+@query
+def people_from_names(spark, sf):
+    """Names split, short ones dropped, repeats removed ignoring case."""
+    from corpusmill.sources.files import persons_from_list
+
+    docs = views.corpus_documents(spark, sf)
+    sentence = F.substring_index("content", ".", 3)
+    named = docs.select("document_id", F.posexplode(persons_from_list(sentence, "[.]")).alias("at", "p"))
+    return named.select("document_id", "at", F.concat_ws("~", "p.first_name", "p.last_name").alias("name"))
+
+
+@query
+def language_view(spark, sf):
+    """A JSON document reduced to one language, empty branches pruned."""
+    docs = spread(table(spark, sf, "documents"))
+    body = F.struct(
+        F.create_map(F.lit("fr"), F.col("source"), F.lit("de"), F.lit(" ")).alias("title"),
+        F.struct("doc_id", F.lit(" ").alias("blank")).alias("doc"),
+        F.create_map(F.lit("text"), F.create_map(F.lit("fr"), F.col("text"))).alias("body"),
+    )
+    built = docs.select("doc_id", F.to_json(body.alias("b")).alias("body"))
+    fr, de = js.project_language(F.col("body"), F.lit("fr")), js.project_language(F.col("body"), F.lit("de"))
+    return built.select("doc_id", ids.sha256(fr).alias("fr_sha"), de.alias("de_view"))
+
+
+@query
+def metadata_sanitized(spark, sf):
+    """Contact keys and nulls removed at any depth."""
+    people = table(spark, sf, "customer")
+    body = F.to_json(
+        F.struct(
+            F.col("c_name").alias("name"),
+            F.struct(F.lit("a@b.ch").alias("Contact_Email"), F.col("c_mktsegment").alias("segment")).alias("more"),
+            F.lit("x").alias("email"),
+        )
+    )
+    return people.select("c_custkey", js.remove_sensitive(body).alias("clean"))

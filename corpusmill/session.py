@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +40,30 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset (tests, a laptop) a private temporary folder is used. A local
-    checkpoint is never taken: it would be lost with its executor.
+    Only where it is unset (tests, a laptop) a private temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             sc.setCheckpointDir(configured)
         elif sc.master.startswith("local"):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
         else:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder, so that it
+    survives the loss of the executors that computed it."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder on the shared storage, for a job's own files."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
