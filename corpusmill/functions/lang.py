@@ -87,8 +87,8 @@ def first_preferred(codes: Column, order: Sequence[str] = fv.SUPPORTED_LANGUAGES
 def localized(values: Column, order: Sequence[str] = fv.SUPPORTED_LANGUAGES) -> Column:
     """Best text of a language map: fixed order first, then the smallest key."""
     ordered = [F.nullif(tx.trim(F.try_element_at(values, F.lit(code))), F.lit("")) for code in order]
-    rest = F.array_sort(F.filter(F.map_entries(values), lambda e: tx.trim(e["value"]) != ""))
-    smallest = tx.trim(F.try_element_at(rest, F.lit(1))["value"])
+    filled = F.map_keys(F.map_filter(values, lambda _, text: tx.trim(text) != ""))
+    smallest = tx.trim(F.try_element_at(values, F.array_min(filled)))
     return F.coalesce(*ordered, smallest, F.lit(""))
 
 

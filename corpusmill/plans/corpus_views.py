@@ -143,7 +143,7 @@ def catalog_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def translation_writes(spark: SparkSession, sf: str) -> DataFrame:
     """Every write of a (document, language); the newest one is current."""
-    items = table(spark, sf, "lineitem")
+    items = spread(table(spark, sf, "lineitem"))
     code = F.element_at(F.array(*[F.lit(c) for c in WRITE_LANGUAGES]), F.col("l_linenumber"))
     part = _text("l_partkey")
     shown = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Shown "), part)).otherwise("")
@@ -243,7 +243,7 @@ def affairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contributors(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem")
+    items = spread(table(spark, sf, "lineitem"))
     role = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Motionnaire principal").otherwise("Membre")
     return items.select(
         F.col("l_orderkey").alias("voting_id"),
