@@ -18,3 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
+def write_documents(df: DataFrame, path: str, column: str = "document") -> None:
+    """One JSON text per line, for a frame of normalised votes."""
+    df.select(column).write.mode("errorifexists").text(path)

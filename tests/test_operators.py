@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import dates
 from corpusmill.functions import fixed_values as fv
-from corpusmill.operators import cache_replay, qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage, votes
+from corpusmill.operators import cache_replay, models, qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage, votes
 from corpusmill.operators.chunking import ChunkPlan, chunk_documents, expected_chunks
 from corpusmill.operators.embedding import HashEmbedder, ModelEmbedder, make_embedder
 
@@ -499,3 +499,44 @@ def test_J8_D28_locations(spark):
     )
     got = {r.voting_id: (r.canton, r.commune_code, r.commune_name) for r in votes.locations(voting, bodies).collect()}
     assert got == {1: ("ZH", "261", "Zuerich"), 2: ("ZH", "", ""), 3: ("", "7", "Sept")}
+
+
+# --- models ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        ('{"choices":[{"message":{"content":" Hallo "}}]}', ("Hallo", "")),
+        ('{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"type":"image","text":"x"},"b"]}}]}', ("a\nb", "")),
+        ('{"choices":[{"text":"t"}]}', ("t", "")),
+        ('{"choices":[{"message":{"content":"","reasoning":"hm"}}]}', ("", "reasoning_only")),
+        ('{"choices":[{"message":{}}]}', ("", "empty_summary")),
+        ('{"choices":[]}', ("", "no_choices")),
+        ("oops", ("", "decode_failed")),
+    ],
+)
+def test_chat_reply(body, expected):
+    assert models.chat_reply(body) == expected
+
+
+def test_C12_model_summary_and_its_events(spark):
+    hits = hits_frame(spark, [(0.5, "d", "p", "T", "text", "s", "u", "fr")])
+
+    def chat(prompt):
+        calls.append(prompt)
+        if len(calls) % 3:
+            return '{"choices":[{"message":{"reasoning":"hm"}}]}'
+        return '{"choices":[{"message":{"content":"ok"}}],"usage":{"prompt_tokens":9}}'
+
+    calls = []
+    results = models.summarize(hits, F.lit("Q?"), F.lit("fr"), chat).collect()
+    assert (results[0].answer, results[0].error_code) == ("ok", "")
+    frame = spark.createDataFrame(results)
+    scoped = usage.apply_scope(models.usage_events(frame, "m"), flow="qa_query", mode="llm")
+    event = usage.normalize_events(scoped).first()
+    assert (event.operation, event.status, event.total_tokens, event.flow, event.valid) == ("summarization", "success", 9, "qa_query", True)
+    failed = models.summarize(hits, F.lit("Q?"), F.lit("fr"), lambda prompt: "{}")
+    assert failed.first().error_code == "no_choices"
+    with pytest.raises(Exception, match="summarize failed"):
+        models.require_answers(failed).collect()
