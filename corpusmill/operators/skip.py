@@ -54,6 +54,7 @@ def index_state(documents: DataFrame, translations: DataFrame) -> tuple[DataFram
         meta("metadata", "translation_provider").alias("provider"),
         meta("metadata", "translation_source_hash").alias("source_hash"),
         meta("metadata", "index_content_hash").alias("content_hash"),
+        F.get_json_object("metadata", "$.index_chunk_count").cast("int").alias("chunk_count"),
     )
     return state, per_language
 
@@ -82,13 +83,21 @@ def skip_decisions(
         # last path in walking order counts.
         F.struct(-lg.rank_in(tx.trim(F.col("lang")), fv.SOURCE_PREFERENCE), F.col("source_path")).alias("preference"),
     )
+    counted = F.col("chunk_count") if "chunk_count" in translations.columns else F.lit(None).cast("int")
     stored = translations.select(
-        "document_id", "lang", F.trim("status").alias("status"), F.col("content_hash").alias("old_hash")
+        "document_id",
+        "lang",
+        F.trim("status").alias("status"),
+        F.col("content_hash").alias("old_hash"),
+        counted.alias("old_count"),
     )
     rows = facts.join(stored, ["document_id", "lang"], "left")
     same = (F.col("new_hash") == F.col("old_hash")) & (F.col("new_hash") != "")
     per_document = rows.groupBy("document_id").agg(
         F.sum("expected").cast("int").alias("expected_chunks"),
+        # Chunks stored for the languages at hand; the total also counts
+        # translations made at indexing time.
+        F.when(F.count("old_count") == F.count("*"), F.sum("old_count")).alias("stored_chunks"),
         F.max_by("source", "preference").alias("source"),
         F.min(F.coalesce(same, F.lit(False))).alias("hashes_match"),
         F.min(F.coalesce(F.col("status") == "ready", F.lit(False)) | (F.col("lang") == "")).alias("ready"),
@@ -112,10 +121,11 @@ def skip_decisions(
         & (F.col("source.fingerprint_confidence") == "high")
         & (F.col("source.source_fingerprint") == F.col("old_fingerprint"))
     )
+    held = F.coalesce("stored_chunks", "indexed_chunk_count")
     reason = (
         F.when(F.col("index_complete").isNull(), "new")
         .when(~F.col("index_complete"), "incomplete")
-        .when((F.col("expected_chunks") <= 0) | (F.col("expected_chunks") != F.col("indexed_chunk_count")), "chunk_count")
+        .when((F.col("expected_chunks") <= 0) | (F.col("expected_chunks") != held), "chunk_count")
         .when(~F.col("ready"), "translation")
         .when(F.coalesce(fingerprint_match, F.lit(False)), "same_source")
         .when(F.col("hashes_match"), "same_content")

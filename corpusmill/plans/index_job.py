@@ -21,7 +21,7 @@ from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
 from corpusmill.operators import skip, snapshot, stats, translation
-from corpusmill.operators.chunking import ChunkPlan, chunk_documents
+from corpusmill.operators.chunking import ChunkPlan, chunk_documents, expected_chunks
 from corpusmill.operators.embedding import Embedder, HashEmbedder
 from corpusmill.operators.select import first_per_key
 
@@ -192,7 +192,7 @@ def run_index(
         store.tables[name].merge(batch, lambda old, new: snapshot.replace_groups(old, new, key))
 
     replace("rag_chunks", chunk_rows)
-    replace("document_translations", _translation_rows(current))
+    replace("document_translations", _translation_rows(current, settings.plan))
     links = _person_links(current)
     replace("document_intervenants", links.select(*schemas.DOCUMENT_PERSONS.names))
     people = links.groupBy(F.col("intervenant_id").alias("id")).agg(
@@ -234,7 +234,7 @@ def _document_rows(current: DataFrame, chunk_counts: DataFrame, settings: IndexS
     return joined.select(*[values.get(name, F.col(name)).alias(name) for name in schemas.DOCUMENTS.names])
 
 
-def _translation_rows(current: DataFrame) -> DataFrame:
+def _translation_rows(current: DataFrame, plan: ChunkPlan) -> DataFrame:
     shown = F.get_json_object("metadata", "$.display_title")
     meta = F.struct(
         F.col("available_languages"),
@@ -244,6 +244,7 @@ def _translation_rows(current: DataFrame) -> DataFrame:
         F.col("tr_source_hash").alias("translation_source_hash"),
         F.nullif(F.col("content_hash"), F.lit("")).alias("index_content_hash"),
         F.nullif(F.col("source_fingerprint"), F.lit("")).alias("index_source_fingerprint"),
+        expected_chunks(tx.word_count(F.col("content")), plan).alias("index_chunk_count"),
         F.when(F.col("tr_provider") == "source", shown).otherwise(F.col("title")).alias("display_title"),
     )
     return current.select(

@@ -169,6 +169,26 @@ def test_index_twice_skips_all(spark, tmp_path):
     assert found.persons[0].last_name == "Maria Meier" and found.source_system == "openparldata"
 
 
+class Reverse:
+    name = "reverse"
+
+    def translate(self, text, source, target, label):
+        return f"{target} {text[::-1]}"
+
+
+def test_D7_D8_model_mode_translates_then_skips(spark, tmp_path):
+    write(tmp_path / "in", {"de/a.txt": "some words here"})
+    store = index_job.Store(spark, str(tmp_path / "store"), buckets=1)
+    docs, now = corpus(spark, tmp_path / "in"), dates.moment(NOW)
+    settings = index_job.IndexSettings(mode="llm")
+    first = index_job.run_index(docs, store, now, settings, translator=Reverse())
+    assert (first.processed, first.chunks) == (1, 5)
+    rows = {r.lang: r for r in store.read("document_translations").collect()}
+    assert rows["fr"].content_normalized == "fr ereh sdrow emos" and rows["de"].content_normalized == "some words here"
+    assert store.read("index_document_metrics").first().translations_succeeded == 4
+    assert index_job.run_index(docs, store, now, settings, translator=Reverse()).skipped == 1
+
+
 # --- fetch -------------------------------------------------------------------
 
 
