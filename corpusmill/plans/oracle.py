@@ -526,7 +526,7 @@ ORACLE: dict[str, str] = {
         case when o_orderstatus = 'F' then 'federal' else 'cantonal' end as level, 'GE' as canton,
         case when o_orderstatus <> 'P' and o_orderdate > {_AS_OF} then 'upcoming' else 'past' end as status, 'official' as source_type,
         case when o_orderstatus <> 'P' then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') end as vote_date from orders""",
-    "people_from_names": f"""with {_DOCS}, s as (select document_id, (string_split(content, '.'))[1:3] as parts from docs),
+    "people_from_names": f"""with {_DOCS}, s as (select document_id, string_split(content, '.') as parts from docs),
         w as (select document_id, unnest(parts) as part, unnest(range(0, len(parts))) as i from s),
         t as (select document_id, i, list_filter(string_split({_squeeze('part')}, ' '), lambda x: x <> '') as ws from w),
         n as (select document_id, i, ws[1] || '~' || array_to_string(ws[2:], ' ') as name from t where len(ws) >= 2),

@@ -723,9 +723,8 @@ def people_from_names(spark, sf):
     """Names split, short ones dropped, repeats removed ignoring case."""
     from corpusmill.sources.files import persons_from_list
 
-    docs = views.corpus_documents(spark, sf)
-    sentence = F.substring_index("content", ".", 3)
-    named = docs.select("document_id", F.posexplode(persons_from_list(sentence, "[.]")).alias("at", "p"))
+    docs = views.corpus_documents(spark, sf, heavy=True)
+    named = docs.select("document_id", F.posexplode(persons_from_list(F.col("content"), "[.]")).alias("at", "p"))
     return named.select("document_id", "at", F.concat_ws("~", "p.first_name", "p.last_name").alias("name"))
 
 
