@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import quality_rules
+from corpusmill.llm import decontaminate, quality_rules
 from corpusmill.llm.common import table
 
 
@@ -13,4 +13,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_quality_rules,)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+REGISTRY = {f.__name__: f for f in (op7_quality_rules, op9_benchmark_decontamination)}
