@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, quality_rules
+from corpusmill.llm import decontaminate, near_dedup, quality_rules
 from corpusmill.llm.common import table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), like=near_dedup.Likeness(shingle=3, percent=85))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -17,4 +21,4 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_quality_rules, op9_benchmark_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op7_quality_rules, op9_benchmark_decontamination)}
