@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, near_dedup, quality_rules, substring_dedup
+from corpusmill.llm import decontaminate, near_dedup, quality_rules, substring_dedup, suffix_dedup
 from corpusmill.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -25,4 +29,4 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op7_quality_rules, op9_benchmark_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op5_suffix_array_dedup, op7_quality_rules, op9_benchmark_decontamination)}

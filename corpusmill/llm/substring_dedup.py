@@ -86,7 +86,10 @@ METHOD = windows.Method(K, GRAM, LOCAL, _symbols, _settle, _across)
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``), n_words, n_removed, and ``kept``, the
     words that stay, one space apart."""
-    own = windows.named(docs, key, text)
+    return _cleaned(windows.named(docs, key, text))
+
+
+def _cleaned(own: DataFrame) -> DataFrame:
     both = own.join(windows.repeats(own, METHOD), ["id", "h"], "left").select("row", "t", F.coalesce("spans", F.array()).alias("spans"))
     shape = own.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("t").alias("kept")).schema
 
@@ -110,6 +113,6 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, n_removed, kept_sha256."""
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    own = cleaned(slim.select("key", "text"), "key", "text")
+    slim = docs.select(F.struct(F.col(key).alias("key")).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    own = _cleaned(windows.named(slim, "key", "text").withColumn("row", F.col("row.row")))
     return own.select(F.col("row.key").alias(key), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
