@@ -3,10 +3,12 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, near_dedup, quality_rules, substring_dedup, suffix_dedup
+from corpusmill.llm import decontaminate, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
+from corpusmill.session import work_folder
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -29,4 +37,4 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op5_suffix_array_dedup, op7_quality_rules, op9_benchmark_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination)}
