@@ -7,15 +7,18 @@ intersection >= percent * union. Steps:
    set, its band keys (``ROWS`` MinHash values each) and an odd sketch: all
    MinHash values are folded into ``BITS`` bits, each toggling one bit. The
    number of ones in the XOR of two sketches estimates their similarity, the
-   more precisely the higher it is.
+   more precisely the higher it is. A second such sketch of all shingles gives a
+   strict bound: each one in the XOR is a shingle that only one set has.
 2. Documents with the same set are one node, named by the smallest doc_id.
-3. In each band bucket every node is paired with the bucket's smallest node
-   only. Pairs whose sizes or sketches rule a link out (by six standard
-   deviations) go; the others are confirmed on their full sets from their texts.
+3. In each band bucket every node is paired with one pivot only, at first the
+   bucket's smallest node. Pairs whose sizes or sketches rule a link out (six
+   standard deviations, or the strict bound) go; the others are confirmed on
+   their full sets from their texts. Nodes of the same component are settled; the
+   rest of a bucket meets a second pivot, the bucket's node with most links.
 4. Where a bucket still holds several components, its nodes outside its largest
    component meet the bucket's nodes of other components, under the same
-   conditions, inside the join. So a bucket of n near copies costs n pairs, not
-   n * n, and no link between different sets is lost but by banding itself,
+   conditions, inside the join. So a bucket of n near copies costs some 2 n pairs,
+   not n * n, and no link between different sets is lost but by banding itself,
    which misses a linked pair with probability ``MISS`` at most.
 5. Connected components give the smallest doc_id reachable.
 
@@ -45,7 +48,10 @@ from corpusmill.session import cut_lineage
 ROWS = 5
 BITS = 512
 MISS = 1e-7
+#: Bits of the sketch of all shingles.
+FULL_BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
+FULL = [f"f{i}" for i in range(FULL_BITS // 64)]
 
 
 @dataclass(frozen=True)
@@ -108,38 +114,54 @@ def signatures(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarr
     return keys.T, np.packbits(ones.astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of whole sets."""
+    n = len(sets)
+    place = (np.concatenate(sets) & np.uint64(FULL_BITS - 1)).astype(np.int64) + np.repeat(np.arange(n) * FULL_BITS, [len(x) for x in sets])
+    ones = np.bincount(place, minlength=n * FULL_BITS) & 1
+    return np.packbits(ones.astype(np.uint8).reshape(n, FULL_BITS), axis=1).view(np.uint64)
+
+
 def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
     """From (id, text): id, n, set, bands, the words of the sketch."""
-    schema = "id long, n long, set binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    schema = "id long, n long, set binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH + FULL)
     shingle, bands = like.shingle, like.bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in chunks(batches, "text"):
             sets = shingle_sets(parts, shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketches = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), len(SKETCH)), np.int64)
+            keys, sketches = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), len(SKETCH + FULL)), np.int64)
             if full:
                 found = signatures([sets[i] for i in full], bands)
-                keys[full], sketches[full] = found[0].view(np.int64), found[1].view(np.int64)
+                keys[full] = found[0].view(np.int64)
+                sketches[full] = np.hstack((found[1], parities([sets[i] for i in full]))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(np.ascontiguousarray(keys).ravel())),
-                    *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(len(SKETCH))],
+                    *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(len(SKETCH + FULL))],
                 ],
-                names=["id", "n", "set", "bands", *SKETCH],
+                names=["id", "n", "set", "bands", *SKETCH, *FULL],
             )
 
     return docs.mapInArrow(run, schema)
 
 
 def _alike(like: Likeness, a: str, b: str) -> Column:
-    """Whether sizes and sketches of two sides allow a link."""
+    """Whether sizes and sketches of two sides allow a link. With sets of sizes
+    na and nb, a link means 100 * (na + nb - u) >= percent * u, so at most
+    (na + nb) * (100 - percent) / (100 + percent) shingles differ."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    ones = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (100 * F.least(na, nb) >= like.percent * F.greatest(na, nb)) & (ones <= like.differing)
+
+    def ones(words: list[str]) -> Column:
+        counts = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words]
+        return sum(counts[1:], counts[0])
+
+    sizes = 100 * F.least(na, nb) >= like.percent * F.greatest(na, nb)
+    return sizes & (ones(SKETCH) <= like.differing) & (ones(FULL) * (100 + like.percent) <= (na + nb) * (100 - like.percent))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
@@ -194,20 +216,32 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Like
     signed = cut_lineage(_signed(own, like))
     usable = signed.where("n > 0 and id is not null")
     sets = usable.groupBy("set").agg(F.min("id").alias("rep"))
-    named = cut_lineage(usable.select("id", "set").join(sets, "set").select("id", "rep", "set").distinct())
+    named = cut_lineage(usable.select("id", "set").join(sets, "set").select("id", "rep", "set"))
     nodes = cut_lineage(usable.join(named.where("id = rep").select("id", "set"), ["id", "set"], "left_semi").drop("set"))
     bands = nodes.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     members = cut_lineage(bands.join(shared, "band").distinct())
-    sketch = nodes.select("id", "n", *SKETCH)
+    sketch = nodes.select("id", "n", *SKETCH, *FULL)
 
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    fits = stars.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id")).where(_alike(like, "x", "y"))
     texts_of = own.where("id is not null")
-    links = cut_lineage(confirmed(fits.select("a", "b").distinct(), texts_of, like))
+
+    def links_to(pivots: DataFrame) -> DataFrame:
+        """Links among (id, pivot) pairs."""
+        stars = pivots.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        fits = stars.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id")).where(_alike(like, "x", "y"))
+        return cut_lineage(confirmed(fits.select("a", "b").distinct(), texts_of, like))
+
+    links = links_to(members)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    held = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = held.groupBy("band").agg((F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
+    held = cut_lineage(held.join(several, "band"))
+    central = held.join(degree, "id").groupBy("band").agg(F.max_by(F.struct("id", "component"), F.struct("links", "id")).alias("c"))
+    second = held.join(central, "band").where(F.col("component") != F.col("c.component")).select("id", F.col("c.id").alias("pivot"))
+    links = cut_lineage(links.union(links_to(second)))
 
     found = components(links)
-    held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = held.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = held.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     open_ = cut_lineage(held.join(mixed.drop("kinds"), "band").join(sketch, "id"))
     x, y = open_.where("component <> largest").alias("x"), open_.alias("y")
