@@ -100,7 +100,7 @@ def _repeated(own: DataFrame, method: Method) -> tuple[bytes, bytes]:
     """Bitmap of minimisers that occur again, and table of salt exponents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in chunks(batches, "t"):
+        for _, parts in chunks(batches, "t", 1_000_000):
             grams, ok, _, _ = method.symbols(parts)
             _, _, at = super_kmers(grams, ok, method.k - method.gram + 1)
             g, n = np.unique(grams[at], return_counts=True)
@@ -130,7 +130,7 @@ def _shipped(own: DataFrame, method: Method) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, salts = (np.frombuffer(x, t) for x, t in zip(tables.value, (np.uint64, np.uint8), strict=True))
-        for batch, parts in chunks(batches, "t"):
+        for batch, parts in chunks(batches, "t", 1_000_000):
             grams, ok, first, pack = method.symbols(parts)
             a, z, at = super_kmers(grams, ok, method.k - method.gram + 1)
             g = grams[at]
@@ -162,7 +162,7 @@ def _shipped(own: DataFrame, method: Method) -> DataFrame:
 
 _SETTLED = "window boolean, id long, h long, a long, b long, f1 long, f2 long, solo boolean"
 #: Packed bytes settled at once.
-_PIECE = 6_000_000
+_PIECE = 3_000_000
 
 
 def _settled(shipped: DataFrame, method: Method) -> DataFrame:
