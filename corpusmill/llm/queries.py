@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
+from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
 from corpusmill.session import work_folder
 
@@ -19,6 +19,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.report(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -37,4 +41,4 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination)}
