@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
+from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
 from corpusmill.session import work_folder
 
@@ -41,4 +41,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination)}
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination, op10_secret_scans)}
