@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
+from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
 from corpusmill.session import work_folder
 
@@ -37,6 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,4 +49,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op9_benchmark_decontamination, op10_secret_scans)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_secret_scans)}

@@ -27,7 +27,7 @@ from corpusmill.llm.tokens import SPACED, chunks, per_text, rolling, spans, word
 
 K = 35
 GRAM = 4
-#: Occurrences of a minimiser that one bucket takes whole.
+#: Occurrences of a core that one bucket takes whole.
 LOCAL = 2048
 
 
@@ -35,14 +35,15 @@ def _symbols(parts: list[bytes]) -> windows.Symbols:
     joined = b"\n".join(parts) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     starts, ends = spans(data, SPACED)
-    grams = rolling(word_hashes(data, starts, ends), GRAM)
+    hashes = word_hashes(data, starts, ends)
+    grams, cores = rolling(hashes, GRAM), rolling(hashes, windows.core_length(K, GRAM), 4)
     first = per_text(starts, parts)
     ok = windows.window_starts(np.diff(first), K)
 
     def pack(a: int, b: int) -> bytes:
         return joined[starts[a] : ends[b - 1]]
 
-    return grams, ok, first[:-1], pack
+    return grams, ok, first[:-1], pack, lambda places: cores[places]
 
 
 def _settle(rows: dict[str, np.ndarray], packed: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:

@@ -4,7 +4,7 @@ Texts are UTF-8 bytes. A byte goes if a ``K``-byte string covers it that also
 starts earlier: in a document with a smaller id, or in the same one before. All
 is judged on the input; matches never cross documents.
 
-Strings are dealt out by minimiser (see ``windows``), so equal ones meet in a
+Strings are dealt out by the core of their minimiser (see ``windows``), so equal ones meet in a
 bucket. There the distinct strings of a bucket, each closed by a separator, are
 one text, and all texts of a batch are suffix-sorted together by Lyndon grouping
 (see ``lyndon``). Suffixes with the same first ``K`` bytes are neighbours; of
@@ -35,7 +35,7 @@ from corpusmill.llm.tokens import chunks, mix, series
 
 K = 100
 GRAM = 24
-#: Occurrences of a minimiser in one bucket, and distinct strings sorted together.
+#: Occurrences of a core in one bucket, and distinct strings sorted together.
 LOCAL = 32
 
 
@@ -47,11 +47,18 @@ def _words(data: bytes, n: int) -> np.ndarray:
 def _symbols(parts: list[bytes]) -> windows.Symbols:
     joined = b"".join(parts)
     n = len(joined)
-    eight = _words(joined + bytes(GRAM), n + GRAM - 7)
+    eight = _words(joined + bytes(K), n + K - 7)
     c = series(3, 21) | np.uint64(1)
     grams = mix(eight[:n] * c[0] + eight[8 : n + 8] * c[1] + eight[16 : n + 16] * c[2])
     lengths = np.array([len(x) for x in parts], np.int64)
-    return grams[: max(0, n - GRAM + 1)], windows.window_starts(lengths, K), np.cumsum(lengths) - lengths, lambda a, b: joined[a:b]
+
+    def cores(places: np.ndarray) -> np.ndarray:
+        core = windows.core_length(K, GRAM)
+        at = [*range(0, core - 7, 8), core - 8]
+        c = series(len(at), 22) | np.uint64(1)
+        return mix(sum((eight[places + d] * x for d, x in zip(at, c, strict=True)), np.zeros(len(places), np.uint64)))
+
+    return grams[: max(0, n - GRAM + 1)], windows.window_starts(lengths, K), np.cumsum(lengths) - lengths, lambda a, b: joined[a:b], cores
 
 
 def _fingerprints(data: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

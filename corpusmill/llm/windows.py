@@ -5,13 +5,17 @@ the window's grams, the leftmost of equals. Consecutive windows that share one
 are a super-k-mer and travel as one packed string. Both substring operators use
 this way of partitioning and differ in symbols and in how a bucket is settled.
 
-1. Minimisers are counted (partial sums). A super-k-mer whose minimiser occurs
-   once in the corpus can hold no repeated window. Which ones occur again is
-   kept in a bitmap of fixed size (``REPEAT_BITS``); a collision only ships a
-   string that was not needed.
-2. Super-k-mers go to the bucket of their minimiser. A minimiser with more than
-   ``local`` occurrences is dealt over as many salted buckets as it takes to
-   have about ``local`` in each; the number is kept in a table of fixed size.
+1. Of the symbols of a window outside its minimiser, half or more lie on one
+   side. The minimiser with that half on that side is the window's core, so equal
+   windows have the same core, and the windows of a super-k-mer have one of two,
+   left or right. Cores are counted (partial sums). A window whose core occurs
+   once in the corpus occurs once itself. Which cores occur again is kept in a
+   bitmap of fixed size (``REPEAT_BITS``); a collision only ships a string that
+   was not needed.
+2. Super-k-mers, cut in their left and right windows, go to the bucket of their
+   core. A core with more than ``local`` occurrences is dealt over as many salted
+   buckets as it takes to have about ``local`` in each; the number is kept in a
+   table of fixed size.
 3. A bucket settles its windows. One that is whole is thereby done. For a
    salted one, each distinct window leaves one row with its 128-bit hash; these
    meet by hash, so a window in all buckets costs one row per bucket, and a
@@ -39,8 +43,9 @@ SALT_BITS = 20
 _AT = np.uint64((1 << 28) - 1)
 
 #: From texts: grams at each symbol, whether a window starts at each symbol, the
-#: first symbol of each text, and the function that packs symbols [a, b).
-Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int, int], bytes]]
+#: first symbol of each text, the function that packs symbols [a, b), and the one
+#: that hashes as many symbols as a core has from each of some places.
+Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int, int], bytes], Callable[[np.ndarray], np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -75,6 +80,24 @@ def super_kmers(grams: np.ndarray, starts_here: np.ndarray, width: int) -> tuple
     return where[edge[:-1]], where[edge[1:] - 1], at[edge[:-1]]
 
 
+def core_length(k: int, gram: int) -> int:
+    return gram + (k - gram + 1) // 2
+
+
+def pieces(symbols: Symbols, k: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each half of a super-k-mer, and its core's hash."""
+    grams, ok, _, _, cores = symbols
+    a, z, at = super_kmers(grams, ok, k - gram + 1)
+    half = (k - gram + 1) // 2
+    middle = at - (k - gram - half)  # from here on windows have half of the rest, or more, to the right
+    right, left = np.maximum(a, middle) <= z, a <= np.minimum(z, middle - 1)
+    first = np.concatenate((np.maximum(a, middle)[right], a[left]))
+    last = np.concatenate((z[right], np.minimum(z, middle - 1)[left]))
+    hashes = np.concatenate((cores(at[right]), mix(cores(at[left] - half) + np.uint64(1))))
+    order = np.argsort(first)
+    return first[order], last[order], hashes[order]
+
+
 def window_starts(lengths: np.ndarray, k: int) -> np.ndarray:
     """For texts of so many symbols, one after the other: where windows start."""
     ok = np.zeros(int(lengths.sum()) + 1, np.int64)
@@ -97,13 +120,11 @@ def named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _repeated(own: DataFrame, method: Method) -> tuple[bytes, bytes]:
-    """Bitmap of minimisers that occur again, and table of salt exponents."""
+    """Bitmap of cores that occur again, and table of salt exponents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in chunks(batches, "t", 1_000_000):
-            grams, ok, _, _ = method.symbols(parts)
-            _, _, at = super_kmers(grams, ok, method.k - method.gram + 1)
-            g, n = np.unique(grams[at], return_counts=True)
+            g, n = np.unique(pieces(method.symbols(parts), method.k, method.gram)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
     seen = own.select("t").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
@@ -120,23 +141,23 @@ def _repeated(own: DataFrame, method: Method) -> tuple[bytes, bytes]:
     return bits.tobytes(), salts.tobytes()
 
 
-_SHIPPED = "g long, salt int, hot boolean, id long, h long, start long, rel int, n int, packed binary"
+_SHIPPED = "g long, salt int, hot boolean, id long, h long, start long, n int, packed binary"
 
 
 def _shipped(own: DataFrame, method: Method) -> DataFrame:
-    """Super-k-mers of repeated minimisers: bucket, document, first window,
-    minimiser's place in the string, number of windows, packed string."""
+    """Super-k-mers of repeated cores: bucket, document, first window, number of
+    windows, packed string."""
     tables = own.sparkSession.sparkContext.broadcast(_repeated(own, method))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, salts = (np.frombuffer(x, t) for x, t in zip(tables.value, (np.uint64, np.uint8), strict=True))
         for batch, parts in chunks(batches, "t", 1_000_000):
-            grams, ok, first, pack = method.symbols(parts)
-            a, z, at = super_kmers(grams, ok, method.k - method.gram + 1)
-            g = grams[at]
+            symbols = method.symbols(parts)
+            first, pack = symbols[2:4]
+            a, z, g = pieces(symbols, method.k, method.gram)
             slot = g >> np.uint64(64 - REPEAT_BITS)
             again = ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-            a, z, at, g = a[again], z[again], at[again], g[again]
+            a, z, g = a[again], z[again], g[again]
             text = np.searchsorted(first, a, "right") - 1
             ids, hs = (batch.column(i).to_numpy()[text] for i in (0, 1))
             e = salts[(g & np.uint64((1 << SALT_BITS) - 1)).astype(np.int64)].astype(np.uint64)
@@ -150,11 +171,10 @@ def _shipped(own: DataFrame, method: Method) -> DataFrame:
                     pa.array(ids),
                     pa.array(hs),
                     pa.array(a - first[text]),
-                    pa.array((at - a).astype(np.int32)),
                     pa.array((z - a + 1).astype(np.int32)),
                     pa.array(packed, pa.binary()),
                 ],
-                names=["g", "salt", "hot", "id", "h", "start", "rel", "n", "packed"],
+                names=["g", "salt", "hot", "id", "h", "start", "n", "packed"],
             )
 
     return own.select("id", "h", "t").mapInArrow(cut, _SHIPPED)
@@ -172,7 +192,7 @@ def _settled(shipped: DataFrame, method: Method) -> DataFrame:
 
     def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(rows).combine_chunks()
-        columns = {c: held.column(c).to_numpy() for c in ("g", "salt", "hot", "id", "h", "start", "rel", "n")}
+        columns = {c: held.column(c).to_numpy() for c in ("g", "salt", "hot", "id", "h", "start", "n")}
         spans, windows = method.settle(columns, held.column("packed").to_pylist())
         for is_window, part in ((False, spans), (True, windows)):
             if len(part[0]):
