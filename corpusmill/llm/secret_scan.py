@@ -60,7 +60,7 @@ def located(text: Column, pattern: str, present: str | None = None, keep=None) -
 
     One pass gives what lies before each match and one the matches; lengths add
     up to places. Texts in which ``present`` isn't found are not searched."""
-    gap = F.lit(f"(?s)(.*?)({pattern})")
+    gap = F.lit(rf"\G(?s)(.*?)({pattern})")  # \G: once there is no further match, no other start is tried
     pairs = F.arrays_zip(F.regexp_extract_all(text, gap, F.lit(1)).alias("g"), F.regexp_extract_all(text, gap, F.lit(2)).alias("m"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -114,15 +114,16 @@ def p_value(string: Column, alphabet: str) -> Column:
         spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
         runs = F.when((high == 0) | (high == n), F.lit(1e-9)).otherwise(2 * _upper_normal(F.abs((changes + 1 - mean) / spread)))
 
+        def correlation(average: Column) -> Column:
+            squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - average) * (v - average))
+            pairs = F.transform(x, lambda v, i: F.when(i > 0, (v - average) * (F.get(x, i - 1) - average)).otherwise(0.0))
+            return let(squares, lambda s: F.when(s > 0, F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v) / s))
+
         average = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
-        squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - average) * (v - average))
-        products = F.aggregate(
-            F.transform(x, lambda v, i: F.when(i > 0, (v - average) * (F.get(x, i - 1) - average)).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v
-        )
-        serial = F.when(squares == 0, F.lit(1e-9)).otherwise(2 * _upper_normal(F.abs(products / squares) * F.sqrt(n)))
-
-        half = reduce(lambda a, b: a + b, (-F.log(F.greatest(F.lit(1e-30), p)) for p in (chi(parts), runs, serial)))
-        return F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with six degrees of freedom
+        serial = let(let(average, correlation), lambda r: F.coalesce(2 * _upper_normal(F.abs(r) * F.sqrt(n)), F.lit(1e-9)))
+
+        half = reduce(lambda a, b: a + b, (-F.log(F.greatest(F.lit(1e-30), p)) for p in (let(parts, chi), runs, serial)))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with six degrees of freedom
 
     places = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     return let(F.filter(places, lambda v: v >= 0), of)
