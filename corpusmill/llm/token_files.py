@@ -20,10 +20,11 @@ encoded, since texts are smaller than ids; the ids before a document are the sum
 over the partitions before, its partition's shards before, and its shard's
 documents before.
 
-Encoding is that of the tokenizers library. The vocabulary never joins over a
-space between two printable letters or signs, so the words between such spaces
-are encoded once per worker and looked up; texts with other spaces are encoded
-whole.
+Encoding is that of the tokenizers library. A byte-level vocabulary never joins
+over certain places, such as a space between words; texts whose places are all
+of the common kinds are parted there by numpy, and every distinct part is
+encoded once per worker and looked up by its 64-bit hash. Texts with anything
+else in them, and other vocabularies, are encoded whole.
 
 Defined cases: null text counts as empty and has the end id only; a null id is
 written as the smallest long, comes first and is read back as null; repeated
@@ -34,6 +35,7 @@ table gives an empty file set; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -46,24 +48,65 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm.common import small
-from corpusmill.llm.tokens import chunks
+from corpusmill.llm.tokens import chunks, word_hashes
+from corpusmill.llm.windows import flat_ranges
 
 MAGIC = b"CMIDS\x00\x00\x01"
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 8_000, 64 * 1024
 SHARD_DOCS, SHARD_BYTES = 4096, 4 << 20
 LEVEL = 3
 NULL_ID = -(2**63)
-#: Words kept by a worker.
+#: Parts kept by a worker.
 CACHE = 600_000
 
 
-def _plain(c: str) -> bool:
-    """Printable ASCII or a Latin letter: no kind of white space."""
-    return "!" <= c <= "~" or "À" <= c <= "ɏ"
+# Kinds of bytes in texts that are parted here. Of other characters
+# only the Latin letters from U+00C0 to U+024F are known, in two bytes each.
+_LETTER, _DIGIT, _SIGN, _GAP, _LINE, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[0xC3:0xCA] = _LETTER
+_KIND[32], _KIND[10] = _GAP, _LINE
+
+
+def part(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For texts joined by a zero byte: where the parts start in which the
+    vocabulary encodes them (the zero bytes are parts too), and places that are
+    not understood, so that their texts must be encoded whole."""
+    data = np.frombuffer(joined, np.uint8)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC3)
+    lead = lead[lead + 1 < len(data)]
+    follow = data[lead + 1]
+    good = (data[lead] < 0xCA) & ((data[lead] != 0xC3) | ((follow != 0x97) & (follow != 0xB7))) & ((data[lead] != 0xC9) | (follow < 0x90))
+    kind[lead[good] + 1] = _LETTER
+    odd = kind == _OTHER
+    odd[lead[~good]] = True
+    odd &= data != 0
+    white = (kind == _GAP) | (kind == _LINE)
+    odd[:-1] |= white[:-1] & (white[1:] | (data[1:] == 0))  # only single white space inside a text
+    odd[1:] |= (data[1:] == 124) & (data[:-1] == 60)  # may be a special token
+
+    start = np.ones(len(data), bool)
+    start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _GAP)
+    start[white] = True
+    start[1:] |= (data[1:] == 0) | (data[:-1] == 0)
+    # 's 't 'm 'd 're 've 'll are parts
+    quote = np.flatnonzero((data == 39) & start)
+    quote = quote[quote + 3 < len(data)]
+    a, b = data[quote + 1], data[quote + 2]
+    two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+    one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+    for at, n in ((quote[one], 2), (quote[two & ~one], 3)):
+        start[at + 1] = False
+        start[at + n] |= kind[at + n] == _LETTER
+    return np.flatnonzero(start), np.flatnonzero(odd)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes."""
+    """Ids of texts as little-endian integers."""
 
     def __init__(self, path: str, width: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,41 +119,55 @@ class Encoder:
         self.span = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self.span[i] = len(piece)
-        #: ids of a word with the space before it; None where it may not be cut off
-        self.known: dict[str, bytes | None] = {}
+        settings = json.loads(self.tokenizer.to_str())
+        splitter = settings.get("pre_tokenizer") or {}
+        #: whether the parts are those of this vocabulary
+        self.parts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not settings.get("normalizer")
+        self.known: dict[int, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words as one text and cuts its ids at the words' first bytes."""
-        usable = [w for w in words if w and _plain(w[0]) and _plain(w[-1]) and "<|" not in w]
-        self.known.update(dict.fromkeys(words))
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in usable])], add_special_tokens=False)[0].ids, self.kind)
+    def cut(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts that start with a space, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, self.kind)
         ends = np.concatenate(([0], np.cumsum(self.span[ids])))
-        want = np.cumsum([0] + [len(w.encode()) + 1 for w in usable])
-        cut = np.searchsorted(ends, want)
-        if usable and (ends[np.minimum(cut, len(ends) - 1)] != want).any():  # another kind of vocabulary: word by word
-            self.known.update(zip(usable, self.raw([" " + w for w in usable]), strict=True))
-            return
-        data = ids.tobytes()
-        cut = (cut * self.width).tolist()
-        self.known.update(zip(usable, [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        new = list({w for words in split for w in words[1:] if w not in known})
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        rest = [[known[w] for w in words[1:]] for words in split]
-        # a text goes by words if all of them may be cut off; its first word has no space before it
-        easy = [None not in r and _plain(words[0][-1:]) and "<|" not in words[0] for r, words in zip(rest, split, strict=True)]
-        first = self.raw([words[0] if e else t for e, words, t in zip(easy, split, texts, strict=True)])
-        return [b"".join([f, *r]) if e else f for e, f, r in zip(easy, first, rest, strict=True)]
+        at = np.searchsorted(ends, np.cumsum([0] + [len(p) for p in parts]))
+        data, at = ids.tobytes(), (at * self.width).tolist()
+        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.parts:
+            return self.raw([t.decode() for t in texts])
+        if len(self.known) > CACHE:
+            self.known.clear()
+        # a text with a zero byte is encoded whole; \x01 stands for its bytes here
+        joined = b"\0".join([t if b"\0" not in t else b"\x01" * len(t) for t in texts]) + b"\0"
+        starts, odd = part(joined)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(first, odd, "right") - 1] = True
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.append(starts[1:], len(data))
+        used = (data[starts] != 0) & ~np.repeat(whole, np.diff(np.searchsorted(starts, first)))
+        starts, ends = starts[used], ends[used]
+        hashes, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        words = [joined[starts[where[i]] : ends[where[i]]] for i in new]
+        spaced = [i for i, w in enumerate(words) if w[:1] == b" " and len(w) > 1]
+        plain = [i for i, w in enumerate(words) if not (w[:1] == b" " and len(w) > 1)]
+        for some, how in ((spaced, self.cut), (plain, lambda ws: self.raw([w.decode() for w in ws]))):
+            self.known.update(zip([keys[new[i]] for i in some], how([words[i] for i in some]) if some else [], strict=True))
+        ids = [self.known[k] for k in keys]
+        size = np.array([len(x) for x in ids], np.int64) // self.width
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        count = size[back]
+        out = pool[flat_ranges((np.cumsum(size) - size)[back], count)] if len(back) else pool
+        bound = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, first)].tolist()
+        rest = iter(self.raw([t.decode() for t, w in zip(texts, whole.tolist(), strict=True) if w]))
+        return [next(rest) if w else out[a:b].tobytes() for w, a, b in zip(whole.tolist(), bound[:-1], bound[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -124,11 +181,12 @@ def _encoder(path: str) -> Encoder:
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> bytes:
     """The shared dictionary; empty if the sample is too small to train one."""
-    order = [F.xxhash64(F.col(key)), F.xxhash64(F.col(text))]
-    rows = docs.where(F.length(text) > 0).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), *[o.alias(f"o{i}") for i, o in enumerate(order)]).orderBy("o0", "o1").limit(SAMPLE).collect()
+    hashed = docs.where(F.length(text) > 0).select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    chosen = [r.h for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
+    rows = hashed.where(F.col("h").isin(chosen)).orderBy("h", "t").limit(SAMPLE).collect() if chosen else []
     encoder = Encoder(path)
     end = np.array([end_id], f"<u{encoder.width}").tobytes()
-    samples = [x + end for x in encoder.encode([r.t for r in rows])]
+    samples = [x + end for x in encoder.encode([r.t.encode() for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # the trainer's own judgement of too few or too short samples
@@ -192,7 +250,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=list(names))
 
         for batch, parts in chunks(batches, "t"):
-            for i, found in zip(batch.column(0).to_pylist(), encoder.encode([p.decode() for p in parts]), strict=True):
+            for i, found in zip(batch.column(0).to_pylist(), encoder.encode(parts), strict=True):
                 ids.append(i)
                 counts.append((len(found) + len(end)) // width)
                 frames.append(packer.compress(found + end))
