@@ -1,3 +1,115 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+"""DuckDB SQL for the queries of this package that SQL can express, written from
+what the results are, not from the Spark plans."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_TURNS = """
+  turns as (
+    select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as n, role, text
+    from (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+          from conversations where conv_id is not null and turn is not null)),
+  pairs as (select distinct conv_id // 2 as pair_id from conversations where conv_id is not null),
+  first_difference as (
+    select pair_id, min(n) as n from (
+      select coalesce(a.conv_id // 2, b.conv_id // 2) as pair_id, coalesce(a.n, b.n) as n,
+             a.role is not distinct from b.role and a.text is not distinct from b.text as same
+      from (select * from turns where conv_id % 2 = 0) a
+      full join (select * from turns where conv_id % 2 = 1) b on a.conv_id + 1 = b.conv_id and a.n = b.n)
+    where not same group by pair_id),
+  cut as (
+    select t.conv_id // 2 as pair_id, t.conv_id % 2 = 0 as chosen, t.n, t.role, t.n < coalesce(d.n, 1000000000) as common,
+           '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) as said, length(t.role) + 13 as skip
+    from turns t left join first_difference d on d.pair_id = t.conv_id // 2),
+  placed as (
+    select *, sum(length(said)) over (partition by pair_id, chosen, common order by n) - length(said) as off from cut),
+  parts as (
+    select pair_id,
+      string_agg(said, '' order by n) filter (chosen and common) as prompt,
+      count(*) filter (chosen and common) as n_prompt,
+      string_agg(said, '' order by n) filter (chosen and not common) as chosen_completion,
+      string_agg((off + skip) || '-' || (off + length(said)), ',' order by n) filter (chosen and not common and role = 'assistant') as chosen_spans,
+      string_agg(said, '' order by n) filter (not chosen and not common) as rejected_completion,
+      string_agg((off + skip) || '-' || (off + length(said)), ',' order by n) filter (not chosen and not common and role = 'assistant') as rejected_spans
+    from placed group by pair_id)"""
+
+OP1 = f"""
+with {_TURNS}
+select pair_id, pair_id * 2 as chosen, pair_id * 2 + 1 as rejected, coalesce(n_prompt, 0) as n_prompt, coalesce(prompt, '') as prompt,
+  coalesce(chosen_completion, '') as chosen_completion, coalesce(chosen_spans, '') as chosen_spans,
+  coalesce(rejected_completion, '') as rejected_completion, coalesce(rejected_spans, '') as rejected_spans
+from pairs left join parts using (pair_id)
+"""
+
+_W = r"[^\x20\x09-\x0D]+"
+
+OP7 = f"""
+with d as (
+    select row_number() over () as r, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_W}') as w from documents),
+  windows as (
+    select r, i, list_slice(w, i, i + 7) as x from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+  twice as (select r, x from windows group by r, x having count(*) > 1),
+  covered as (select r, count(distinct i + k) as n from (select r, i from windows join twice using (r, x)), (select unnest(range(8)) as k) group by r),
+  lines as (
+    select r, sum(c - 1) as n from (
+      select r, line, count(*) as c from (select r, unnest(string_split(t, chr(10))) as line from d)
+      where regexp_matches(line, '{_W}') group by r, line) group by r),
+  f as (
+    select d.r, doc_id, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+      coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words
+    from d left join covered using (r) left join lines using (r)),
+  rules as (
+    select *, n_words < 20 as f_short, 100 * n_repeat_words > 30 * n_words as f_repeat,
+      100 * n_symbols > 25 * word_chars as f_symbol, 100 * n_dup_lines > 10 * n_words as f_line from f),
+  long_form as (
+    select r, source, unnest([f_short, f_repeat, f_symbol, f_line]) as failed, unnest([1, 2, 3, 4]) as rule from rules),
+  rates as (select source, rule, count(*) as n, sum(failed::int) as k, avg(failed::int) as rate from long_form group by source, rule),
+  moments as (select rule, avg(rate) as m, var_pop(rate) as v from rates group by rule),
+  weights as (select rule, m, case when v > 0 and m * (1 - m) > v then m * (1 - m) / v - 1 else 20.0 end as weight from moments),
+  hosts as (select source, max((k + weight * m) / (n + weight)) as worst from rates join weights using (rule) group by source)
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short or f_repeat as base_failed,
+  not (f_short or f_repeat) and worst <= 0.9 and not (worst > 0.5 and (f_symbol or f_line)) as kept
+from rules join hosts on rules.source is not distinct from hosts.source
+"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_A = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP9 = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '{_A}') as w from documents),
+  items as (select distinct item_id, regexp_extract_all({_LOW}, '{_A}') as w from benchmark where item_id is not null),
+  patterns as (
+    select distinct item_id, list_slice(w, i, i + 9) as x, len(list_slice(w, i, i + 9)) as n
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),
+  sizes as (select distinct n from patterns),
+  windows as (
+    select r, i, n, list_slice(w, i, i + n - 1) as x
+    from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+  found as (select r, i, n, item_id from windows join patterns using (n, x)),
+  words as (select r, count(distinct i + k) as n_hit from (select r, i, unnest(range(n)) as k from found) group by r),
+  named as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join words using (r) left join named using (r)
+"""
+
+OP3 = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') as w from documents),
+  windows as (
+    select r, i, array_to_string(list_slice(w, i, i + 34), ' ') as x from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+  hashed as (select r, i, md5(x) as x from windows),
+  twice as (select x from hashed group by x having count(*) > 1),
+  gone as (select distinct r, i + k as i from (select r, i from hashed join twice using (x)), (select unnest(range(35)) as k)),
+  kept as (
+    select r, string_agg(word, ' ' order by i) as t, count(*) as n
+    from (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d) anti join gone using (r, i) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_preference_formatting": OP1,
+    "op3_substring_dedup": OP3,
+    "op7_quality_rules": OP7,
+    "op9_benchmark_decontamination": OP9,
+}

@@ -5,12 +5,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_wrappers, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files
+from corpusmill.llm import decontaminate, html_wrappers, near_dedup, preferences, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
 from corpusmill.session import work_folder
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = preferences.formatted(preferences.adjacent_pairs(turns), turns)
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for c in ("chosen_spans", "rejected_spans")}
+    return found.withColumns(spans)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), like=near_dedup.Likeness(shingle=3, percent=85))
 
@@ -49,4 +57,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_secret_scans)}
+REGISTRY = {f.__name__: f for f in (op1_preference_formatting, op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_secret_scans)}
