@@ -76,6 +76,10 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
+#: Elements inside one another that are told apart.
+DEPTH = 200
+
+
 class Element:
     __slots__ = ("sign", "children")
 
@@ -97,7 +101,7 @@ def parse(page: str) -> Element:
     """A page's tree of block elements and texts."""
     root = Element("")
     stack, parts = [(root, "")], []
-    link = linked = at = 0
+    link = linked = at = too_deep = 0
 
     def flush() -> None:
         nonlocal linked
@@ -138,7 +142,11 @@ def parse(page: str) -> Element:
             parts.append(" ")
         elif name in BLOCKS:
             flush()
-            if shut:
+            if len(stack) > DEPTH and not shut:
+                too_deep += 1  # its text counts for the element around it
+            elif shut and too_deep:
+                too_deep -= 1
+            elif shut:
                 close((name,), frozenset() if name not in ("p", "li") else STOPS - {name})
             else:
                 for _ in range(2):

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
 from corpusmill.llm.tokens import chunks, mix
@@ -282,7 +283,7 @@ def codec(path: str) -> Codec:
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``ids``, an array of ints (null for null)."""
     wide = docs.select(F.struct(*[c for c in docs.columns if c != "ids"]).alias("row"), F.col(text).alias("t"))
-    shape = wide.select("row", F.array().cast("array<int>").alias("ids")).schema
+    shape = StructType([wide.schema["row"], StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -299,7 +300,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns of ``tokens`` and ``decoded``, the text of the ids."""
     wide = tokens.select(F.struct(*[c for c in tokens.columns if c != "decoded"]).alias("row"), F.col(ids).cast("array<int>").alias("i"))
-    shape = wide.select("row", F.lit("").cast("string").alias("decoded")).schema
+    shape = StructType([wide.schema["row"], StructField("decoded", StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
