@@ -18,7 +18,7 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     corpus = argparse.ArgumentParser(add_help=False)
     corpus.add_argument("--corpus", required=True)
-    corpus.add_argument("--max-file-bytes", type=int, default=fv.MAX_FILE_BYTES)
+    corpus.add_argument("--max-file-bytes", type=int, default=None)
     corpus.add_argument("--chunk-size", type=int, default=fv.CHUNK_SIZE)
     corpus.add_argument("--chunk-overlap", type=float, default=fv.CHUNK_OVERLAP)
     index = commands.add_parser("index", parents=[corpus])

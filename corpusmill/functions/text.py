@@ -125,9 +125,11 @@ def has_phone(text: Column) -> Column:
     return F.rlike(text, F.lit(PHONE))
 
 
-def sanitize_question(text: Column) -> Column:
-    """Trim, keep at most the question byte limit, mask personal data."""
-    return trim(redact(byte_prefix(trim(text), fv.QUESTION_BYTES)))
+def sanitize_question(text: Column, max_bytes: int | None = None) -> Column:
+    """Trim and mask personal data; with ``max_bytes`` (the replaced application
+    used ``fv.QUESTION_BYTES``) only so much of the question is kept."""
+    whole = trim(text)
+    return trim(redact(whole if max_bytes is None else byte_prefix(whole, max_bytes)))
 
 
 def is_cacheable(question: Column) -> Column:

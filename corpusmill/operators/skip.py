@@ -136,14 +136,9 @@ def skip_decisions(
     )
 
 
-def to_process(docs: DataFrame, decisions: DataFrame, mostly_skipped: bool = False) -> DataFrame:
-    """Documents that are not skipped.
-
-    The documents carry their text, so the id list joined to them should be
-    the shorter one: Spark then broadcasts it and the text stays in place.
-    """
-    if mostly_skipped:
-        return docs.join(decisions.filter("not skip").select("document_id"), "document_id", "left_semi")
+def to_process(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Documents that are not skipped. The id list is short beside the texts;
+    where it is small enough Spark broadcasts it and the texts stay in place."""
     return docs.join(decisions.filter("skip").select("document_id"), "document_id", "left_anti")
 
 

@@ -83,7 +83,7 @@ class BucketedTable:
         if not touched:
             return version - 1
         existing = self.read(touched)
-        merged = batch if existing is None else combine(existing, batch)
+        merged = combine(batch.limit(0) if existing is None else existing, batch)  # also the first batch may repeat keys
         folder = f"{self.path}/v{version:08d}"
         out = merged.withColumn("__bucket", self.bucket())
         # A random second key splits a crowded bucket over several tasks.

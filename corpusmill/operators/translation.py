@@ -44,7 +44,7 @@ class ModelTranslator:
         self,
         name: str,
         ask: Callable[[str], str],
-        max_bytes: int = fv.MAX_PROMPT_BYTES,
+        max_bytes: int | None = None,
         retries: int = 2,
     ):
         self.name, self._ask, self._max_bytes, self._retries = name, ask, max_bytes, retries
@@ -57,7 +57,7 @@ class ModelTranslator:
             raise ValueError("target language is required")
         if source == target:
             return body
-        if len(body.encode()) > self._max_bytes:
+        if self._max_bytes is not None and len(body.encode()) > self._max_bytes:
             raise ValueError("translation input exceeds the configured limit")
         prompt = fv.TRANSLATION_PROMPT.format(label=label or "content", source=source, target=target, text=body)
         for attempt in range(self._retries + 1):

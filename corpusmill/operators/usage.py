@@ -82,9 +82,7 @@ class UsageFilter:
     offset: int = 0
 
     def paging(self) -> tuple[int, int]:
-        default, ceiling = fv.USAGE_LIMIT
-        limit = default if self.limit < 1 else min(self.limit, ceiling)
-        return limit, max(self.offset, 0)
+        return (fv.USAGE_LIMIT[0] if self.limit < 1 else self.limit), max(self.offset, 0)
 
     def _dimensions(self) -> list[Column]:
         wanted = {"flow": self.flow.strip(), "operation": self.operation.strip(), "mode": self.mode.strip()}

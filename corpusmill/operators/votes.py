@@ -128,30 +128,58 @@ def initiants(contributors: DataFrame) -> DataFrame:
     return picked.select("voting_id", "position", F.col("name").alias("fullname"), "party", "role")
 
 
-def arguments(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``voting_id, pro, contra``.
-
-    Documents are sorted into sides by their words; documents of no side and
-    free texts fill a missing side in order. A side is cut to its byte limit.
-    A piece takes at least two bytes of it with its separator, so the first
-    pieces up to half the limit decide the exact result and a vote with any
-    number of documents is never gathered whole.
-    """
-    limit = fv.ARGUMENT_SIDE_BYTES
-    from_docs = docs.select(
-        "voting_id", F.lit(0).alias("origin"), "position", tx.compact(F.col("text"), fv.ARGUMENT_DOC_BYTES).alias("piece")
-    ).withColumn("side", tx.argument_side(F.col("piece")))
+def _sided(docs: DataFrame, texts: DataFrame, doc_bytes: int | None, text_bytes: int | None) -> DataFrame:
+    """``voting_id, origin, position, piece, side``: whole pieces unless cut."""
+
+    def piece(text: Column, limit: int | None) -> Column:
+        return tx.squeeze(text) if limit is None else tx.compact(text, limit)
+
+    from_docs = docs.select("voting_id", F.lit(0).alias("origin"), "position", piece(F.col("text"), doc_bytes).alias("piece"))
     from_texts = texts.select(
         "voting_id",
         F.lit(1).alias("origin"),
         "position",
-        tx.compact(lg.localized(F.col("text")), fv.ARGUMENT_TEXT_BYTES).alias("piece"),
+        piece(lg.localized(F.col("text")), text_bytes).alias("piece"),
         F.lit("unknown").alias("side"),
     )
-    pieces = from_docs.unionByName(from_texts).filter("piece <> ''")
-    order = [F.asc("origin"), F.asc("position")]
-    first = top_per_key(pieces, ["voting_id", "side"], order, limit // 2 + 1, rank="nth")
-    # Bounded: at most limit/2+1 pieces per side.
+    return from_docs.withColumn("side", tx.argument_side(F.col("piece"))).unionByName(from_texts).filter("piece <> ''")
+
+
+_IN_ORDER = ("origin", "position")
+
+
+def argument_pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``voting_id, side, origin, position, piece``: the arguments pro and
+    contra, one whole document or text a row, in the order (origin, position).
+
+    Documents are sorted into sides by all their words. Where a vote has none
+    for a side, its first piece of no side stands in for pro, its second for
+    contra. Nothing is gathered per vote: a side's presence is a flag added up
+    before the shuffle, and the two stand-ins come from a limited rank.
+    """
+    pieces = _sided(docs, texts, None, None)
+    known = pieces.filter("side <> 'unknown'")
+    has = known.groupBy("voting_id").agg(*[F.max((F.col("side") == s).cast("int")).alias(f"has_{s}") for s in ("pro", "contra")])
+    free = top_per_key(pieces.filter("side = 'unknown'"), ["voting_id"], [F.asc(c) for c in _IN_ORDER], 2, rank="nth")
+    standing = free.withColumn("side", F.when(F.col("nth") == 1, "pro").otherwise("contra")).join(has, "voting_id", "left")
+    missing = F.when(F.col("side") == "pro", F.col("has_pro")).otherwise(F.col("has_contra"))
+    columns = ("voting_id", "side", *_IN_ORDER, "piece")
+    return known.select(*columns).unionByName(standing.filter(F.coalesce(missing, F.lit(0)) == 0).select(*columns))
+
+
+def arguments(docs: DataFrame, texts: DataFrame, side_bytes: int, doc_bytes: int | None = None, text_bytes: int | None = None) -> DataFrame:
+    """``voting_id, pro, contra``: each side as one text of ``side_bytes`` at most.
+
+    For short displays; ``argument_pieces`` has everything. A piece takes at
+    least two bytes with its separator, so the first pieces up to half the
+    limit decide the result. They are ranked within hashed parts of a vote
+    first, each part keeping that many, then among what is left.
+    """
+    most, parts = side_bytes // 2 + 1, 64
+    pieces = _sided(docs, texts, doc_bytes, text_bytes).withColumn("part", F.pmod(F.xxhash64("origin", "position"), F.lit(parts)))
+    order = [F.asc(c) for c in _IN_ORDER]
+    some = top_per_key(pieces, ["voting_id", "side", "part"], order, most)
+    first = top_per_key(some, ["voting_id", "side"], order, most, rank="nth")
     gathered = first.groupBy("voting_id").agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("nth", "piece")))).alias(side)
@@ -165,9 +193,8 @@ def arguments(docs: DataFrame, texts: DataFrame) -> DataFrame:
     def side(name: str, at: int) -> Column:
         joined = F.array_join(F.transform(name, lambda p: p["piece"]), "\n\n")
         text = F.when(F.size(name) > 0, joined).otherwise(filler(at))
-        return F.coalesce(tx.compact(text, limit), F.lit(fv.ARGUMENT_MISSING)).alias(name)
+        return F.coalesce(tx.compact(text, side_bytes), F.lit(fv.ARGUMENT_MISSING)).alias(name)
 
-    # The first side-less piece stands in for pro, the second for contra.
     return gathered.select("voting_id", side("pro", 1), side("contra", 2))
 
 
@@ -269,7 +296,7 @@ def vote_documents(
     for part in (
         affair.select("voting_id", F.struct(*[c for c in affair.columns if c not in ("voting_id", "position")]).alias("affair")),
         people,
-        arguments(docs, texts),
+        arguments(docs, texts, fv.ARGUMENT_SIDE_BYTES, fv.ARGUMENT_DOC_BYTES, fv.ARGUMENT_TEXT_BYTES),
         doc_list,
         text_list,
         available_languages(votings, affair, docs, texts),

@@ -52,8 +52,7 @@ class VotationFilter:
         return reduce(Column.__and__, terms)
 
     def paging(self) -> tuple[int, int]:
-        default, ceiling = fv.LIST_LIMIT
-        return (default if self.limit <= 0 else min(self.limit, ceiling)), max(self.offset, 0)
+        return (fv.LIST_LIMIT[0] if self.limit <= 0 else self.limit), max(self.offset, 0)
 
 
 @dataclass(frozen=True)
@@ -219,8 +218,9 @@ def list_votations(
         rows = page(_rows(filtered, translations), order, limit, offset)
     else:
         ids_ = _page_ids(filtered, translations, limit, offset)
-        # At most ``limit`` (100) ids: a bounded broadcast.
-        rows = _rows(filtered.join(F.broadcast(ids_), "votation_id", "left_semi"), translations)
+        # At most ``limit`` ids; a page of a size that a request may ask for is broadcast.
+        chosen = F.broadcast(ids_) if limit <= fv.LIST_LIMIT[1] else ids_
+        rows = _rows(filtered.join(chosen, "votation_id", "left_semi"), translations)
     items, pending = _assemble(rows, newest_first(), wanted.lang, as_of, languages)
     ordered = items.orderBy(F.desc_nulls_first("vote_date"), F.asc("votation_id"))
     return VotationPage(
@@ -228,16 +228,16 @@ def list_votations(
     )
 
 
-def with_lists(found: VotationPage, max_per_votation: int = 10_000) -> DataFrame:
+def with_lists(found: VotationPage, max_per_votation: int | None = None) -> DataFrame:
     """Items with sorted ``object_ids`` and ``source_urls`` arrays.
 
-    For pages whose lists are short; a longer list is an error, and the long
-    form then has all of it.
+    For pages whose lists are short; the long form has no lists. With
+    ``max_per_votation`` a longer list is an error.
     """
 
     def nested(df: DataFrame, column: str, alias: str) -> DataFrame:
         sizes = df.groupBy("votation_id").agg(F.count("*").alias("n"))
-        if sizes.filter(F.col("n") > max_per_votation).limit(1).count():
+        if max_per_votation is not None and sizes.filter(F.col("n") > max_per_votation).limit(1).count():
             raise ValueError(f"a votation has more than {max_per_votation} values of {column}; use the long form")
         return df.groupBy("votation_id").agg(F.array_sort(F.collect_list(column)).alias(alias))
 

@@ -21,7 +21,7 @@ from corpusmill.functions import text as tx
 from corpusmill.operators import skip, snapshot
 from corpusmill.operators.chunking import ChunkPlan, chunk_documents, expected_chunks
 from corpusmill.operators.embedding import HashEmbedder
-from corpusmill.sources.tables import spread, table
+from corpusmill.sources.tables import table
 
 AS_OF = "2000-01-01T00:00:00Z"
 WRITE_LANGUAGES = ["fr", "de", "it", "rm", "en", "es", "pt"]
@@ -35,10 +35,8 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def corpus_documents(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
-    """``heavy`` spreads a small file over all cores for CPU-bound work."""
+def corpus_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    docs = spread(docs) if heavy else docs
     key = _text("doc_id")
     modified = F.when(
         F.col("lang") == "fr", F.timestamp_add("MINUTE", F.col("n_chars").cast("int"), F.lit("2024-01-01").cast("timestamp"))
@@ -59,7 +57,7 @@ def corpus_documents(spark: SparkSession, sf: str, heavy: bool = False) -> DataF
 
 
 def corpus_chunks(spark: SparkSession, sf: str, plan: ChunkPlan = ChunkPlan()) -> DataFrame:
-    docs = corpus_documents(spark, sf, heavy=True)
+    docs = corpus_documents(spark, sf)
     keep = ["document_id", "translation_id", "lang", "title", "source_path", "source_system", "source_uri", "content"]
     return chunk_documents(docs.select(*keep), plan)
 
@@ -143,7 +141,7 @@ def catalog_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def translation_writes(spark: SparkSession, sf: str) -> DataFrame:
     """Every write of a (document, language); the newest one is current."""
-    items = spread(table(spark, sf, "lineitem"))
+    items = table(spark, sf, "lineitem")
     code = F.element_at(F.array(*[F.lit(c) for c in WRITE_LANGUAGES]), F.col("l_linenumber"))
     part = _text("l_partkey")
     shown = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Shown "), part)).otherwise("")
@@ -243,7 +241,7 @@ def affairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contributors(spark: SparkSession, sf: str) -> DataFrame:
-    items = spread(table(spark, sf, "lineitem"))
+    items = table(spark, sf, "lineitem")
     role = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Motionnaire principal").otherwise("Membre")
     return items.select(
         F.col("l_orderkey").alias("voting_id"),
@@ -259,7 +257,7 @@ def contributors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vote_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select(F.col("source").alias("voting_id"), F.col("doc_id").alias("position"), "text", F.col("lang").alias("language"))
 
 

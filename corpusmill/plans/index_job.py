@@ -174,7 +174,7 @@ def run_index(
     if counts[0] == counts[1]:
         store.drop(staging)
         return IndexReport(run_id, counts[0], counts[1], 0, 0)
-    changed = skip.to_process(docs, decided, mostly_skipped=counts[1] * 2 > counts[0])
+    changed = skip.to_process(docs, decided)
     todo = with_languages(changed, stored, settings, translator)
     prepared = skip.with_index_metadata(todo).withColumns(
         filter_columns(F.col("metadata"), F.col("external_id"), as_of)

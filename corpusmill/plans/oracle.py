@@ -99,7 +99,7 @@ _ASKED = f"""
     select conv_id * 1000 + turn as question_id, {_strip('text')} as raw,
       case when turn = 0 then 'de' else 'en-gb' end as language
     from conversations where role = 'user'),
-  cut as (select question_id, language, {_prefix('raw', 1200)} as c from asked),
+  cut as (select question_id, language, raw as c from asked),
   signed as (
     select question_id, language, {_strip(_redact('c'))} as question, {_SIGNATURE} as signature from cut),
   keyed as (
@@ -370,7 +370,7 @@ ORACLE: dict[str, str] = {
         select exact_key, cast(rank as integer) as rank, cast(used as bigint) as used_before, budget,
           cast(greatest(0, budget - used - strlen(header)) as bigint) as room, header from c where used < budget""",
     "sanitized_questions": f"""with t as (select conv_id, turn, {_strip('text')} as raw from conversations),
-        c as (select conv_id, turn, {_prefix('raw', 1200)} as c from t),
+        c as (select conv_id, turn, raw as c from t),
         s as (select conv_id, turn, {_strip(_redact('c'))} as question from c)
         select *, question <> '' and not contains(question, '{fv.EMAIL_MARK}') and not contains(question, '{fv.PHONE_MARK}') as cacheable from s""",
     "cache_keys": f"with {_ASKED} select question_id, signature, context_hash, exact_key, semantic_key from keyed",
@@ -495,20 +495,15 @@ ORACLE: dict[str, str] = {
           l_returnflag = 'A' as person from lineitem),
         s as (select *, bool_or(role <> 'Membre') over (partition by voting_id) as marked from c)
         select voting_id, position, fullname, party, role from s where case when marked then role <> 'Membre' else person end""",
-    "vote_arguments": f"""with d as (select source as v, 0 as o, doc_id as p, {_squeeze('text')} as t from documents),
-        dc as (select v, o, p, case when strlen(t) <= 1800 then t else trim({_prefix('t', 1800)}) || '...' end as text from d),
-        sd as (select *, {_count_words(fv.PRO_WORDS)} as pro, {_count_words(fv.CONTRA_WORDS)} as con from dc),
-        b as (select 'src' || item_id as v, 1 as o, item_id as p, {_squeeze('text')} as t from benchmark),
-        bc as (select v, o, p, case when strlen(t) <= 1200 then t else trim({_prefix('t', 1200)}) || '...' end as text from b),
-        a as (select v, o, p, text, case when pro = 0 and con = 0 then 'u' when pro >= con then 'p' else 'c' end as side from sd
-          union all select v, o, p, text, 'u' from bc),
-        g as (select v, string_agg(text, ' ' order by o, p) filter (side = 'p') as pt,
-          string_agg(text, ' ' order by o, p) filter (side = 'c') as ct,
-          list(text order by o, p) filter (side = 'u') as u from a where text <> '' group by v),
-        f as (select v, coalesce(pt, u[1]) as pt, coalesce(ct, u[2]) as ct from g)
-        select v as voting_id,
-          coalesce(case when strlen(pt) <= 2400 then pt else trim({_prefix('pt', 2400)}) || '...' end, '{fv.ARGUMENT_MISSING}') as pro,
-          coalesce(case when strlen(ct) <= 2400 then ct else trim({_prefix('ct', 2400)}) || '...' end, '{fv.ARGUMENT_MISSING}') as contra from f""",
+    "vote_arguments": f"""with d as (select source as v, 0 as o, doc_id as p, {_squeeze('text')} as text from documents),
+        sd as (select *, {_count_words(fv.PRO_WORDS)} as pro, {_count_words(fv.CONTRA_WORDS)} as con from d),
+        a as (select v, o, p, text, case when pro = 0 and con = 0 then 'u' when pro >= con then 'pro' else 'contra' end as side from sd
+          union all select 'src' || item_id, 1, item_id, {_squeeze('text')}, 'u' from benchmark),
+        k as (select * from a where text <> ''),
+        u as (select v, o, p, text, case row_number() over (partition by v order by o, p) when 1 then 'pro' when 2 then 'contra' end as side from k where side = 'u'),
+        r as (select v, o, p, text, side from k where side <> 'u'
+          union all select v, o, p, text, side from u where side is not null and not exists (select 1 from k where k.v = u.v and k.side = u.side))
+        select v as voting_id, side, o as origin, p as position, text as piece from r""",
     "vote_locations": """with v as (select c_custkey, case when c_mktsegment = 'BUILDING' then -1 else c_nationkey end as target, n_regionkey as r
           from customer join nation on c_nationkey = n_nationkey),
         b as (select c_custkey, n_nationkey as k, case when n_nationkey > 12 then 'N' || chr(n_nationkey + 65) else '' end as canton,

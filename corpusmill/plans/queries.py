@@ -18,7 +18,7 @@ from corpusmill.operators.embedding import HashEmbedder
 from corpusmill.plans import catalog
 from corpusmill.plans import corpus_views as views
 from corpusmill.sources.html import visible_text
-from corpusmill.sources.tables import spread, table
+from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -56,7 +56,7 @@ def chunk_documents_512(spark, sf):
 
 @query
 def expected_chunk_count(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     count = tx.word_count(F.col("content"))
     return docs.select("document_id", count.alias("tokens")).select(
         "document_id",
@@ -115,7 +115,7 @@ def document_ids(spark, sf):
 
 @query
 def content_hash(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     return docs.select("document_id", ids.content_hash(F.col("lang"), F.col("title"), F.col("content")).alias("content_hash"))
 
 
@@ -127,7 +127,7 @@ def source_fingerprint(spark, sf):
 
 @query
 def translation_source_hash(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     return docs.select(
         "document_id",
         ids.translation_source_hash(F.col("lang"), F.col("title"), F.col("content")).alias("source_hash"),
@@ -152,7 +152,7 @@ def slugs(spark, sf):
 
 @query
 def pii_redact(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select(
         "doc_id",
         ids.sha256(tx.redact(F.col("text"))).alias("redacted_sha"),
@@ -163,19 +163,19 @@ def pii_redact(spark, sf):
 
 @query
 def markdown_strip(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", ids.sha256(tx.squeeze(tx.strip_markdown(F.col("text")))).alias("plain_sha"))
 
 
 @query
 def compact_text(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", tx.compact(F.col("text"), 300).alias("compact"))
 
 
 @query
 def highlight_snippets(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", tx.highlight(F.col("text")).alias("snippet"))
 
 
@@ -251,7 +251,7 @@ def vote_dates(spark, sf):
 
 @query
 def html_text(spark, sf):
-    pages = spread(table(spark, sf, "pages"))
+    pages = table(spark, sf, "pages")
     return pages.select("page_id", tx.squeeze(visible_text(F.col("html"))).alias("text"))
 
 
@@ -260,7 +260,7 @@ def html_text(spark, sf):
 
 @query
 def hash_embedding(spark, sf):
-    asked = spread(views.questions(spark, sf))
+    asked = views.questions(spark, sf)
     embedded = asked.select("question_id", HashEmbedder().embed(F.col("question")).alias("v"))
     return embedded.select("question_id", F.posexplode("v").alias("dim", "value")).select(
         "question_id", "dim", F.round(F.col("value").cast("double"), 7).alias("value")
@@ -520,14 +520,14 @@ def replace_documents(spark, sf):
 
 @query
 def index_skip_decisions(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     state, translations = views.index_state(spark, sf)
     return skip.skip_decisions(docs, state, translations)
 
 
 @query
 def index_to_process(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     state, translations = views.index_state(spark, sf)
     left = skip.to_process(docs, skip.skip_decisions(docs, state, translations))
     return left.select("document_id", "lang")
@@ -557,7 +557,7 @@ def missing_translations(spark, sf):
 
 @query
 def translation_plan(spark, sf):
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     _, stored = views.index_state(spark, sf)
     # Stored German texts made from the same source are reusable.
     german = stored.withColumn("lang", F.lit("de"))
@@ -686,7 +686,7 @@ def vote_initiants(spark, sf):
 
 @query
 def vote_arguments(spark, sf):
-    return votes.arguments(views.vote_docs(spark, sf), views.vote_texts(spark, sf))
+    return votes.argument_pieces(views.vote_docs(spark, sf), views.vote_texts(spark, sf))
 
 
 @query
@@ -699,7 +699,7 @@ def crawl_levels(spark, sf):
     from corpusmill.sources.crawl import crawl, from_table
 
     seeds, pages = views.link_pages(spark, sf)
-    return crawl(seeds, from_table(pages), max_nodes=None).select("voting_id", "depth", "url", "label")
+    return crawl(seeds, from_table(pages)).select("voting_id", "depth", "url", "label")
 
 
 @query
@@ -723,7 +723,7 @@ def people_from_names(spark, sf):
     """Names split, short ones dropped, repeats removed ignoring case."""
     from corpusmill.sources.files import persons_from_list
 
-    docs = views.corpus_documents(spark, sf, heavy=True)
+    docs = views.corpus_documents(spark, sf)
     named = docs.select("document_id", F.posexplode(persons_from_list(F.col("content"), "[.]")).alias("at", "p"))
     return named.select("document_id", "at", F.concat_ws("~", "p.first_name", "p.last_name").alias("name"))
 
@@ -731,7 +731,7 @@ def people_from_names(spark, sf):
 @query
 def language_view(spark, sf):
     """A JSON document reduced to one language, empty branches pruned."""
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     body = F.struct(
         F.create_map(F.lit("fr"), F.col("source"), F.lit("de"), F.lit(" ")).alias("title"),
         F.struct("doc_id", F.lit(" ").alias("blank")).alias("doc"),

