@@ -530,5 +530,10 @@ ORACLE: dict[str, str] = {
     "language_view": """with d as (select doc_id, '{"body":{"text":' || to_json(text) || '},"doc":{"doc_id":' || doc_id || '},"title":"' || source || '"}' as j from documents)
         select doc_id, sha256(replace(replace(replace(j, '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), '&', chr(92) || 'u0026')) as fr_sha,
           '{"doc":{"doc_id":' || doc_id || '}}' as de_view from d""",
+    # scripts are raw text; of character references only those that pages hold are decoded
+    "html_text": f"""with p as (select page_id, string_split_regex(html, '(?i)</?script[^>]*>') as parts from pages),
+        t as (select page_id, list_transform(parts, lambda x, i: case when i % 2 = 0 then x else
+          replace(replace(replace(replace(regexp_replace(x, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') end) as nodes from p)
+        select page_id, {_squeeze("array_to_string(nodes, ' ')")} as text from t""",
     "metadata_sanitized": """select c_custkey, '{"more":{"segment":"' || c_mktsegment || '"},"name":"' || c_name || '"}' as clean from customer""",
 }
