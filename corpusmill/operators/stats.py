@@ -57,20 +57,29 @@ def token_sum(column: str = "token_count") -> Column:
     return F.sum(F.greatest(F.col(column), F.lit(0))).cast("long")
 
 
-def run_totals(document_metrics: DataFrame, seconds: Column, upsert_seconds: Column) -> DataFrame:
-    """One row of totals and rates over the documents of an index run."""
+def run_totals(document_metrics: DataFrame, seconds: Column) -> DataFrame:
+    """One row of totals and rates over the documents of an index run, from
+    ``chunks_count, chunks_tokens_sum, embed_ms, upsert_ms``; ``seconds`` is the
+    run's own time."""
 
     def per(value: Column, base: Column) -> Column:
         return F.round(F.when(base > 0, value / base).otherwise(F.lit(0.0)), 2)
 
     totals = document_metrics.agg(
-        F.count("*").alias("documents"), F.coalesce(F.sum("chunks_count"), F.lit(0)).cast("long").alias("chunks")
+        F.count("*").alias("documents"),
+        *[
+            F.coalesce(F.sum(source), F.lit(0)).cast("long").alias(name)
+            for source, name in (("chunks_count", "chunks"), ("chunks_tokens_sum", "tokens"), ("embed_ms", "embed_ms"), ("upsert_ms", "upsert_ms"))
+        ],
     )
     return totals.select(
         "documents",
         "chunks",
+        "tokens",
+        "embed_ms",
+        "upsert_ms",
         per(F.col("chunks"), F.col("documents")).alias("chunks_per_document"),
         per(F.col("documents") * 60.0, seconds).alias("documents_per_minute"),
         per(F.col("chunks") * 1.0, seconds).alias("chunks_per_second"),
-        per(upsert_seconds * 100.0, seconds).alias("upsert_share_percent"),
+        per(F.col("upsert_ms") / 10.0, seconds).alias("upsert_share_percent"),
     )

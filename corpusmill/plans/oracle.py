@@ -291,10 +291,25 @@ ORACLE: dict[str, str] = {
     "sample_chunks": f"""with {_chunks()} select chunk_id, lang, token_count, title,
         case when strlen(content) > 220 then ({_prefix('content', 220)}) || '...' else content end as snippet
         from chunks order by chunk_id limit 40""",
-    "run_totals": f"""with {_chunks()}, d as (select document_id, count(*) as c from chunks group by all)
-        select count(*) as documents, cast(sum(c) as bigint) as chunks, round(sum(c) / count(*), 2) as chunks_per_document,
-        round(count(*) * 60.0 / 120, 2)::double as documents_per_minute, round(sum(c) / 120, 2)::double as chunks_per_second,
-        25.0::double as upsert_share_percent from d""",
+    "run_totals": f"""with {_chunks()}, d as (select document_id, count(*) as c, sum(greatest(token_count, 0)) as t, count(*) * 3 as e,
+          count(*) + max(token_count) as u from chunks group by all)
+        select count(*) as documents, cast(sum(c) as bigint) as chunks, cast(sum(t) as bigint) as tokens,
+        cast(sum(e) as bigint) as embed_ms, cast(sum(u) as bigint) as upsert_ms, round(sum(c) / count(*), 2) as chunks_per_document,
+        round(count(*) * 60.0::double / (sum(e) / 100.0::double), 2) as documents_per_minute, round(sum(c) / (sum(e) / 100.0::double), 2) as chunks_per_second,
+        round((sum(u) / 10.0::double) / (sum(e) / 100.0::double), 2) as upsert_share_percent from d""",
+    "fetch_cache_fresh": "select page_id, url from pages where page_id <= 72 and page_id % 5 <> 0",
+    "fetch_cache_retained": "select page_id, url from pages where page_id <= 168",
+    "seed_urls": """select o_orderkey as voting_id, p as position, n as name, u as url from (
+          select o_orderkey, 0 as p, 'voting' as n, 'https://x/v/' || o_orderkey as u from orders
+          union all select o_orderkey, 1, 'affairs', 'https://x/affairs/' || o_orderkey from orders where o_orderkey % 3 <> 0
+          union all select o_orderkey, 2, 'votes', 'https://x/votes/' || o_orderkey from orders where o_orderkey % 2 <> 0
+          union all select o_orderkey, 3, 'meeting', 'https://x/meeting/' || o_orderkey from orders where o_orderstatus = 'F'
+          union all select o_orderkey, 4, 'bodies', 'https://x/bodies/' || o_orderkey from orders where o_orderstatus <> 'P'
+          union all select o_orderkey, 5, 'affairs-fallback', 'https://api.openparldata.ch/v1/votings/' || o_orderkey || '/affairs' from orders where o_orderkey % 3 = 0)""",
+    "missing_bodies": """with a as (select distinct o_custkey as k from orders), r as (select 'https://api.openparldata.ch/v1/affairs/' || k as r, k from a)
+        select case when k % 4 = 0 then 'https://x/c/' || k else r || '/contributors' end as url from r
+        union select r || '/docs' from r where not (k % 2 = 0 and k in (select c_custkey from customer)) union select r || '/texts' from r""",
+    "front_matter_rows": """select doc_id, source as title, 'lang=' || lang || '|chars=1:2|id=' || doc_id as entries, sha256('Body: ' || text) as body_sha from documents""",
     "document_ids": f"with {_DOCS} select document_id, translation_id, translate(source_path, '/.', '__') as path_id from docs",
     "content_hash": f"with {_DOCS} select document_id, {_HASH} as content_hash from docs",
     "source_fingerprint": f"""with {_DOCS} select document_id, {_FINGERPRINT} as source_fingerprint,

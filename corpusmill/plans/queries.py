@@ -98,10 +98,89 @@ def sample_chunks(spark, sf):
 
 @query
 def run_totals(spark, sf):
+    """Milliseconds derived from the chunks stand in for measured times."""
     chunks = views.corpus_chunks(spark, sf).groupBy("document_id").agg(
-        F.count("*").alias("chunks_count"), stats.token_sum().alias("chunks_tokens_sum")
+        F.count("*").alias("chunks_count"),
+        stats.token_sum().alias("chunks_tokens_sum"),
+        (F.count("*") * 3).alias("embed_ms"),
+        (F.count("*") + F.max("token_count")).alias("upsert_ms"),
     )
-    return stats.run_totals(chunks, F.lit(120.0), F.lit(30.0))
+    return stats.run_totals(chunks, F.col("embed_ms") / 100.0)
+
+
+# --- fetching ----------------------------------------------------------------
+
+
+def _cached_pages(spark, sf):
+    """Pages as fetch-cache rows, aged by the hour; some bodies are not intact."""
+    whole = F.upper(F.sha2("html", 256))
+    return table(spark, sf, "pages").select(
+        "page_id",
+        "url",
+        F.col("html").alias("body"),
+        F.when(F.col("page_id") % 5 == 0, F.lit("00")).otherwise(F.concat(F.lit(" "), whole)).alias("sha256"),
+        F.timestamp_add("HOUR", -F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("fetched_at"),
+    )
+
+
+@query
+def fetch_cache_fresh(spark, sf):
+    from corpusmill.sources import fetch
+
+    return fetch.fresh(_cached_pages(spark, sf), F.lit("2024-01-01").cast("timestamp")).select("page_id", "url")
+
+
+@query
+def fetch_cache_retained(spark, sf):
+    from corpusmill.sources import fetch
+
+    return fetch.retained(_cached_pages(spark, sf), F.lit("2024-01-01").cast("timestamp")).select("page_id", "url")
+
+
+def _votings(spark, sf):
+    """Orders as votings with links, some of them blank or absent."""
+    key = F.col("o_orderkey")
+
+    def link(kind: str, when):
+        return F.when(when, F.concat(F.lit(f" https://x/{kind}/"), key.cast("string"))).alias(kind)
+
+    links = F.struct(
+        link("affairs", key % 3 != 0),
+        F.when(key % 2 == 0, F.lit("  ")).otherwise(F.concat(F.lit("https://x/votes/"), key.cast("string"))).alias("votes"),
+        link("meeting", F.col("o_orderstatus") == "F"),
+        link("bodies", F.col("o_orderstatus") != "P"),
+    )
+    return table(spark, sf, "orders").select(key.alias("id"), F.concat(F.lit("https://x/v/"), key.cast("string")).alias("url_api"), links.alias("links"))
+
+
+@query
+def seed_urls(spark, sf):
+    return votes.seed_urls(_votings(spark, sf))
+
+
+@query
+def missing_bodies(spark, sf):
+    """Payloads that the votes need and that no crawled seed has brought."""
+    orders = table(spark, sf, "orders")
+    key = F.col("o_custkey")
+    given = F.when(key % 4 == 0, F.concat(F.lit("https://x/c/"), key.cast("string")))
+    links = F.struct(given.alias("contributors"), F.lit("").alias("docs"), F.lit(None).cast("string").alias("texts"))
+    affairs = orders.select(F.col("o_orderkey").alias("voting_id"), key.alias("id"), links.alias("links"))
+    crawled = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+        F.concat(F.lit("https://api.openparldata.ch/v1/affairs/"), F.col("c_custkey").cast("string"), F.lit("/docs")).alias("url")
+    )
+    return votes.missing_bodies(votes.required_urls(affairs), crawled)
+
+
+@query
+def front_matter_rows(spark, sf):
+    """Documents as text files with a head: title, entries, then the body."""
+    from corpusmill.sources.files import front_matter
+
+    head = F.concat(F.lit("\n#  "), F.col("source"), F.lit(" \n\n- Lang : "), F.col("lang"), F.lit("\n-  Chars: 1:2\n- id: "), F.col("doc_id").cast("string"), F.lit("\n"))
+    parsed = table(spark, sf, "documents").select("doc_id", front_matter(F.concat(head, F.lit("Body: "), F.col("text"))).alias("f"))
+    pairs = F.array_join(F.transform("f.entries", lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return parsed.select("doc_id", F.col("f.title").alias("title"), pairs.alias("entries"), F.sha2("f.body", 256).alias("body_sha"))
 
 
 # --- ids, hashes, scalars ----------------------------------------------------
