@@ -311,3 +311,13 @@ def test_C18_vote_document_is_read_back(spark, tmp_path):
     write(tmp_path, {"v.json": made.document})
     row = corpus(spark, tmp_path).first()
     assert (row.document_id, row.title, row.lang) == ("openparldata:6_1", "Geschaeft", "de")
+
+
+def test_S2_branches_read_their_own_files_only(spark, tmp_path):
+    from corpusmill.sources.files import list_files
+
+    for name in ("a.MD", "b.json", "c.Html", "d.htm", "e.bin", "md"):
+        (tmp_path / name).write_text(name)
+    names = lambda *e: sorted(r.source_path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path), *e).collect())
+    assert names(".md", ".txt") == ["a.MD"] and names(".html", ".htm") == ["c.Html", "d.htm"] and names(".csv") == []
+    assert all(f.endswith((".Html", ".htm")) for f in list_files(spark, str(tmp_path), ".html", ".htm").inputFiles())
