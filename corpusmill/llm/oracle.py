@@ -107,9 +107,49 @@ select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n
 from d left join kept using (r)
 """
 
+OP2 = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOW}, '{_W}') as w from documents),
+  shingles as (
+    select distinct doc_id, md5(array_to_string(list_slice(w, i, i + 2), ' ')) as x
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+  sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+  common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id group by all),
+  links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+  edges as (select a, b from links union select b, a from links),
+  reach as (select a as id, a as r from edges union select e.a, reach.r from reach join edges e on e.b = reach.id),
+  found as (select id, min(r) as r from reach group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(r, d.doc_id) as component_id, coalesce(r, d.doc_id) = d.doc_id as kept
+from d left join sizes on sizes.doc_id = d.doc_id left join found on found.id = d.doc_id
+"""
+
+OP5 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as t, octet_length(encode(coalesce(text, ''))) as n from documents),
+  windows as (select doc_id, i, md5(substring(t, 2 * i + 1, 200)) as x from (select doc_id, t, unnest(range(n - 99)) as i from d where n >= 100)),
+  later as (select doc_id, i from windows qualify row_number() over (partition by x order by doc_id, i) > 1),
+  marked as (
+    select doc_id, i, coalesce(lag(i) over o + 100 < i, true) as fresh, least(100, coalesce(lead(i) over o - i, 100)) as adds
+    from later window o as (partition by doc_id order by i)),
+  numbered as (select *, sum(fresh::int) over (partition by doc_id order by i) as k from marked),
+  spans as (select doc_id, k, min(i) as a, max(i) + 100 as b, sum(adds) as size from numbered group by doc_id, k),
+  gaps as (
+    select s.doc_id, k, substring(t, 2 * coalesce(lag(b) over (partition by s.doc_id order by k), 0) + 1,
+      2 * (a - coalesce(lag(b) over (partition by s.doc_id order by k), 0))) as piece from spans s join d using (doc_id)),
+  cut as (select doc_id, count(*) as n_spans, sum(size) as gone, max(b) as last from spans group by doc_id),
+  kept as (
+    select doc_id, string_agg(piece, '' order by k) || any_value(substring(t, 2 * last + 1)) as t
+    from gaps join cut using (doc_id) join d using (doc_id) group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept.t, d.t))) as kept_sha256
+from d left join cut using (doc_id) left join kept using (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_preference_formatting": OP1,
+    "op2_minhash_near_dedup": OP2,
     "op3_substring_dedup": OP3,
+    "op5_suffix_array_dedup": OP5,
     "op7_quality_rules": OP7,
     "op9_benchmark_decontamination": OP9,
 }

@@ -81,7 +81,7 @@ def _across(found: DataFrame) -> DataFrame:
     return found.where("solo").join(twice, ["f1", "f2"], "left_semi").select("id", "h", "start")
 
 
-METHOD = windows.Method(K, GRAM, LOCAL, _symbols, _settle, _across)
+METHOD = windows.Method(K, GRAM, LOCAL, _symbols, _settle, _across, first_stays=False)
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,17 +91,17 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _cleaned(own: DataFrame) -> DataFrame:
-    both = own.join(windows.repeats(own, METHOD), ["id", "h"], "left").select("row", "t", F.coalesce("spans", F.array()).alias("spans"))
+    both = own.join(windows.repeats(own, METHOD), ["id", "h"], "left").select("row", "t", "whole", "spans")
     shape = own.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("t").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in chunks(batches, "t"):
             total, gone, kept = [], [], []
-            for t, ranges in zip(parts, batch.column(2).to_pylist(), strict=True):
+            for t, whole, ranges in zip(parts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = t.split()
                 total.append(len(words))
-                if ranges:
-                    a, b = windows.merged(np.array([r["a"] for r in ranges]), np.array([r["b"] for r in ranges]))
+                if whole is not None:
+                    a, b = windows.to_remove(whole, ranges, len(words), K)
                     stay = np.ones(len(words), bool)
                     stay[windows.flat_ranges(a, b - a)] = False
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]

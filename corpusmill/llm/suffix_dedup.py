@@ -152,7 +152,7 @@ def _across(found: DataFrame) -> DataFrame:
     return both.where(F.struct("id", "start") > F.col("first")).select("id", "h", "start")
 
 
-METHOD = windows.Method(K, GRAM, LOCAL, _symbols, _settle, _across)
+METHOD = windows.Method(K, GRAM, LOCAL, _symbols, _settle, _across, first_stays=True)
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,15 +162,16 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _cleaned(own: DataFrame) -> DataFrame:
-    both = own.join(windows.repeats(own, METHOD), ["id", "h"], "left").select("row", "t", F.coalesce("spans", F.array()).alias("spans"))
-    shape = both.select("row", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.col("spans").alias("removed"), F.lit(b"").alias("kept")).schema
+    both = own.join(windows.repeats(own, METHOD), ["id", "h"], "left").select("row", "t", "whole", "spans")
+    ranges_as = "array<struct<a:long,b:long>>"
+    shape = own.select("row", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(ranges_as).alias("removed"), F.lit(b"").alias("kept")).schema
     ranges_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in chunks(batches, "t"):
             gone, removed, kept = [], [], []
-            for t, ranges in zip(parts, batch.column(2).to_pylist(), strict=True):
-                a, b = windows.merged(np.array([r["a"] for r in ranges], np.int64), np.array([r["b"] for r in ranges], np.int64))
+            for t, whole, ranges in zip(parts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = windows.to_remove(bool(whole), ranges or [], len(t), K)
                 cuts = list(zip(a.tolist(), b.tolist(), strict=True))
                 gone.append(sum(y - x for x, y in cuts))
                 removed.append([{"a": x, "b": y} for x, y in cuts])

@@ -21,6 +21,9 @@ this way of partitioning and differ in symbols and in how a bucket is settled.
    meet by hash, so a window in all buckets costs one row per bucket, and a
    window found in several is settled across them.
 
+Documents with the same text are set apart before: one stands for them, and all
+windows of the others repeat. Their ids are broadcast if few, else joined.
+
 A document is known by its id and the hash of its text, so repeated rows and
 rows that share an id are told apart; equal rows share their spans.
 """
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import small
 from corpusmill.llm.tokens import chunks, mix
 from corpusmill.session import cut_lineage
 
@@ -58,6 +62,8 @@ class Method:
     settle: Callable[[dict[str, np.ndarray], list[bytes]], tuple[list[np.ndarray], list[np.ndarray]]]
     #: settles across salted buckets: from (f1, f2, id, h, start, solo) to (id, h, start)
     across: Callable[[DataFrame], DataFrame]
+    #: whether the earliest of several occurrences stays
+    first_stays: bool
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -221,13 +227,28 @@ def _settled(shipped: DataFrame, method: Method) -> DataFrame:
 
 
 def repeats(own: DataFrame, method: Method) -> DataFrame:
-    """From ``named`` documents: (id, h, spans), the symbols to remove as
-    disjoint ascending ranges (a, b), for documents that have any."""
-    settled = cut_lineage(_settled(_shipped(own, method), method))
+    """From ``named`` documents: (id, h, whole, spans), what to remove of those
+    that repeat: all of a text that has a window, or ranges (a, b) of symbols,
+    ascending, which may overlap."""
+    keyed = own.select("id", "h", F.md5("t").alias("m"))
+    same = cut_lineage(keyed.groupBy("m").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = cut_lineage(keyed.join(small(same, 500_000), "m").select("id", "h", (F.col("id") > F.col("first")).alias("later")).distinct())
+    later = cut_lineage(copies.where("later").select("id", "h"))
+    others = own.join(small(later, 500_000), ["id", "h"], "left_anti")
+    settled = cut_lineage(_settled(_shipped(others, method), method))
     whole = settled.where("not window").select("id", "h", "a", "b")
     far = method.across(settled.where("window").select("f1", "f2", "id", "h", F.col("a").alias("start"), "solo"))
     found = whole.union(far.select("id", "h", F.col("start").alias("a"), (F.col("start") + method.k).alias("b")))
-    return found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    gone = later if method.first_stays else copies.select("id", "h")
+    every = found.select("id", "h", F.lit(False).alias("whole"), F.struct("a", "b").alias("s")).union(gone.select("id", "h", F.lit(True), F.lit(None)))
+    return every.groupBy("id", "h").agg(F.max("whole").alias("whole"), F.sort_array(F.collect_list("s")).alias("spans"))
+
+
+def to_remove(whole: bool, spans: list, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint ranges of symbols of a text with ``n`` of them."""
+    if whole:
+        return (np.array([0]), np.array([n])) if n >= k else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return merged(np.array([r["a"] for r in spans], np.int64), np.array([r["b"] for r in spans], np.int64))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
