@@ -64,10 +64,12 @@ STOPS = frozenset("ul ol table div article section main aside nav body form td t
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head hr search option".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "popup modal overlay comment comments commentlist discussion respond reply replies disqus sidebar side rail aside widget menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer foot header masthead topbar toolbar share sharing social related recommended newsletter subscribe "
-    "subscription signup login search pagination pager copyright legal disclaimer skip toc tags byline".split()
+    "popup modal overlay comment comments commentlist discussion respond reply replies disqus sidebar rail aside widget menu nav navbar navigation "
+    "breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe "
+    "subscription signup login search pagination pager copyright disclaimer toc byline".split()
 )
+#: The same for an element that by its name holds the text.
+ASIDE_ARTICLES = frozenset("ad ads advert advertisement sponsored comment comments reply teaser related".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+|[^>]*)(?:>|\Z)", re.S
@@ -169,7 +171,14 @@ def sign(name: str, attributes: str) -> str:
 def is_aside(s: str) -> bool:
     """Whether an element's sign names a part that is no article text."""
     name, _, rest = s.partition(" ")
-    return name in ASIDE_TAGS or name == "header" or (bool(rest) and name not in ("body", "html") and not ASIDE_WORDS.isdisjoint(_WORD.findall(rest)))
+    if name in ASIDE_TAGS or name == "header":
+        return True
+    named = ASIDE_ARTICLES if name in ("article", "main") or "role=main" in rest else ASIDE_WORDS
+    return bool(rest) and name not in ("body", "html") and not named.isdisjoint(_WORD.findall(rest))
+
+
+def is_header(s: str) -> bool:
+    return s.partition(" ")[0] == "header" or "header" in _WORD.findall(s.partition(" ")[2])
 
 
 # A wrapper is a list: ["e", sign, repeated, optional, children] or
@@ -285,7 +294,7 @@ def main_text(page: str, chosen: set[str], constants: set[str]) -> str:
         if at in chosen:
             inside = True
         elif is_aside(node.sign):
-            if name != "header" or not inside:
+            if not (inside and is_header(node.sign)):
                 return
             header = True  # of the article itself: its headings stay
         for child in node.children:

@@ -27,6 +27,9 @@ def test_wrapper_finds_the_article(spark):
     df = spark.createDataFrame([(*r, "row", "host") for r in rows], "page_id long, url string, html string, row string, host string")
     got = {r.page_id: r.text for r in html_wrappers.report(df).collect()}
     assert html_wrappers.report(df).count() == len(rows)
+    classed = page("<article class='post has-sidebar'><div class='entry-header'><h1>T</h1><p>By me</p></div><p>Body text</p></article><article class='comment'><p>No</p></article>")
+    one = html_wrappers.report(spark.createDataFrame([(1, "https://d.example", classed)], "page_id long, url string, html string")).first()
+    assert (one.text, one.n_chars) == ("T\n\nBody text", 12)
     for i in range(5):
         assert got[i] == f"Title {i}\n\nFirst & {i} bold text line\n\nSecond {i}"
     assert got[9] == "Lone"
