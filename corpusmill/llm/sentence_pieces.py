@@ -18,7 +18,8 @@ unknown piece. Decoding joins the pieces' bytes and is exact (with byte pieces)
 for every text without the sign that stands for the space, U+2581; that one
 comes back as a space, as in the library.
 
-Words are encoded once per worker, up to ``CACHE`` of them at a time.
+A worker keeps the words it encoded last, twice ``CACHE`` and a piece of text at
+most.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has
 no ids; repeated rows are each encoded; extra columns are kept by ``encoded``,
@@ -35,18 +36,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
 from corpusmill.llm.tokens import chunks, mix
 
-CACHE = 400_000
+CACHE = 120_000
 SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_LOW = _U((1 << 20) - 1)
 _NONE = np.iinfo(np.int64).max
 #: Characters of all words of a matrix.
-_CELLS = 200_000
+_CELLS = 100_000
 
 
 class Pieces:
@@ -82,6 +84,9 @@ class Pieces:
         at = np.argsort(keys)
         self.keys = keys[at]
         self.values = np.array([usable[n] for n in order], np.int64)[at]
+        #: low bits of the keys, so that most substrings need no search
+        self.low = np.zeros(1 << 20, bool)
+        self.low[(self.keys & _LOW).astype(np.int64)] = True
         self.scores = np.full(len(names) + 1, min(score.values(), default=0.0) - 10.0)
         for n, i in usable.items():
             self.scores[i] = score[n]
@@ -112,6 +117,7 @@ class Pieces:
                 reached[name] = True
                 self.head[rank[name]], self.tail[rank[name]] = rank[last[0]], rank[last[1]]
         keys = np.array(sorted(pairs), np.int64)
+        self.seen_pairs, self.seen = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, bool)
         self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
         return {x: usable[x] for x in ranked if x in reached}
 
@@ -132,13 +138,28 @@ class Pieces:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of substrings by their hashes, -1 where there is no such piece."""
-        at = np.searchsorted(self.keys, keys)
+        out = np.full(len(keys), -1, np.int64)
+        maybe = np.flatnonzero(self.low[(keys & _LOW).astype(np.int64)])
+        some = keys[maybe]
+        at = np.searchsorted(self.keys, some)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.values[at], -1)
+        hit = self.keys[at] == some
+        out[maybe[hit]] = self.values[at[hit]]
+        return out
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging leaves the boundary between two pieces (by rank)."""
-        pairs, back = np.unique((left << 32) | right, return_inverse=True)
+        """Whether merging leaves the boundary between two pieces (by rank).
+        The pairs asked last are kept, one for each slot of a fixed table."""
+        asked = (left << 32) | right
+        slot = (mix(asked.view(_U)) & _U(len(self.seen) - 1)).astype(np.int64)
+        out, new = self.seen[slot], np.flatnonzero(self.seen_pairs[slot] != asked)
+        if len(new):
+            out[new] = self._apart(asked[new])
+            self.seen_pairs[slot[new]], self.seen[slot[new]] = asked[new], out[new]
+        return out
+
+    def _apart(self, asked: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(asked, return_inverse=True)
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
         ok, open_ = np.zeros(len(pairs), bool), np.arange(len(pairs))
         limit = np.full(len(pairs), _NONE)
@@ -169,47 +190,52 @@ def _hash(name: str) -> int:
     return int(mix(h)[0])
 
 
-def _viterbi(pieces: Pieces, words: list[str], width: int) -> list[tuple[list[int], list[int]]]:
-    """Pieces (-1: a character without one) and their ends for each word. All
-    words have at most ``width`` characters and are padded to it."""
+def _viterbi(pieces: Pieces, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of pieces of each word, and all words' pieces (-1: a character
+    without one) and their lengths. Words of at most ``width`` characters are
+    padded to it."""
     n = len(words)
-    data = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, width).astype(_U) + _U(1)
-    # found[i][l]: piece from i of length l + 1
+    data = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le"), np.uint32).reshape(n, width).T.astype(_U) + _U(1)
+    # found[i][k]: piece of k + 1 characters from i; all lengths from a place are hashed step by step
     longest = min(pieces.longest, width)
     found = np.full((width, longest, n), -1, np.int64)
-    for i in range(width):
-        h = np.zeros(n, _U)
-        for k in range(min(longest, width - i)):
-            h = (h + data[:, i + k]) * _BASE
-            found[i, k] = pieces.probe(mix(h))
+    h = np.zeros((width, n), _U)
+    for k in range(longest):
+        h = (h[: width - k] + data[k:]) * _BASE
+        found[: width - k, k] = pieces.probe(mix(h).ravel()).reshape(width - k, n)
     best = np.full((width + 1, n), -np.inf)
     best[0] = 0
     length, last = np.ones((width + 1, n), np.int64), np.full((width + 1, n), -1, np.int64)
-    rows = np.arange(n)
     for j in range(1, width + 1):
-        options = np.full((min(longest, j), n), -np.inf)
-        for k in range(min(longest, j)):
-            i = j - k - 1
-            piece = found[i, k]
-            can = np.flatnonzero((piece >= 0) & (best[i] > -np.inf)) if k else np.flatnonzero(best[i] > -np.inf)
-            if not len(can):
-                continue
-            if pieces.bpe and i:
-                left = pieces.rank_of[last[i, can]] * (last[i, can] >= 0)
-                right = pieces.rank_of[piece[can]] * (piece[can] >= 0)
-                can = can[pieces.apart(left, right)]
-            options[k, can] = best[i, can] + pieces.scores[piece[can]] if not pieces.bpe else 0.0
-        k = options.argmax(axis=0)
-        best[j], length[j], last[j] = options[k, rows], k + 1, found[j - k - 1, k, rows]
-    out = []
-    for r, w in enumerate(words):
-        ids, ends, j = [], [], len(w)
-        while j:
-            ids.append(int(last[j, r]))
-            ends.append(j)
-            j -= int(length[j, r])
-        out.append((ids[::-1], ends[::-1]))
-    return out
+        # the pieces that end here, for all lengths at once
+        size, row = np.nonzero(found[j - 1 - np.arange(min(longest, j)), np.arange(min(longest, j))] >= 0)
+        # a character may stand alone, with a piece or without
+        size, row = np.concatenate((size[size > 0], np.zeros(n, np.int64))), np.concatenate((row[size > 0], np.arange(n)))
+        start = j - size - 1
+        piece, before = found[start, size, row], best[start, row]
+        ok = before > -np.inf
+        if pieces.bpe:
+            inner = np.flatnonzero(ok & (start > 0))
+            prior = last[start[inner], row[inner]]
+            left = pieces.rank_of[prior] * (prior >= 0)
+            right = pieces.rank_of[piece[inner]] * (piece[inner] >= 0)
+            ok[inner] = pieces.apart(left, right)
+        size, row, start, piece = size[ok], row[ok], start[ok], piece[ok]
+        value = np.zeros(len(row)) if pieces.bpe else before[ok] + pieces.scores[piece]
+        order = np.lexsort((-size, value, row)) if not pieces.bpe else np.argsort(row, kind="stable")
+        top = order[np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True))]
+        best[j, row[top]], length[j, row[top]], last[j, row[top]] = value[top], size[top] + 1, piece[top]
+    # backpointers of all words at once, last piece first
+    at = np.array([len(w) for w in words], np.int64)
+    alive, steps = np.flatnonzero(at > 0), []
+    while len(alive):
+        place = at[alive]
+        steps.append((alive, last[place, alive], length[place, alive]))
+        at[alive] = place - length[place, alive]
+        alive = alive[at[alive] > 0]
+    word, ids, sizes = (np.concatenate([s[i] for s in reversed(steps)]) if steps else np.zeros(0, np.int64) for i in range(3))
+    order = np.argsort(word, kind="stable")
+    return np.bincount(word, minlength=n), ids[order], sizes[order]
 
 
 class Codec:
@@ -217,7 +243,9 @@ class Codec:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
+        #: words of late, and those of before
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, word: str, ids: list[int], ends: list[int]) -> bytes:
         p, out, start = self.pieces, [], 0
@@ -240,21 +268,30 @@ class Codec:
                 self.known[w] = self._whole(w, [self.pieces.ids.get(x, -1) for x in parts], ends)
             else:
                 n = len(w)
-                by_width.setdefault(n if n <= 32 else 1 << (n - 1).bit_length(), []).append(w)
+                width = n if n <= 12 else -(-n // 4) * 4 if n <= 32 else 1 << (n - 1).bit_length()
+                by_width.setdefault(width, []).append(w)
         for width, group in by_width.items():
             step = max(1, _CELLS // width)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                for w, (ids, ends) in zip(part, _viterbi(self.pieces, part, width), strict=True):
-                    self.known[w] = self._whole(w, ids, ends)
+                count, ids, sizes = _viterbi(self.pieces, part, width)
+                ends = np.cumsum(count)
+                data = ids.astype("<i4").tobytes()
+                cuts = (4 * np.concatenate(([0], ends))).tolist()
+                self.known.update(zip(part, [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+                for r in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():
+                    a, b = cuts[r] // 4, cuts[r + 1] // 4
+                    self.known[part[r]] = self._whole(part[r], ids[a:b].tolist(), np.cumsum(sizes[a:b]).tolist())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known.clear()
         split = [_split((SPACE if self.pieces.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
-        known = self.known
-        self.learn(list({w for words in split for w in words if w not in known}))
+        if len(self.known) > CACHE:  # what was asked since the last time stays
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = list({w for words in split for w in words if w not in known})
+        known.update({w: old[w] for w in new if w in old})
+        self.learn([w for w in new if w not in old])
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -280,6 +317,12 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _lists(found: list[bytes], given: pa.Array) -> pa.Array:
+    """Ids as lists, null where there was no text."""
+    offsets = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")), mask=given.is_null())
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``ids``, an array of ints (null for null)."""
     wide = docs.select(F.struct(*[c for c in docs.columns if c != "ids"]).alias("row"), F.col(text).alias("t"))
@@ -287,12 +330,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch, parts in chunks(batches, "t"):
+        for batch, parts in chunks(batches, "t", 1_000_000):
             found = own.encode([p.decode() for p in parts])
-            offsets = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, batch.column(1))], names=["row", "ids"])
 
     return wide.mapInArrow(run, shape).select("row.*", "ids")
 
@@ -313,7 +353,17 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def report(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, ids, and whether the ids decode to the text."""
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = decoded(encoded(slim, path), path)
-    return found.select(F.col("key").alias(key), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    """Per row: key, n_tokens, ids, and whether the ids decode to the text.
+    One Python step does both ways, so a task needs one worker with one model."""
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    shape = StructType([slim.schema["key"], StructField("ids", ArrayType(IntegerType())), StructField("exact", BooleanType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch, parts in chunks(batches, "t", 1_000_000):
+            found = own.encode([p.decode() for p in parts])
+            same = [own.decode(np.frombuffer(x, "<i4")).encode() == p for x, p in zip(found, parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, batch.column(1)), pa.array(same)], names=["key", "ids", "exact"])
+
+    found = slim.mapInArrow(run, shape)
+    return found.select(F.col("key").alias(key), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "exact")
