@@ -252,15 +252,16 @@ def with_lists(found: VotationPage, max_per_votation: int | None = None) -> Data
 def get_votation(
     documents: DataFrame,
     translations: DataFrame,
-    votation_id: str,
+    votation_id: str | None,
     lang: str = "",
     as_of: Column | None = None,
     languages: LanguageSettings = LanguageSettings(),
 ) -> VotationPage:
-    """One votation; the preferred language's row gives the scalars."""
+    """One votation (every one without an id); the preferred language's row
+    gives the scalars."""
     as_of = as_of if as_of is not None else dates.moment(None)
     lang = lang or fv.DEFAULT_LANGUAGE
-    chosen = documents.filter(F.col("votation_id") == votation_id)
+    chosen = documents if votation_id is None else documents.filter(F.col("votation_id") == votation_id)
     rows = _rows(chosen, translations)
     items, pending = _assemble(rows, preferring(lang), lang, as_of, languages)
     total = chosen.agg(F.count_distinct("votation_id").alias("total"))

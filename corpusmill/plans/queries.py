@@ -537,10 +537,7 @@ def votation_pending_jobs(spark, sf):
 @query
 def votation_detail(spark, sf):
     """Detail of every votation, German preferred."""
-    docs, translations = _catalog(spark, sf)
-    rows = catalog._rows(docs, translations)
-    items = catalog.with_translation_state(catalog.summarise_rows(rows, catalog.preferring("de"), views.as_of()), "de")
-    return _flat_items(items)
+    return _flat_items(catalog.get_votation(*_catalog(spark, sf), None, "de", views.as_of()).items)
 
 
 @query
