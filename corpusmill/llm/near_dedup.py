@@ -215,7 +215,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Like
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut_lineage(_signed(own, like))
     usable = signed.where("n > 0 and id is not null")
-    sets = usable.groupBy("set").agg(F.min("id").alias("rep"))
+    sets = cut_lineage(usable.groupBy("set").agg(F.min("id").alias("rep")))  # cut, so that Spark may split the join by a set that many have
     named = cut_lineage(usable.select("id", "set").join(sets, "set").select("id", "rep", "set"))
     nodes = cut_lineage(usable.join(named.where("id = rep").select("id", "set"), ["id", "set"], "left_semi").drop("set"))
     bands = nodes.select("id", F.explode("bands").alias("band"))

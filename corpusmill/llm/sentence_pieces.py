@@ -41,7 +41,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 from corpusmill.llm.tokens import chunks, mix
 
-CACHE = 120_000
+CACHE = 200_000
 SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

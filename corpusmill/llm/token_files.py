@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -109,6 +110,7 @@ class Encoder:
     """Ids of texts as little-endian integers."""
 
     def __init__(self, path: str, width: int | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task its core; idle threads would spin
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -123,7 +125,39 @@ class Encoder:
         splitter = settings.get("pre_tokenizer") or {}
         #: whether the parts are those of this vocabulary
         self.parts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not settings.get("normalizer")
-        self.known: dict[int, bytes] = {}
+        #: parts by hash: a number, and by it where its ids start in the pool and how many they are
+        self.known: dict[int, int] = {}
+        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.pool, self.filled = np.zeros(4096, self.kind), 0
+
+    def keep(self, keys: list[int], ids: list[bytes]) -> None:
+        """Adds parts under new hashes."""
+        first, more = len(self.known), np.frombuffer(b"".join(ids), self.kind)
+        last, end = first + len(keys), self.filled + len(more)
+        while last > len(self.start):
+            self.start, self.size, self.used = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.used))
+        while end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.known.update(zip(keys, range(first, last), strict=True))
+        self.size[first:last] = [len(x) // self.width for x in ids]
+        self.start[first:last] = self.filled + np.cumsum(self.size[first:last]) - self.size[first:last]
+        self.pool[self.filled : end] = more
+        self.filled = end
+
+    def forget(self) -> None:
+        """Leaves the parts that were asked for again since the last time, or none
+        if these are most of them."""
+        keys = np.fromiter(self.known, np.uint64, len(self.known))
+        stay = np.flatnonzero(self.used[: len(keys)])
+        if len(stay) > CACHE // 2:
+            stay = stay[:0]
+        start, size, pool = self.start[stay], self.size[stay], self.pool
+        ids = pool[flat_ranges(start, size)]
+        self.known = dict(zip(keys[stay].tolist(), range(len(stay)), strict=True))
+        self.size[: len(stay)], self.start[: len(stay)] = size, np.cumsum(size) - size
+        self.pool[: len(ids)] = ids
+        self.filled = len(ids)
+        self.used[:] = False
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -141,7 +175,7 @@ class Encoder:
         if not self.parts:
             return self.raw([t.decode() for t in texts])
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.forget()
         # a text with a zero byte is encoded whole; \x01 stands for its bytes here
         joined = b"\0".join([t if b"\0" not in t else b"\x01" * len(t) for t in texts]) + b"\0"
         starts, odd = part(joined)
@@ -153,18 +187,21 @@ class Encoder:
         used = (data[starts] != 0) & ~np.repeat(whole, np.diff(np.searchsorted(starts, first)))
         starts, ends = starts[used], ends[used]
         hashes, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        words = [joined[starts[where[i]] : ends[where[i]]] for i in new]
+        keys, known = hashes.tolist(), self.known
+        new = [i for i, k in enumerate(keys) if k not in known]
+        words = [joined[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)] if new else []
         spaced = [i for i, w in enumerate(words) if w[:1] == b" " and len(w) > 1]
         plain = [i for i, w in enumerate(words) if not (w[:1] == b" " and len(w) > 1)]
         for some, how in ((spaced, self.cut), (plain, lambda ws: self.raw([w.decode() for w in ws]))):
-            self.known.update(zip([keys[new[i]] for i in some], how([words[i] for i in some]) if some else [], strict=True))
-        ids = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in ids], np.int64) // self.width
-        pool = np.frombuffer(b"".join(ids), self.kind)
-        count = size[back]
-        out = pool[flat_ranges((np.cumsum(size) - size)[back], count)] if len(back) else pool
+            if some:
+                self.keep([keys[new[i]] for i in some], how([words[i] for i in some]))
+        number = np.array([known[k] for k in keys], np.int64)
+        again = np.ones(len(keys), bool)
+        again[new] = False
+        self.used[number[again]] = True
+        number = number[back]
+        count = self.size[number]
+        out = self.pool[flat_ranges(self.start[number], count)]
         bound = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, first)].tolist()
         rest = iter(self.raw([t.decode() for t, w in zip(texts, whole.tolist(), strict=True) if w]))
         return [next(rest) if w else out[a:b].tobytes() for w, a, b in zip(whole.tolist(), bound[:-1], bound[1:], strict=True)]
@@ -249,7 +286,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
             kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=list(names))
 
-        for batch, parts in chunks(batches, "t"):
+        for batch, parts in chunks(batches, "t", 2_000_000):
             for i, found in zip(batch.column(0).to_pylist(), encoder.encode(parts), strict=True):
                 ids.append(i)
                 counts.append((len(found) + len(end)) // width)

@@ -77,7 +77,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut into pieces of about ``most`` bytes of text (one text at
     least), with their texts."""
     for batch in batches:
