@@ -10,8 +10,9 @@ one text, and all texts of a batch are suffix-sorted together by Lyndon grouping
 (see ``lyndon``). Suffixes with the same first ``K`` bytes are neighbours; of
 each such run the earliest start stays. A string that is one in its bucket needs
 no sorting, and of identical strings one is sorted; the later ones go whole.
-A salted bucket takes ``LOCAL`` strings at a time and leaves its distinct windows
-to be settled across buckets.
+A bucket of many distinct strings is sorted ``SORTED`` at a time; the earliest
+windows of the parts are then settled by their hashes, and what is left of a
+salted bucket is settled across buckets.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``K`` lose
 none; a null id counts as the smallest; rows that share id and text are the same
@@ -35,8 +36,10 @@ from corpusmill.llm.tokens import chunks, mix, series
 
 K = 100
 GRAM = 24
-#: Occurrences of a core in one bucket, and distinct strings sorted together.
-LOCAL = 32
+#: Occurrences of a core in one bucket.
+LOCAL = 256
+#: Distinct strings sorted together; a bucket of more is sorted in parts.
+SORTED = 32
 
 
 def _words(data: bytes, n: int) -> np.ndarray:
@@ -97,10 +100,14 @@ def _settle(rows: dict[str, np.ndarray], packed: list[bytes]) -> tuple[list[np.n
     # texts to sort: the strings of a bucket, at most LOCAL at a time
     bucket = np.concatenate(([True], (g[lead][1:] != g[lead][:-1]) | (rows["salt"][lead][1:] != rows["salt"][lead][:-1])))
     nth = np.arange(len(lead)) - np.maximum.accumulate(np.where(bucket, np.arange(len(lead)), 0))
-    text = np.cumsum(bucket | (hot[lead] & (nth % LOCAL == 0))) - 1
+    text = np.cumsum(bucket | (nth % SORTED == 0)) - 1
     many = np.bincount(text)[text] > 1
     windows_out: list[np.ndarray] = []
-    kept = [lead[~many & hot[lead]]] if (~many & hot[lead]).any() else []
+    # windows of these strings are not settled by one sorting
+    number = np.cumsum(bucket) - 1
+    open_ = np.zeros(len(g), bool)
+    open_[lead] = hot[lead] | (np.bincount(number)[number] > SORTED)
+    kept = [lead[~many & open_[lead]]] if (~many & open_[lead]).any() else []
     solo = [np.repeat(x, n[x]) for x in kept]
     solo_place = [windows.flat_ranges(np.zeros(len(x), np.int64), n[x]) for x in kept]
 
@@ -129,20 +136,30 @@ def _settle(rows: dict[str, np.ndarray], packed: list[bytes]) -> tuple[list[np.n
         behind = (ids[r] > ids[r[head]]) | ((ids[r] == ids[r[head]]) & (when > when[head]))
         flag_order = np.lexsort((p, r))
         spans.append(windows.runs_of(behind[flag_order], r[flag_order], p[flag_order]))
-        stays = hot[r] & (head == np.arange(len(r)))
+        stays = open_[r] & (head == np.arange(len(r)))
         solo.append(r[stays])
         solo_place.append(p[stays])
 
-    r, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
-    found = [ids[r], hs[r], start[r] + a, start[r] + z + K]
     if solo and sum(map(len, solo)):
         w, p = np.concatenate(solo), np.concatenate(solo_place)
         rows_, back = np.unique(w, return_inverse=True)
         blob = b"".join(packed[i] for i in rows_) + bytes(8)
         size = np.array([len(packed[i]) for i in rows_], np.int64)
         f1, f2 = _fingerprints(blob, (np.cumsum(size) - size)[back] + p)
+        by = np.lexsort((start[w] + p, ids[w], f2, f1))
+        same = (f1[by][1:] == f1[by][:-1]) & (f2[by][1:] == f2[by][:-1])
+        new = np.concatenate(([True], ~same))
+        head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        first = np.empty(len(w), np.int64)
+        first[by] = head
+        behind = (ids[w] > ids[w[first]]) | ((ids[w] == ids[w[first]]) & (start[w] + p > start[w[first]] + p[first]))
+        in_order = np.lexsort((p, w))
+        spans.append(windows.runs_of(behind[in_order], w[in_order], p[in_order]))
+        left = hot[w] & ~behind
+        w, p, f1, f2 = w[left], p[left], f1[left], f2[left]
         windows_out = [ids[w], hs[w], start[w] + p, start[w] + p, f1.view(np.int64), f2.view(np.int64), np.ones(len(w), bool)]
-    return found, windows_out or [np.zeros(0, np.int64)]
+    r, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
+    return [ids[r], hs[r], start[r] + a, start[r] + z + K], windows_out or [np.zeros(0, np.int64)]
 
 
 def _across(found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ rows that share an id are told apart; equal rows share their spans.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,17 +131,18 @@ def _repeated(own: DataFrame, method: Method) -> tuple[bytes, bytes]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in chunks(batches, "t", 1_000_000):
             g, n = np.unique(pieces(method.symbols(parts), method.k, method.gram)[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(n)], names=["g", "n"])
 
-    seen = own.select("t").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
+    # 32 bits of a hash tell cores apart well enough for tables of 27 bits
+    seen = own.select("t").mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     seen = cut_lineage(seen)
     bits, words = np.zeros(1 << (REPEAT_BITS - 6), np.uint64), "word"
-    slot = F.shiftrightunsigned("g", 64 - REPEAT_BITS)
-    found = seen.select(F.shiftright(slot, 6).cast("int").alias(words), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - REPEAT_BITS}) & 63 as int))").alias("bit"))
+    slot = F.shiftrightunsigned("g", 32 - REPEAT_BITS)
+    found = seen.select(F.shiftright(slot, 6).alias(words), F.expr(f"shiftleft(1L, shiftrightunsigned(g, {32 - REPEAT_BITS}) & 63)").alias("bit"))
     got = found.groupBy(words).agg(F.bit_or("bit").alias("bit")).toArrow()  # 2^21 rows at most
     bits[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     salts = np.zeros(1 << SALT_BITS, np.uint8)
-    often = seen.where(F.col("n") > method.local).select((F.col("g").bitwiseAND((1 << SALT_BITS) - 1)).cast("int").alias("slot"), F.ceil(F.log2(F.col("n") / method.local)).cast("int").alias("e"))
+    often = seen.where(F.col("n") > method.local).select(F.col("g").bitwiseAND((1 << SALT_BITS) - 1).alias("slot"), F.ceil(F.log2(F.col("n") / method.local)).cast("int").alias("e"))
     got = often.groupBy("slot").agg(F.max("e").alias("e")).toArrow()  # 2^20 rows at most
     salts[got.column(0).to_numpy()] = np.minimum(got.column(1).to_numpy(), 30)
     return bits.tobytes(), salts.tobytes()
@@ -166,7 +167,7 @@ def _shipped(own: DataFrame, method: Method) -> DataFrame:
             a, z, g = a[again], z[again], g[again]
             text = np.searchsorted(first, a, "right") - 1
             ids, hs = (batch.column(i).to_numpy()[text] for i in (0, 1))
-            e = salts[(g & np.uint64((1 << SALT_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+            e = salts[((g >> np.uint64(32)) & np.uint64((1 << SALT_BITS) - 1)).astype(np.int64)].astype(np.uint64)
             salt = mix(ids.view(np.uint64) * np.uint64(31) + hs.view(np.uint64)) & ((np.uint64(1) << e) - np.uint64(1))
             packed = [pack(x, y) for x, y in zip(a.tolist(), (z + method.k).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -241,7 +242,28 @@ def repeats(own: DataFrame, method: Method) -> DataFrame:
     found = whole.union(far.select("id", "h", F.col("start").alias("a"), (F.col("start") + method.k).alias("b")))
     gone = later if method.first_stays else copies.select("id", "h")
     every = found.select("id", "h", F.lit(False).alias("whole"), F.struct("a", "b").alias("s")).union(gone.select("id", "h", F.lit(True), F.lit(None)))
-    return every.groupBy("id", "h").agg(F.max("whole").alias("whole"), F.sort_array(F.collect_list("s")).alias("spans"))
+    by_document = every.groupBy("id", "h").agg(F.max("whole").alias("whole"), F.sort_array(F.collect_list("s")).alias("spans"))
+    spans = cut_lineage(by_document.mapInArrow(_joined, by_document.schema))
+    # texts stay where they are if the ranges of all documents are few
+    ranges = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return small(spans, 300_000) if ranges <= 1_000_000 else spans
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unites the overlapping ranges of each row."""
+    for batch in batches:
+        lists = batch.column(3)
+        flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        a, b = (flat.field(i).to_numpy() for i in (0, 1))
+        row = np.repeat(np.arange(len(count)), count)
+        # rows are kept apart by a stride longer than any text
+        stride = int(b.max(initial=0)) + 2
+        a, b = merged(a + row * stride, b + row * stride)
+        row = a // stride
+        ranges = pa.StructArray.from_arrays([pa.array(a - row * stride), pa.array(b - row * stride)], names=["a", "b"])
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(count))))).astype(np.int32)
+        joined = pa.ListArray.from_arrays(pa.array(offsets), ranges)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], joined], names=batch.schema.names)
 
 
 def to_remove(whole: bool, spans: list, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:

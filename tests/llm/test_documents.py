@@ -136,6 +136,7 @@ def test_substring_dedup_equals_brute_force(messy, local, monkeypatch):
 @pytest.mark.parametrize("local", [suffix_dedup.LOCAL, 2])
 def test_suffix_dedup_equals_brute_force(messy, local, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "METHOD", dataclasses.replace(suffix_dedup.METHOD, local=local))
+    monkeypatch.setattr(suffix_dedup, "SORTED", min(local, suffix_dedup.SORTED))
     k, first = suffix_dedup.K, {}
     rows = [(i, t.encode()) for i, t, _ in texts(messy)]
     order = lambda i: -(2**63) if i is None else i
