@@ -5,15 +5,16 @@ sequence, some repeated, some optional, with text that is either a constant of
 the host's template or a slot. It is inferred by aligning the token streams of
 all pages of a host one after the other: matching elements are aligned inside,
 neighbours with the same sign fold into a repeated group, elements that one side
-lacks become optional, and texts that differ become slots. Each slot adds up its
-characters, and those in links.
+lacks become optional, and texts that differ become slots. Each text adds up its
+characters, those in links, and the pages it was found equal on.
 
 From a host's wrapper follow the places of its main text: the articles if it has
 any, else the main part, else the element under which the most slot text stands
 as paragraphs outside links. Parts that by name are no text of the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) are left out, and
-so are constants of the template next to slots, headings excepted. A host with
-one page is a wrapper without constants to be known as such.
+so are blocks equal to a constant of the template, headings excepted. A text is a
+constant if it was equal on nine of ten pages of its host and on three at least,
+at a path where no text differs; fewer pages show no constants.
 
 Wrappers are merged per task before they are shuffled, so a host with a third of
 all pages sends one wrapper per task. A page never leaves its task whole: it is
@@ -182,16 +183,19 @@ def is_header(s: str) -> bool:
 
 
 # A wrapper is a list: ["e", sign, repeated, optional, children] or
-# ["t", constant or None for a slot, repeated, optional, characters, linked].
+# ["t", constant or None for a slot, repeated, optional, characters, linked, pages].
+
+#: Pages that have to agree on a constant, and their least share in percent.
+AGREED, AGREED_PERCENT = 3, 90
 
 
 def wrap(node: Element) -> list:
     """The wrapper of one page, neighbours with the same sign folded."""
     children: list = []
     for child in node.children:
-        made = wrap(child) if isinstance(child, Element) else ["t", child.text if len(child.text) <= 200 else None, False, False, len(child.text), child.linked]
+        made = wrap(child) if isinstance(child, Element) else ["t", child.text if len(child.text) <= 200 else None, False, False, len(child.text), child.linked, 1]
         if children and _key(children[-1]) == _key(made):
-            children[-1] = merge(children[-1], made)
+            children[-1] = merge(children[-1], made, apart=False)
             children[-1][2] = True
         else:
             children.append(made)
@@ -202,19 +206,21 @@ def _key(item: list) -> str:
     return item[1] if item[0] == "e" else "#"
 
 
-def merge(a: list, b: list) -> list:
-    """Aligns two wrappers of the same key."""
+def merge(a: list, b: list, apart: bool = True) -> list:
+    """Aligns two wrappers of the same key, from pages ``apart`` or from parts of
+    the same pages; of those, the larger number of pages is certain."""
     if a[0] == "t":
-        return ["t", a[1] if a[1] == b[1] else None, a[2] or b[2], a[3] or b[3], a[4] + b[4], a[5] + b[5]]
+        pages = a[6] + b[6] if apart else max(a[6], b[6])
+        return ["t", a[1] if a[1] == b[1] else None, a[2] or b[2], a[3] or b[3], a[4] + b[4], a[5] + b[5], pages]
     left, right = [_key(x) for x in a[4]], [_key(x) for x in b[4]]
     if left == right:
-        children = [merge(x, y) for x, y in zip(a[4], b[4], strict=True)]
+        children = [merge(x, y, apart) for x, y in zip(a[4], b[4], strict=True)]
     else:
         children, i, j = [], 0, 0
         for x, y, n in SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks():
             for lone in (*a[4][i:x], *b[4][j:y]):
                 children.append([*lone[:3], True, *lone[4:]])
-            children += [merge(p, q) for p, q in zip(a[4][x : x + n], b[4][y : y + n], strict=True)]
+            children += [merge(p, q, apart) for p, q in zip(a[4][x : x + n], b[4][y : y + n], strict=True)]
             i, j = x + n, y + n
         children = _folded(children)
     return ["e", a[1], a[2] or b[2], a[3] or b[3], children]
@@ -225,19 +231,20 @@ def _folded(children: list) -> list:
     out: list = []
     for c in children:
         if out and _key(out[-1]) == _key(c):
-            out[-1] = merge(out[-1], c)
+            out[-1] = merge(out[-1], c, apart=False)
             out[-1][2] = True
         else:
             out.append(c)
     return out
 
 
-def places(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
-    """Paths of the elements that hold the main text, and paths of constants."""
+def places(wrapper: list, pages: int) -> tuple[list[str], list[tuple[str, str]]]:
+    """Paths of the elements that hold the main text, and constants: path, text."""
     articles: list[str] = []
     mains: list[str] = []
     mass: dict[str, int] = {}
-    constants: list[str] = []
+    constants: set[tuple[str, str]] = set()
+    differing: set[str] = set()
 
     def walk(item: list, path: str, apart: bool) -> int:
         """Slot characters outside links below an element."""
@@ -249,18 +256,18 @@ def places(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
                 articles.append(at)
             elif name == "main" or "role=main" in item[1]:
                 mains.append(at)
-        own, slots, fixed = 0, 0, False
+        own = 0
         for child in item[4]:
             if child[0] == "t":
-                slots += child[1] is None
                 own += 0 if apart else max(0, child[4] - 2 * child[5])
-                fixed = fixed or (child[1] is not None and not child[2])
+                if child[1] is None:
+                    differing.add(at)
+                elif child[6] >= AGREED and 100 * child[6] >= AGREED_PERCENT * pages and name not in HEADINGS and not apart:
+                    constants.add((at, child[1]))
             else:
                 below = walk(child, at, apart)
                 # paragraphs count for the element they stand in
                 own += below if child[1].split(" ")[0] in ("p", "blockquote", "pre", "li", "ul", "ol", *HEADINGS) else 0
-        if fixed and not slots and name not in HEADINGS and not apart:
-            constants.append(at)
         if not apart:
             mass[at] = own
         return own
@@ -269,7 +276,13 @@ def places(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
     best = max(sorted(mass), key=lambda k: mass[k], default="")
     chosen = articles or mains or ([best] if mass.get(best) else [])
     slotted = any(_has_slot(wrapper, c) for c in chosen)
-    return chosen, constants if pages >= 3 and slotted else []
+    return chosen, sorted(c for c in constants if c[0] not in differing) if slotted else []
+
+
+def rules_of(found: list) -> tuple[set[str], set[tuple[str, str]]]:
+    """``places`` read back from JSON."""
+    chosen, constants = found
+    return set(chosen), {(at, text) for at, text in constants}
 
 
 def _has_slot(wrapper: list, path: str) -> bool:
@@ -284,7 +297,7 @@ def _has_slot(wrapper: list, path: str) -> bool:
     return walk(wrapper, "", False)
 
 
-def main_text(page: str, chosen: set[str], constants: set[str]) -> str:
+def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> str:
     """The blocks of a page at the chosen places."""
     out: list[str] = []
 
@@ -300,7 +313,7 @@ def main_text(page: str, chosen: set[str], constants: set[str]) -> str:
         for child in node.children:
             if isinstance(child, Element):
                 walk(child, at, inside, header)
-            elif inside and at not in constants and (not header or name in HEADINGS):
+            elif inside and (at, child.text) not in constants and (not header or name in HEADINGS):
                 out.append(child.text)
 
     walk(parse(page), "", "" in chosen, False)
@@ -340,10 +353,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         last: tuple[str, int, list] | None = None
 
         def row(host: str, n: int, wrapper: list) -> pa.RecordBatch:
-            chosen, constants = places(wrapper, n)
-            values = (host, n, json.dumps(wrapper), chosen, constants)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["host", "n_pages", "wrapper", "chosen", "constants"])
+            values = (host, n, json.dumps(wrapper), json.dumps(places(wrapper, n)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["host", "n_pages", "wrapper", "places"])
 
         for batch in batches:
             for host, n, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -359,7 +371,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     sent = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(infer, "host string, n long, wrapper string")
     dealt = sent.repartition("host").sortWithinPartitions("host", "wrapper")
-    return dealt.mapInArrow(join, "host string, n_pages long, wrapper string, chosen array<string>, constants array<string>")
+    return dealt.mapInArrow(join, "host string, n_pages long, wrapper string, places string")
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -369,14 +381,22 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
 
 def _extracted(named: DataFrame) -> DataFrame:
-    found = cut_lineage(wrappers(named.select("host", "html")).select("host", "chosen", "constants"))
-    both = named.join(small(found), "host", "left").select("row", "host", "html", "chosen", "constants")
+    found = cut_lineage(wrappers(named.select("host", "html")).select("host", "places"))
+    both = named.join(small(found), "host", "left").select("row", "host", "html", "places")
     shape = named.select("row", "host", F.col("html").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[set[str], set[tuple[str, str]]]] = {}
+
+        def rules(text: str) -> tuple[set[str], set[tuple[str, str]]]:
+            if text not in known:
+                if len(known) >= HELD:
+                    known.clear()
+                known[text] = rules_of(json.loads(text))
+            return known[text]
+
         for batch, parts in chunks(batches, "html"):
-            rules = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            made = [main_text(p.decode(), set(a or ()), set(c or ())) for p, (a, c) in zip(parts, rules, strict=True)]
+            made = [main_text(p.decode(), *rules(r)) for p, r in zip(parts, batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["row", "host", "text"])
 
     return both.mapInArrow(run, shape)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -49,6 +50,27 @@ def test_wrapper_is_union_free_and_order_does_not_matter():
     assert article[2][4][0][1] == "Same"
 
 
+def texts_of(*bodies: str) -> list[str]:
+    """Main texts of pages of one host."""
+    wrapper = html_wrappers.wrap(html_wrappers.parse(bodies[0]))
+    for body in bodies[1:]:
+        wrapper = html_wrappers.merge(wrapper, html_wrappers.wrap(html_wrappers.parse(body)))
+    rules = json.loads(json.dumps(html_wrappers.places(wrapper, len(bodies))))
+    return [html_wrappers.main_text(b, *html_wrappers.rules_of(rules)) for b in bodies]
+
+
+def test_constants_need_support():
+    short = "<body><article><h1>T{0}</h1><p>One {0}</p><p>Two {0}</p></article></body>"
+    longer = "<body><article><h1>T9</h1><p>One 9</p><h2>Part</h2><p>Last words</p></article></body>"
+    got = texts_of(short.format(1), short.format(2), longer)
+    assert got == ["T1\n\nOne 1\n\nTwo 1", "T2\n\nOne 2\n\nTwo 2", "T9\n\nOne 9\n\nPart\n\nLast words"]
+    # a constant of all pages goes, other text at its path stays
+    shared = "<body><article><p>One {0}</p><div class='tail'>Read more here</div></article></body>"
+    other = "<body><article><p>One 9</p><div class='tail'>Read more here</div><h2>H</h2><div class='tail'>Ten more words</div></article></body>"
+    assert texts_of(*[shared.format(i) for i in range(3)], other) == ["One 0", "One 1", "One 2", "One 9\n\nH\n\nTen more words"]
+    assert texts_of(shared.format(1), shared.format(2)) == ["One 1\n\nRead more here", "One 2\n\nRead more here"]  # too few pages
+
+
 def test_very_long_and_broken_pages():
     text = "<div>" * 3000 + "<p>deep</p>"
     assert html_wrappers.parse("<p>" + "word " * 100_000) is not None
