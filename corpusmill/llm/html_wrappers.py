@@ -8,9 +8,12 @@ neighbours with the same sign fold into a repeated group, elements that one side
 lacks become optional, and texts that differ become slots. Each text adds up its
 characters, those in links, and the pages it was found equal on.
 
-From a host's wrapper follow the places of its main text: the articles if it has
-any, else the main part, else the element under which the most slot text stands
-as paragraphs outside links. Parts that by name are no text of the article (menus,
+From a host's wrapper follow its places of main text, articles and main parts, and
+its constants. Each page has its own choice of them: its articles if it has any
+with text, else its main part, else the element under which most of its text that
+is no constant stands as paragraphs outside links, with the elements like it whose
+ids differ. So no page is empty because another one of its host is built otherwise.
+Parts that by name are no text of the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) are left out, and
 so are blocks equal to a constant of the template, headings excepted. A text is a
 constant if it was equal on nine of ten pages of its host and on three at least,
@@ -31,7 +34,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -49,6 +52,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li ul ol".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes svg math xmp object canvas".split())
 #: What an opening tag closes, if it is open and nothing of STOPS lies between.
 CLOSES = {
@@ -155,7 +159,7 @@ def parse(page: str) -> Element:
                 for _ in range(2):
                     close(CLOSES.get(name, ()), STOPS)
                 link = 0
-                made = Element(sign(name, m[3]))
+                made = Element(sign(name, m[3] if name != "body" else ""))  # its class is often the page's own
                 stack[-1][0].children.append(made)
                 if name != "hr":
                     stack.append((made, name))
@@ -238,45 +242,38 @@ def _folded(children: list) -> list:
     return out
 
 
+def is_article(s: str) -> bool:
+    return s.partition(" ")[0] == "article" or "role=article" in s
+
+
 def places(wrapper: list, pages: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """Paths of the elements that hold the main text, and constants: path, text."""
-    articles: list[str] = []
-    mains: list[str] = []
-    mass: dict[str, int] = {}
+    """Paths of the host's articles and main parts, and constants: path, text."""
+    chosen: set[str] = set()
     constants: set[tuple[str, str]] = set()
     differing: set[str] = set()
 
-    def walk(item: list, path: str, apart: bool) -> int:
-        """Slot characters outside links below an element."""
+    def walk(item: list, path: str, apart: bool) -> None:
         at = f"{path}/{item[1]}"
         name = item[1].split(" ")[0]
         apart = apart or is_aside(item[1])
-        if not apart:
-            if name == "article" or "role=article" in item[1]:
-                articles.append(at)
-            elif name == "main" or "role=main" in item[1]:
-                mains.append(at)
-        own = 0
+        if not apart and (is_article(item[1]) or name == "main" or "role=main" in item[1]):
+            chosen.add(at)
         for child in item[4]:
-            if child[0] == "t":
-                own += 0 if apart else max(0, child[4] - 2 * child[5])
-                if child[1] is None:
-                    differing.add(at)
-                elif child[6] >= AGREED and 100 * child[6] >= AGREED_PERCENT * pages and name not in HEADINGS and not apart:
-                    constants.add((at, child[1]))
-            else:
-                below = walk(child, at, apart)
-                # paragraphs count for the element they stand in
-                own += below if child[1].split(" ")[0] in ("p", "blockquote", "pre", "li", "ul", "ol", *HEADINGS) else 0
-        if not apart:
-            mass[at] = own
-        return own
+            if child[0] == "e":
+                walk(child, at, apart)
+            elif child[1] is None:
+                differing.add(at)
+            elif child[6] >= AGREED and 100 * child[6] >= AGREED_PERCENT * pages and name not in HEADINGS and not apart:
+                constants.add((at, child[1]))
+
+    def inside(path: str) -> bool:
+        return any(path == c or path.startswith(f"{c}/") for c in chosen)
 
     walk(wrapper, "", False)
-    best = max(sorted(mass), key=lambda k: mass[k], default="")
-    chosen = articles or mains or ([best] if mass.get(best) else [])
-    slotted = any(_has_slot(wrapper, c) for c in chosen)
-    return chosen, sorted(c for c in constants if c[0] not in differing) if slotted else []
+    if constants:  # where no text differs at all, pages are copies, not a template
+        slotted = {inside(d) for d in differing}
+        constants = {c for c in constants if c[0] not in differing and inside(c[0]) in slotted}
+    return sorted(chosen), sorted(constants)
 
 
 def rules_of(found: list) -> tuple[set[str], set[tuple[str, str]]]:
@@ -285,26 +282,66 @@ def rules_of(found: list) -> tuple[set[str], set[tuple[str, str]]]:
     return set(chosen), {(at, text) for at, text in constants}
 
 
-def _has_slot(wrapper: list, path: str) -> bool:
-    """Whether any text under a path differs between pages."""
+def plain(s: str) -> str:
+    """A sign without its id."""
+    return " ".join(x for x in re.split(r" (?=(?:class|id|role)=)", s) if not x.startswith("id="))
 
-    def walk(item: list, at: str, inside: bool) -> bool:
-        if item[0] == "t":
-            return inside and item[1] is None
-        at = f"{at}/{item[1]}"
-        return any(walk(c, at, inside or at == path) for c in item[4])
 
-    return walk(wrapper, "", False)
+def heaviest(root: Element, constants: set[tuple[str, str]]) -> tuple[set[int], set[int]]:
+    """The element of a page with most text that is no constant in paragraphs
+    outside links, with those of the same path, ids apart; and the elements
+    around several of them, whose headings belong to them. Elements are named by
+    their ``id()``."""
+    mass: dict[str, int] = {}
+    found: dict[str, list[Element]] = {}
+    around: dict[int, Element] = {}
+    said: dict[int, int] = {}  # characters of paragraphs, headings left out
+
+    def walk(node: Element, at: str, path: str) -> int:
+        if is_aside(node.sign):
+            return 0
+        at, path, own = f"{at}/{node.sign}", f"{path}/{plain(node.sign)}", 0
+        found.setdefault(path, []).append(node)
+        headings = 0
+        for child in node.children:
+            if isinstance(child, Block):
+                own += max(0, len(child.text) - 2 * child.linked) if (at, child.text) not in constants else 0
+            else:
+                around[id(child)] = node
+                below = walk(child, at, path)
+                # paragraphs count for the element they stand in
+                own += below if child.sign.split(" ")[0] in PARAGRAPHS else 0
+                headings += below if child.sign.split(" ")[0] in HEADINGS else 0
+        mass[path] = mass.get(path, 0) + own
+        said[id(node)] = own - headings
+        return own
+
+    walk(root, "", "")
+    best = max(found, key=lambda k: mass[k], default="")
+    if not mass.get(best):
+        return set(), set()
+    group, size = found[best], mass[best]
+    while outer := {id(a): a for a in (around.get(id(x)) for x in group) if a}:
+        # out of nested sections, and where much text stands around them too
+        nested = all(plain(a.sign) == plain(group[0].sign) != "div" for a in outer.values())
+        more = sum(said[a] for a in outer)
+        if not nested and 4 * more < size:
+            break
+        group, size = list(outer.values()), size + more
+    parents = [id(around[id(x)]) for x in group if id(x) in around]
+    return {id(x) for x in group}, {p for p in parents if parents.count(p) > 1}
 
 
 def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> str:
-    """The blocks of a page at the chosen places."""
+    """The blocks of a page at its places: its articles among the host's chosen
+    paths, else its main parts, else its heaviest elements."""
+    root = parse(page)
     out: list[str] = []
 
-    def walk(node: Element, path: str, inside: bool, header: bool) -> None:
+    def walk(node: Element, path: str, inside: bool, header: bool, fixed: set, starts: Callable[[Element, str], bool], titled: set[int]) -> None:
         at = f"{path}/{node.sign}"
         name = node.sign.split(" ")[0]
-        if at in chosen:
+        if starts(node, at):
             inside = True
         elif is_aside(node.sign):
             if not (inside and is_header(node.sign)):
@@ -312,11 +349,20 @@ def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> s
             header = True  # of the article itself: its headings stay
         for child in node.children:
             if isinstance(child, Element):
-                walk(child, at, inside, header)
-            elif inside and (at, child.text) not in constants and (not header or name in HEADINGS):
+                taken = inside or (id(node) in titled and child.sign.split(" ")[0] in HEADINGS)
+                walk(child, at, taken, header, fixed, starts, titled)
+            elif inside and (at, child.text) not in fixed and (not header or name in HEADINGS):
                 out.append(child.text)
 
-    walk(parse(page), "", "" in chosen, False)
+    for fixed in (constants, set()) if constants else (constants,):
+        for kind in (True, False):
+            walk(root, "", False, False, fixed, lambda node, at, kind=kind: at in chosen and is_article(node.sign) == kind, set())
+            if out:
+                return "\n\n".join(out)
+        best, titled = heaviest(root, fixed)
+        walk(root, "", False, False, fixed, lambda node, at, best=best: id(node) in best, titled)
+        if out:
+            break
     return "\n\n".join(out)
 
 

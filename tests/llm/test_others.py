@@ -71,6 +71,21 @@ def test_constants_need_support():
     assert texts_of(shared.format(1), shared.format(2)) == ["One 1\n\nRead more here", "One 2\n\nRead more here"]  # too few pages
 
 
+def test_each_page_has_its_own_places():
+    article = "<body><article><p>In an article {0}</p></article></body>"
+    main = "<body><main><p>In a main part {0}</p></main></body>"
+    div = "<body class='single category-{0}'><div class='c'><p>In a division {0}</p></div><div class='s'><p>Few</p></div></body>"
+    assert texts_of(article.format("a"), main.format("b"), div.format("c"), div.format("d")) == ["In an article a", "In a main part b", "In a division c", "In a division d"]
+    split = "<body><div><h1>Title</h1><section id='intro'><h2>A</h2><p>Some text</p></section><section id='more'><h2>B</h2><p>And other text</p></section></div><div><p>Few</p></div></body>"
+    assert texts_of(split) == ["Title\n\nA\n\nSome text\n\nB\n\nAnd other text"]
+    nested = "<body><div class='s' id='a'><h1>T</h1><p>Short</p><div class='s' id='b'><h2>U</h2><p>A much longer paragraph</p></div></div></body>"
+    assert texts_of(nested) == ["T\n\nShort\n\nU\n\nA much longer paragraph"]
+    copies = ["<body><article><p>Same text</p></article></body>"] * 3
+    assert texts_of(*copies) == ["Same text"] * 3
+    empty = "<body><article></article><main><p>Text {0}</p></main></body>"
+    assert texts_of(empty.format(1), article.format(2)) == ["Text 1", "In an article 2"]
+
+
 def test_very_long_and_broken_pages():
     text = "<div>" * 3000 + "<p>deep</p>"
     assert html_wrappers.parse("<p>" + "word " * 100_000) is not None
