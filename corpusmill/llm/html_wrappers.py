@@ -13,11 +13,15 @@ its constants. Each page has its own choice of them: its articles if it has any
 with text, else its main part, else the element under which most of its text that
 is no constant stands as paragraphs outside links, with the elements like it whose
 ids differ. So no page is empty because another one of its host is built otherwise.
-Parts that by name are no text of the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) are left out, and
-so are blocks equal to a constant of the template, headings excepted. A text is a
-constant if it was equal on nine of ten pages of its host and on three at least,
-at a path where no text differs; fewer pages show no constants.
+
+Parts that by name are no text of the article (menus, headers, footers, sidebars,
+adverts, forms, comments) are left out: elements of such kinds, and containers with
+such a word as a whole class or id, or beside words like "list" in it. Everyday
+words (related, notice, discussion), and ids of sections, need the host's wrapper
+to show a part that stands on half of the pages, three at least, and is links or
+the same text. Left out, too, are blocks equal to a constant of the template,
+headings excepted. A text is a constant if it was equal on nine of ten pages of its
+host and on three at least, at a path where no text differs; fewer pages show none.
 
 Wrappers are merged per task before they are shuffled, so a host with a third of
 all pages sends one wrapper per task. A page never leaves its task whole: it is
@@ -36,6 +40,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,7 +58,7 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li ul ol".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes svg math xmp object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 #: What an opening tag closes, if it is open and nothing of STOPS lies between.
 CLOSES = {
     **dict.fromkeys(BLOCKS - {"button", "option", "optgroup", "select"}, ("p",)),
@@ -67,11 +72,24 @@ CLOSES = {
 }
 STOPS = frozenset("ul ol table div article section main aside nav body form td th blockquote dl menu".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head hr search option".split())
+#: Parts that may be known by name; headings, paragraphs and cells are not.
+CONTAINERS = frozenset("div section ul ol dl table center details".split())
+#: Words that name no article text, as a whole class, id or role or in one made of such words.
 ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "popup modal overlay comment comments commentlist discussion respond reply replies disqus sidebar rail aside widget menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe "
-    "subscription signup login search pagination pager copyright disclaimer toc byline".split()
+    "ad ads advert advertisement advertising adsense sponsor promo promotion cookie cookies consent gdpr popup modal comments commentlist respond "
+    "disqus sidebar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar newsletter subscribe subscription signup "
+    "pagination pager byline".split()
+)
+#: Everyday words: they name such a part only if the host's wrapper shows it as one.
+EVERYDAY_WORDS = frozenset(
+    "sponsored banner notice alert overlay comment discussion reply replies rail aside widget menu share sharing social related recommended login "
+    "search copyright disclaimer toc".split()
+)
+ROLES = frozenset("navigation banner search complementary contentinfo menu menubar dialog".split())
+#: What may stand beside such a word in a name.
+FILLERS = frozenset(
+    "area bar block body bottom box button buttons container content entry group icon icons inner item items left link links list main outer page "
+    "posts post article primary right secondary section site text top wrap wrapper".split()
 )
 #: The same for an element that by its name holds the text.
 ASIDE_ARTICLES = frozenset("ad ads advert advertisement sponsored comment comments reply teaser related".split())
@@ -173,20 +191,45 @@ def sign(name: str, attributes: str) -> str:
     return " ".join([name, *(re.sub(r"\d+", "0", x) for x in found)])
 
 
-def is_aside(s: str) -> bool:
-    """Whether an element's sign names a part that is no article text."""
+def names(s: str, kinds: tuple[str, ...] = ("class", "id", "role")) -> Iterator[list[str]]:
+    """The words of each class, id and role of a sign."""
+    for named in re.split(r" (?=(?:class|id|role)=)", s)[1:]:
+        kind, _, value = named.partition("=")
+        if kind in kinds:
+            yield from ([w for w in _WORD.findall(token) if w != "0"] for token in value.split())
+
+
+def named_by(s: str, words: frozenset[str], kinds: tuple[str, ...] = ("class", "id", "role")) -> bool:
+    """Whether a class, id or role consists of one of the words, or of it and fillers."""
+    return any(not words.isdisjoint(t) and words.union(FILLERS).issuperset(t) for t in names(s, kinds))
+
+
+@lru_cache(1 << 14)
+def kind_of(s: str) -> int:
+    """Whether an element's sign names a part that is no article text (2), or
+    one that is none if the wrapper confirms it (1)."""
     name, _, rest = s.partition(" ")
     if name in ASIDE_TAGS or name == "header":
-        return True
-    named = ASIDE_ARTICLES if name in ("article", "main") or "role=main" in rest else ASIDE_WORDS
-    return bool(rest) and name not in ("body", "html") and not named.isdisjoint(_WORD.findall(rest))
+        return 2
+    if not rest or name in ("body", "html"):
+        return 0
+    if name in ("article", "main") or "role=main" in rest:
+        return 2 if named_by(s, ASIDE_ARTICLES) else 0
+    if any(t and t[0] in ROLES for t in names(s, ("role",))):
+        return 2
+    if name not in CONTAINERS:
+        return 0
+    # ids of sections are often made from their heading
+    if named_by(s, ASIDE_WORDS, ("class",) if name == "section" else ("class", "id")):
+        return 2
+    return 1 if named_by(s, ASIDE_WORDS | EVERYDAY_WORDS, ("class", "id")) else 0
 
 
 def is_header(s: str) -> bool:
-    return s.partition(" ")[0] == "header" or "header" in _WORD.findall(s.partition(" ")[2])
+    return s.partition(" ")[0] == "header" or (kind_of(s) == 2 and named_by(s, frozenset(["header"])))
 
 
-# A wrapper is a list: ["e", sign, repeated, optional, children] or
+# A wrapper is a list: ["e", sign, repeated, optional, children, pages] or
 # ["t", constant or None for a slot, repeated, optional, characters, linked, pages].
 
 #: Pages that have to agree on a constant, and their least share in percent.
@@ -203,7 +246,7 @@ def wrap(node: Element) -> list:
             children[-1][2] = True
         else:
             children.append(made)
-    return ["e", node.sign, False, False, children]
+    return ["e", node.sign, False, False, children, 1]
 
 
 def _key(item: list) -> str:
@@ -213,8 +256,8 @@ def _key(item: list) -> str:
 def merge(a: list, b: list, apart: bool = True) -> list:
     """Aligns two wrappers of the same key, from pages ``apart`` or from parts of
     the same pages; of those, the larger number of pages is certain."""
+    pages = a[-1] + b[-1] if apart else max(a[-1], b[-1])
     if a[0] == "t":
-        pages = a[6] + b[6] if apart else max(a[6], b[6])
         return ["t", a[1] if a[1] == b[1] else None, a[2] or b[2], a[3] or b[3], a[4] + b[4], a[5] + b[5], pages]
     left, right = [_key(x) for x in a[4]], [_key(x) for x in b[4]]
     if left == right:
@@ -227,7 +270,7 @@ def merge(a: list, b: list, apart: bool = True) -> list:
             children += [merge(p, q, apart) for p, q in zip(a[4][x : x + n], b[4][y : y + n], strict=True)]
             i, j = x + n, y + n
         children = _folded(children)
-    return ["e", a[1], a[2] or b[2], a[3] or b[3], children]
+    return ["e", a[1], a[2] or b[2], a[3] or b[3], children, pages]
 
 
 def _folded(children: list) -> list:
@@ -246,16 +289,32 @@ def is_article(s: str) -> bool:
     return s.partition(" ")[0] == "article" or "role=article" in s
 
 
-def places(wrapper: list, pages: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """Paths of the host's articles and main parts, and constants: path, text."""
+def places(wrapper: list, pages: int) -> tuple[list[str], list[tuple[str, str]], list[str]]:
+    """Paths of the host's articles and main parts, constants (path, text), and
+    paths of parts with an everyday name that repeat over pages and hold links or
+    the same text on all of them."""
     chosen: set[str] = set()
     constants: set[tuple[str, str]] = set()
     differing: set[str] = set()
+    parts: dict[str, list[int]] = {}
+
+    def look(item: list, path: str) -> None:
+        """Adds up each part's pages, its characters, and those outside links that differ."""
+        at = f"{path}/{item[1]}"
+        if kind_of(item[1]) == 1:
+            known = parts.setdefault(at, [0, 0, 0])
+            known[0] = max(known[0], item[5])
+            for text in _texts(item):
+                known[1] += text[4]
+                known[2] += text[4] - text[5] if text[1] is None or text[6] < AGREED else 0
+        for child in item[4]:
+            if child[0] == "e":
+                look(child, at)
 
     def walk(item: list, path: str, apart: bool) -> None:
         at = f"{path}/{item[1]}"
         name = item[1].split(" ")[0]
-        apart = apart or is_aside(item[1])
+        apart = apart or kind_of(item[1]) == 2 or at in confirmed
         if not apart and (is_article(item[1]) or name == "main" or "role=main" in item[1]):
             chosen.add(at)
         for child in item[4]:
@@ -269,17 +328,27 @@ def places(wrapper: list, pages: int) -> tuple[list[str], list[tuple[str, str]]]
     def inside(path: str) -> bool:
         return any(path == c or path.startswith(f"{c}/") for c in chosen)
 
+    look(wrapper, "")
+    confirmed = {at for at, (n, size, free) in parts.items() if n >= AGREED and 2 * n >= pages and 4 * free <= size}
     walk(wrapper, "", False)
     if constants:  # where no text differs at all, pages are copies, not a template
         slotted = {inside(d) for d in differing}
         constants = {c for c in constants if c[0] not in differing and inside(c[0]) in slotted}
-    return sorted(chosen), sorted(constants)
+    return sorted(chosen), sorted(constants), sorted(confirmed)
+
+
+def _texts(item: list) -> Iterator[list]:
+    for child in item[4]:
+        if child[0] == "e":
+            yield from _texts(child)
+        else:
+            yield child
 
 
-def rules_of(found: list) -> tuple[set[str], set[tuple[str, str]]]:
+def rules_of(found: list) -> tuple[set[str], set[tuple[str, str]], set[str]]:
     """``places`` read back from JSON."""
-    chosen, constants = found
-    return set(chosen), {(at, text) for at, text in constants}
+    chosen, constants, parts = found
+    return set(chosen), {(at, text) for at, text in constants}, set(parts)
 
 
 def plain(s: str) -> str:
@@ -287,7 +356,7 @@ def plain(s: str) -> str:
     return " ".join(x for x in re.split(r" (?=(?:class|id|role)=)", s) if not x.startswith("id="))
 
 
-def heaviest(root: Element, constants: set[tuple[str, str]]) -> tuple[set[int], set[int]]:
+def heaviest(root: Element, constants: set[tuple[str, str]], parts: set[str]) -> tuple[set[int], set[int]]:
     """The element of a page with most text that is no constant in paragraphs
     outside links, with those of the same path, ids apart; and the elements
     around several of them, whose headings belong to them. Elements are named by
@@ -298,9 +367,9 @@ def heaviest(root: Element, constants: set[tuple[str, str]]) -> tuple[set[int],
     said: dict[int, int] = {}  # characters of paragraphs, headings left out
 
     def walk(node: Element, at: str, path: str) -> int:
-        if is_aside(node.sign):
-            return 0
         at, path, own = f"{at}/{node.sign}", f"{path}/{plain(node.sign)}", 0
+        if kind_of(node.sign) == 2 or at in parts:
+            return 0
         found.setdefault(path, []).append(node)
         headings = 0
         for child in node.children:
@@ -332,9 +401,9 @@ def heaviest(root: Element, constants: set[tuple[str, str]]) -> tuple[set[int],
     return {id(x) for x in group}, {p for p in parents if parents.count(p) > 1}
 
 
-def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> str:
+def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]], parts: set[str] = frozenset()) -> str:
     """The blocks of a page at its places: its articles among the host's chosen
-    paths, else its main parts, else its heaviest elements."""
+    paths, else its main parts, else its heaviest elements; confirmed parts left out."""
     root = parse(page)
     out: list[str] = []
 
@@ -343,7 +412,7 @@ def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> s
         name = node.sign.split(" ")[0]
         if starts(node, at):
             inside = True
-        elif is_aside(node.sign):
+        elif kind_of(node.sign) == 2 or at in parts:
             if not (inside and is_header(node.sign)):
                 return
             header = True  # of the article itself: its headings stay
@@ -359,7 +428,7 @@ def main_text(page: str, chosen: set[str], constants: set[tuple[str, str]]) -> s
             walk(root, "", False, False, fixed, lambda node, at, kind=kind: at in chosen and is_article(node.sign) == kind, set())
             if out:
                 return "\n\n".join(out)
-        best, titled = heaviest(root, fixed)
+        best, titled = heaviest(root, fixed, parts)
         walk(root, "", False, False, fixed, lambda node, at, best=best: id(node) in best, titled)
         if out:
             break
@@ -432,9 +501,9 @@ def _extracted(named: DataFrame) -> DataFrame:
     shape = named.select("row", "host", F.col("html").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[str], set[tuple[str, str]]]] = {}
+        known: dict[str, tuple[set[str], set[tuple[str, str]], set[str]]] = {}
 
-        def rules(text: str) -> tuple[set[str], set[tuple[str, str]]]:
+        def rules(text: str) -> tuple[set[str], set[tuple[str, str]], set[str]]:
             if text not in known:
                 if len(known) >= HELD:
                     known.clear()

@@ -86,6 +86,20 @@ def test_each_page_has_its_own_places():
     assert texts_of(empty.format(1), article.format(2)) == ["Text 1", "In an article 2"]
 
 
+def test_everyday_words_drop_no_article_text():
+    kept = (
+        "<h2 id='social-history'>Social</h2><p id='share-of-votes'>Votes {0}</p><p class='notice'>Mind {0}</p><section id='discussion'><h2>Discussion</h2><p>Open {0}</p></section>"
+        "<section id='related-work'><p>Others {0}</p></section><div class='alert alert-info'>Care {0}</div><div class='page-with-sidebar'>Wide {0}</div>"
+        "<p>So {0} <math><mi>x</mi><mo>=</mo><mn>2</mn></math><svg><text>axis</text></svg><canvas>drawn</canvas><object>shown</object></p>"
+    )
+    gone = "<div class='comments-area'><p>Nice {0}</p></div>"
+    links = "<div class='related-posts'><a href='/{0}'>Also {0}</a></div><div class='share'>Share this</div>"
+    page = f"<body><article><h1>T {{0}}</h1>{kept}{gone}{links}</article></body>"
+    text = "T {0}\n\nSocial\n\nVotes {0}\n\nMind {0}\n\nDiscussion\n\nOpen {0}\n\nOthers {0}\n\nCare {0}\n\nWide {0}\n\nSo {0} x=2axisdrawnshown"
+    assert texts_of(page.format("a")) == [text.format("a") + "\n\nAlso a\n\nShare this"]  # one page confirms nothing
+    assert texts_of(*[page.format(x) for x in "abcd"]) == [text.format(x) for x in "abcd"]
+
+
 def test_very_long_and_broken_pages():
     text = "<div>" * 3000 + "<p>deep</p>"
     assert html_wrappers.parse("<p>" + "word " * 100_000) is not None
