@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import json_values as js
 from corpusmill.functions import text as tx
 from corpusmill.operators import summary
@@ -63,7 +62,7 @@ def chat_reply(body: str) -> tuple[str, str]:
 
 
 def summarize(
-    hits: DataFrame, question: Column, language: Column, chat: Chat, max_bytes: int = fv.MAX_PROMPT_BYTES
+    hits: DataFrame, question: Column, language: Column, chat: Chat, max_bytes: int | None = None, max_hits: int | None = None
 ) -> DataFrame:
     """``query_id, prompt, answer, error_code, body, duration_ms``.
 
@@ -71,9 +70,9 @@ def summarize(
     times. Failed rows keep an empty answer and say why; ``require_answers``
     turns them into an error.
     """
-    asked = summary.prompts(hits, question, language, max_bytes).select(
-        "query_id", tx.byte_prefix(F.col("prompt"), max_bytes).alias("prompt")
-    )
+    asked = summary.prompts(hits, question, language, max_bytes, max_hits)
+    if max_bytes is not None:
+        asked = asked.withColumn("prompt", tx.byte_prefix(F.col("prompt"), max_bytes))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -28,19 +28,23 @@ def page_rows(pages: DataFrame, element: T.StructType, body: str = "body", keep:
 # --- selection ---------------------------------------------------------------
 
 
-def select_votings(votings: DataFrame, as_of: Column, limit: int = fv.CRAWL_VOTINGS) -> DataFrame:
-    """Future votings in listed order, or the first ones when none is ahead.
+def select_votings(votings: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Future votings in listed order, or all when none is ahead; with ``limit``
+    (the replaced application had ``fv.CRAWL_VOTINGS``) the first of them.
 
     Future rows sort first, so the first ``limit`` rows decide everything and
-    the final filter runs on that bounded set only.
+    the final filter runs on that bounded set only; without one, whether any is
+    ahead is added up first.
     """
     when = dates.parse_vote_time(F.col("date"))
     marked = votings.withColumn("__future", F.coalesce(when > as_of, F.lit(False)))
-    head = marked.orderBy(F.desc("__future"), F.asc("position")).limit(limit)
-    any_future = F.max("__future").over(Window.partitionBy(F.lit(0)))
+    if limit is None:
+        head = marked.crossJoin(F.broadcast(marked.agg(F.max("__future").alias("__any"))))
+    else:
+        first = marked.orderBy(F.desc("__future"), F.asc("position")).limit(limit)
+        head = first.withColumn("__any", F.max("__future").over(Window.partitionBy(F.lit(0))))
     return (
-        head.withColumn("__any", any_future)
-        .filter(F.col("__future") == F.col("__any"))
+        head.filter(F.col("__future") == F.col("__any"))
         .withColumn("selection_strategy", F.when(F.col("__any"), "future").otherwise("fallback_past"))
         .drop("__future", "__any")
     )
@@ -128,18 +132,19 @@ def initiants(contributors: DataFrame) -> DataFrame:
     return picked.select("voting_id", "position", F.col("name").alias("fullname"), "party", "role")
 
 
+def _piece(text: Column, limit: int | None) -> Column:
+    return tx.squeeze(text) if limit is None else tx.compact(text, limit)
+
+
 def _sided(docs: DataFrame, texts: DataFrame, doc_bytes: int | None, text_bytes: int | None) -> DataFrame:
     """``voting_id, origin, position, piece, side``: whole pieces unless cut."""
 
-    def piece(text: Column, limit: int | None) -> Column:
-        return tx.squeeze(text) if limit is None else tx.compact(text, limit)
-
-    from_docs = docs.select("voting_id", F.lit(0).alias("origin"), "position", piece(F.col("text"), doc_bytes).alias("piece"))
+    from_docs = docs.select("voting_id", F.lit(0).alias("origin"), "position", _piece(F.col("text"), doc_bytes).alias("piece"))
     from_texts = texts.select(
         "voting_id",
         F.lit(1).alias("origin"),
         "position",
-        piece(lg.localized(F.col("text")), text_bytes).alias("piece"),
+        _piece(lg.localized(F.col("text")), text_bytes).alias("piece"),
         F.lit("unknown").alias("side"),
     )
     return from_docs.withColumn("side", tx.argument_side(F.col("piece"))).unionByName(from_texts).filter("piece <> ''")
@@ -198,6 +203,18 @@ def arguments(docs: DataFrame, texts: DataFrame, side_bytes: int, doc_bytes: int
     return gathered.select("voting_id", side("pro", 1), side("contra", 2))
 
 
+def whole_arguments(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``voting_id, pro, contra``: all of ``argument_pieces``, a side as one text."""
+    placed = argument_pieces(docs, texts).groupBy("voting_id").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(*_IN_ORDER, "piece")))).alias(side)
+            for side in ("pro", "contra")
+        ]
+    )
+    joined = [F.nullif(F.array_join(F.transform(s, lambda p: p["piece"]), "\n\n"), F.lit("")) for s in ("pro", "contra")]
+    return placed.select("voting_id", *[F.coalesce(j, F.lit(fv.ARGUMENT_MISSING)).alias(s) for j, s in zip(joined, ("pro", "contra"), strict=True)])
+
+
 def available_languages(votings: DataFrame, affairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``voting_id, available_languages``: sorted codes with any text.
 
@@ -261,9 +278,20 @@ def vote_documents(
     texts: DataFrame,
     bodies: DataFrame,
     as_of: Column,
+    doc_bytes: int | None = None,
+    text_bytes: int | None = None,
+    side_bytes: int | None = None,
+    argument_doc_bytes: int | None = None,
+    argument_text_bytes: int | None = None,
 ) -> DataFrame:
     """``voting_id, document``: the normalised vote as one JSON text.
 
+    Documents, texts and arguments are whole, documents sorted into sides by all
+    their words. The limits of the replaced application are ``fv.DOC_TEXT_BYTES``
+    of a document, ``fv.FREE_TEXT_BYTES`` of a text, ``fv.ARGUMENT_SIDE_BYTES`` of
+    a side, and ``fv.ARGUMENT_DOC_BYTES`` and ``fv.ARGUMENT_TEXT_BYTES`` of its
+    pieces; these two count only with ``side_bytes``.
+
     ``votings`` carries ``selection_strategy``; only a vote's first affair
     counts. A crawl holds at most 150 pages per vote, which bounds the lists
     nested here.
@@ -277,7 +305,7 @@ def vote_documents(
         F.struct(
             "position",
             *[tx.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "url", "date", "language", "format")],
-            tx.compact(F.coalesce("text", F.lit("")), fv.DOC_TEXT_BYTES).alias("text"),
+            _piece(F.coalesce("text", F.lit("")), doc_bytes).alias("text"),
         ).alias("d"),
     )
     doc_list = doc_list.groupBy("voting_id").agg(F.array_sort(F.collect_list("d")).alias("__docs"))
@@ -286,7 +314,7 @@ def vote_documents(
         F.struct(
             lg.localized(F.col("type")).alias("kind"),
             "position",
-            tx.compact(lg.localized(F.col("text")), fv.FREE_TEXT_BYTES).alias("text"),
+            _piece(lg.localized(F.col("text")), text_bytes).alias("text"),
             clean_map(F.col("type")).alias("type_localized"),
             clean_map(F.col("text")).alias("text_localized"),
         ).alias("t"),
@@ -296,7 +324,7 @@ def vote_documents(
     for part in (
         affair.select("voting_id", F.struct(*[c for c in affair.columns if c not in ("voting_id", "position")]).alias("affair")),
         people,
-        arguments(docs, texts, fv.ARGUMENT_SIDE_BYTES, fv.ARGUMENT_DOC_BYTES, fv.ARGUMENT_TEXT_BYTES),
+        whole_arguments(docs, texts) if side_bytes is None else arguments(docs, texts, side_bytes, argument_doc_bytes, argument_text_bytes),
         doc_list,
         text_list,
         available_languages(votings, affair, docs, texts),

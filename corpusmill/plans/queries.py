@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import dates, ids, urls, vectors
+from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import json_values as js
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
@@ -413,7 +414,7 @@ def qa_answers(spark, sf):
 def prompt_budget(spark, sf):
     work, hits = _hits(spark, sf)
     asked = hits.join(work.select(F.col("exact_key").alias("query_id"), "question", "language"), "query_id")
-    parts = summary.prompt_parts(asked, F.col("question"), F.col("language"))
+    parts = summary.prompt_parts(asked, F.col("question"), F.col("language"), fv.MAX_PROMPT_BYTES, fv.PROMPT_MAX_HITS)
     return parts.select(
         F.col("query_id").alias("exact_key"),
         "rank",

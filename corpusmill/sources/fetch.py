@@ -29,7 +29,7 @@ class FetchSettings:
     min_interval: float = fv.FETCH_MIN_INTERVAL_SECONDS
     max_retries: int = fv.FETCH_MAX_RETRIES
     backoff_max: float = fv.FETCH_BACKOFF_MAX_SECONDS
-    max_bytes: int = fv.FETCH_MAX_BYTES
+    max_bytes: int | None = None  # a longer body is an error; the replaced application had fv.FETCH_MAX_BYTES
     ttl_seconds: int = fv.FETCH_TTL_SECONDS
     retention_seconds: int = fv.FETCH_RETENTION_SECONDS
     tasks: int = 1  # concurrent fetchers; the interval stretches with them
@@ -84,7 +84,7 @@ class PoliteFetcher:
         named = {key.lower(): value for key, value in headers.items()}
         if not 200 <= status < 300:
             raise HttpStatus(status, retry_after_seconds(named.get("retry-after", ""), self._clock()))
-        if len(body) > self._settings.max_bytes:
+        if self._settings.max_bytes is not None and len(body) > self._settings.max_bytes:
             raise ValueError(f"response exceeds {self._settings.max_bytes} bytes")
         return named.get("content-type", ""), body
 

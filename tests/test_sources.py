@@ -313,6 +313,34 @@ def test_C18_vote_document_is_read_back(spark, tmp_path):
     assert (row.document_id, row.title, row.lang) == ("openparldata:6_1", "Geschaeft", "de")
 
 
+def test_C18_vote_document_is_whole_by_default(spark):
+    def rows(items, element):
+        return votes.page_rows(spark.createDataFrame([(1, json.dumps({"data": items}))], "voting_id int, body string"), element)
+
+    voting = {"id": 1, "body_key": "AG", "date": "2026-03-10T16:42:53", "title": {"de": "T"}, "links": {"affairs": ""}}
+    votings = rows([voting], schemas.VOTING).withColumn("selection_strategy", F.lit("future"))
+    late, free = "wort " * 1000 + "dagegen", "satz " * 1000 + "ende"
+    docs = rows([{"name": "D", "text": late, "language": "de"}, {"name": "E", "text": "dafur", "language": "de"}], schemas.DOC)
+    texts = rows([{"type": {"de": "z"}, "text": {"de": free}}], schemas.TEXT)
+    parts = (rows([{"id": 5}], schemas.AFFAIR), rows([], schemas.CONTRIBUTOR), docs, texts, rows([], schemas.BODY).withColumn("url", F.lit("u")))
+    out = json.loads(votes.vote_documents(votings, *parts, dates.moment(NOW)).first().document)
+    assert out["arguments"] == {"pro": "dafur", "contra": late}
+    assert [d["text"] for d in out["docs"]] == [late, "dafur"] and out["texts"][0]["text"] == free
+    limits = {"doc_bytes": 4000, "text_bytes": 2000, "side_bytes": 2400, "argument_doc_bytes": 1800, "argument_text_bytes": 1200}
+    cut = json.loads(votes.vote_documents(votings, *parts, dates.moment(NOW), **limits).first().document)
+    assert len(cut["docs"][0]["text"]) < 4010 and len(cut["texts"][0]["text"]) < 2010 and len(cut["arguments"]["contra"]) < 2410
+
+
+def test_no_limits_by_default(spark):
+    listed = spark.createDataFrame([(i, i, f"2026-03-{i + 10}T00:00:00Z") for i in range(9)], "id int, position int, date string")
+    assert votes.select_votings(listed, dates.moment("2026-01-01T00:00:00Z")).count() == 9
+    past = votes.select_votings(listed, dates.moment("2027-01-01T00:00:00Z")).collect()
+    assert len(past) == 9 and {r.selection_strategy for r in past} == {"fallback_past"}
+    assert votes.select_votings(listed, dates.moment("2026-03-16T12:00:00Z")).count() == 2
+    fetcher = fetch.PoliteFetcher(lambda url: (200, {}, b"x" * 2_000_000), fetch.FetchSettings(min_interval=0))
+    assert len(fetcher.fetch("u")[1]) == 2_000_000
+
+
 def test_S2_branches_read_their_own_files_only(spark, tmp_path):
     from corpusmill.sources.files import list_files
 
