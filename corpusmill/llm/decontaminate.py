@@ -12,7 +12,10 @@ their hits are merged per document. Only benchmark items reach the driver,
 a block at a time; documents are never shuffled with one block.
 
 Defined cases: null or wordless texts have no words and no hits; items without
-words are no patterns; a repeated item_id counts once; repeated documents are
+words are no patterns; items without an id are left out, as in the query's SQL,
+unless ``nameless``: then their hits count, but they are no item of n_items, and the
+pipeline has it so; ids are compared as strings; a repeated item_id counts once;
+repeated documents are
 each scanned; extra columns are ignored by ``report`` and kept by ``clean``.
 """
 
@@ -38,19 +41,19 @@ _FOLD = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(25
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def _patterns(items: list[tuple[int, bytes]], window: int) -> dict[bytes, tuple[int, ...]]:
-    found: dict[bytes, set[int]] = {}
+def _patterns(items: list[tuple[str | None, bytes]], window: int) -> dict[bytes, tuple[str, ...]]:
+    found: dict[bytes, set[str]] = {}
     for item, text in items:
         words = text.translate(_FOLD).split()
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(b" ".join([b"", *words[i : i + window], b""]), set()).add(item)
+            found.setdefault(b" ".join([b"", *words[i : i + window], b""]), set()).update(() if item is None else (item,))
     return {p: tuple(sorted(ids)) for p, ids in found.items()}
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automaton(digest: str, items: list[tuple[int, bytes]], window: int) -> ahocorasick.Automaton:
+def _automaton(digest: str, items: list[tuple[str | None, bytes]], window: int) -> ahocorasick.Automaton:
     """The worker keeps the last automaton it built."""
     if digest not in _built:
         _built.clear()
@@ -62,11 +65,11 @@ def _automaton(digest: str, items: list[tuple[int, bytes]], window: int) -> ahoc
     return _built[digest]
 
 
-def scan(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
+def scan(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit runs of words (first, end), and items found."""
     words = text.translate(_FOLD).split()
     runs: list[tuple[int, int]] = []
-    items: set[int] = set()
+    items: set[str] = set()
     if words and len(automaton):
         whole = b" ".join([b"", *words, b""])
         at = seen = 0  # spaces in whole[:seen], so that positions become word numbers
@@ -90,15 +93,15 @@ def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, bytes]]]:
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", nameless: bool = False) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark's items in lists of about BLOCK_BYTES at most, fetched one
     at a time; a single item is never cut."""
-    kept = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("t"))
+    kept = benchmark.where(F.col(text).isNotNull() & (F.lit(nameless) | F.col(item).isNotNull())).select(F.col(item).cast("string").alias("item"), F.col(text).alias("t"))
     total = kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 if total <= BLOCK_BYTES else 2 * -(-total // BLOCK_BYTES)
     for k in range(n):
         part = kept if n == 1 else kept.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k)
-        yield sorted({(r.item, r.t.encode()) for r in part.collect()})
+        yield sorted({(r.item, r.t.encode()) for r in part.collect()}, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
 
 
 _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -114,13 +117,13 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), the text ``t``, n_words,
     ``runs`` of hit words (first, end) and ``items`` found, ascending."""
     df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
-    df = df.selectExpr("row", "t", "0L n_words", "array() :: array<struct<a:long,b:long>> runs", "array() :: array<long> items")
+    df = df.selectExpr("row", "t", "0L n_words", "array() :: array<struct<a:long,b:long>> runs", "array() :: array<string> items")
     shape = df.schema
-    for items in blocks(benchmark, item, item_text):
+    for items in blocks(benchmark, item, item_text, nameless):
         digest = hashlib.sha256(repr((window, items)).encode()).hexdigest()
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -136,7 +139,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         batch.column(1),
                         pa.array([n for n, _, _ in found], pa.int64()),
                         pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], _RUNS),
-                        pa.array(ids, pa.list_(pa.int64())),
+                        pa.array(ids, pa.list_(pa.string())),
                     ],
                     names=batch.schema.names,
                 )
@@ -160,16 +163,16 @@ def offsets(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, shape)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", nameless: bool = False) -> DataFrame:
     """Per row: key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark)
+    found = hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, nameless=nameless)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select(
         F.col("row.key").alias(key), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", nameless: bool = False) -> DataFrame:
     """The rows of ``docs`` without any hit, columns unchanged."""
-    return hits(docs, benchmark, text).where(F.size("runs") == 0).select("row.*")
+    return hits(docs, benchmark, text, nameless=nameless).where(F.size("runs") == 0).select("row.*")

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from corpusmill.llm import decontaminate, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files, windows
 from corpusmill.session import work_folder
 
@@ -186,6 +187,18 @@ def test_decontamination_equals_brute_force(spark, messy, monkeypatch):
     assert [spans.row.text[s.a : s.b] for s in spans.spans] == [passage]
 
 
+def test_decontamination_with_text_ids_and_without_ids(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "gamma"), (3, "clean")], "doc_id long, text string")
+    spark.createDataFrame([("q-7", "alpha beta"), (None, "gamma"), (None, "beta")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for size in (decontaminate.BLOCK_BYTES, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.report(docs, bench, nameless=True).collect()
+        assert sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in got) == [(1, 2, 1, sha("q-7")), (2, 1, 0, sha("")), (3, 0, 0, sha(""))]
+        assert [r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()] == [3]
+    assert sorted((r.doc_id, r.contaminated) for r in decontaminate.report(docs, bench).collect()) == [(1, True), (2, False), (3, False)]
+
+
 def test_secrets_equal_brute_force(spark):
     assign = re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     key = "9f86d081884c7d659a2feaa0c55ad015"
