@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +125,30 @@ class Pieces:
     @staticmethod
     def merge(word: str, score: dict[str, float], below: int | None = None, rank: dict[str, int] | None = None) -> list[str]:
         """Merges neighbours by score, the leftmost of equals first."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (below is None or rank[parts[i] + parts[i + 1]] < below) and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, str, str]] = []
+
+        def ask(i: int, j: int) -> None:
+            both = parts[i] + parts[j]
+            s = score.get(both)
+            if s is not None and (below is None or rank[both] < below):
+                heappush(queue, (-s, i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            ask(i, i + 1)
+        while queue:
+            _, i, left, right = heappop(queue)
+            j = after[i]
+            if parts[i] != left or j == len(parts) or parts[j] != right:
+                continue  # one of the two was merged since
+            parts[i], parts[j], after[i] = left + right, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+                ask(i, after[j])
+            if before[i] >= 0:
+                ask(before[i], i)
+        return [x for x in parts if x is not None]
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of substrings by their hashes, -1 where there is no such piece."""

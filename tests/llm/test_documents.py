@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -280,6 +281,15 @@ def test_sentence_pieces_odd_words():
         assert np.frombuffer(ids, "<i4").tolist() == model.encode(case), case
 
 
+def test_long_runs_of_spaces_do_not_take_quadratic_time():
+    import sentencepiece
+
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentence_pieces.Codec(PIECES)
+    started, case = time.process_time(), " " * 30_000 + "word"
+    assert np.frombuffer(codec.encode([case])[0], "<i4").tolist() == model.encode(case)
+    assert time.process_time() - started < 30  # minutes before
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
