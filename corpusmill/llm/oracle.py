@@ -145,6 +145,42 @@ select d.doc_id, n::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, c
 from d left join cut using (doc_id) left join kept using (doc_id)
 """
 
+# CRC-32 of distinct words by its bitwise definition (polynomial 0xEDB88320); h is
+# read from hexadecimal digits.
+OP11 = f"""
+with recursive table_of(b, c, k) as (
+    select b, b, 0 from (select unnest(range(256)) as b)
+    union all
+    select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from table_of where k < 8),
+  crc_table as (select list(c order by b) as tab from table_of where k = 8),
+  d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '{_A}') as w from documents),
+  dw as (select r, word, count(*) as n from (select r, unnest(w) as word from d) group by r, word),
+  tw as (select word, count(*) as n from (select unnest(regexp_extract_all({_LOW}, '{_A}')) as word from benchmark) group by word),
+  vocabulary as (select word, hex(encode(word)) as h from (select word from dw union select word from tw)),
+  steps(word, h, i, crc) as (
+    select word, h, 0, 4294967295 from vocabulary
+    union all
+    select word, h, i + 1, xor(crc >> 8, tab[xor(crc & 255, ('0x' || substr(h, 2 * i + 1, 2))::bigint) + 1])
+    from steps, crc_table where 2 * i < length(h)),
+  buckets as (select word, xor(crc, 4294967295) % 10000 as bucket from steps where 2 * i = length(h)),
+  s as (select bucket, sum(n) as s from dw join buckets using (word) group by bucket),
+  t as (select bucket, sum(n) as t from tw join buckets using (word) group by bucket),
+  gains as (
+    select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::double / ((coalesce(s, 0) + 1) * (t_all + 10000))::double))::bigint as gain
+    from s full join t using (bucket),
+      (select coalesce(sum(s), 0)::bigint as s_all from s), (select coalesce(sum(t), 0)::bigint as t_all from t)),
+  weights as (select r, sum(n * gain)::bigint as weight from dw join buckets using (word) join gains using (bucket) group by r),
+  scores as (
+    select d.r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+      coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from d left join weights using (r)),
+  ranked as (
+    select r, row_number() over (order by score desc, doc_id nulls last) as place, floor(10 * count(*) over () / 100) as draws
+    from scores where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= draws then place end::bigint as rank, n_features as n_words
+from scores left join ranked using (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_preference_formatting": OP1,
     "op2_minhash_near_dedup": OP2,
@@ -152,4 +188,5 @@ ORACLE: dict[str, str] = {
     "op5_suffix_array_dedup": OP5,
     "op7_quality_rules": OP7,
     "op9_benchmark_decontamination": OP9,
+    "op11_importance_resampling": OP11,
 }

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_wrappers, near_dedup, preferences, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files
+from corpusmill.llm import alignment, decontaminate, html_wrappers, importance, near_dedup, preferences, quality_rules, secret_scan, sentence_pieces, source_mix, substring_dedup, suffix_dedup, token_files
 from corpusmill.llm.common import table
 from corpusmill.session import work_folder
 
@@ -57,4 +57,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_preference_formatting, op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_secret_scans)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = alignment.Pair(*map(public_tokenizers.path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model")))
+    return alignment.report(table(spark, sf_dir, "documents"), pair)
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.report(table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_preference_formatting, op2_minhash_near_dedup, op3_substring_dedup, op4_html_wrappers, op5_suffix_array_dedup, op6_token_id_files, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_secret_scans, op11_importance_resampling, op12_cross_tokenizer_alignment, op13_source_mix)}
