@@ -113,12 +113,13 @@ def slug(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    masked = F.regexp_replace(text, EMAIL, fv.EMAIL_MARK)
+    # most texts have no "@", and looking for it is much cheaper than the pattern
+    masked = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, fv.EMAIL_MARK)).otherwise(text)
     return F.regexp_replace(masked, PHONE, fv.PHONE_MARK)
 
 
 def has_email(text: Column) -> Column:
-    return F.rlike(text, F.lit(EMAIL))
+    return F.contains(text, F.lit("@")) & F.rlike(text, F.lit(EMAIL))
 
 
 def has_phone(text: Column) -> Column:
@@ -166,10 +167,15 @@ def count_contained(text: Column, parts: Sequence[str]) -> Column:
 
 def argument_side(text: Column) -> Column:
     """pro / contra / unknown by counted word parts; a tie counts as pro."""
-    low = F.lower(text)
-    pro = count_contained(low, fv.PRO_WORDS)
-    contra = count_contained(low, fv.CONTRA_WORDS)
-    return F.when((pro == 0) & (contra == 0), "unknown").when(pro >= contra, "pro").otherwise("contra")
+
+    def side(counts: Column) -> Column:
+        pro, contra = counts["pro"], counts["contra"]
+        return F.when((pro == 0) & (contra == 0), "unknown").when(pro >= contra, "pro").otherwise("contra")
+
+    def counts(low: Column) -> Column:
+        return F.struct(count_contained(low, fv.PRO_WORDS).alias("pro"), count_contained(low, fv.CONTRA_WORDS).alias("contra"))
+
+    return let(let(F.lower(text), counts), side)
 
 
 def is_initiant_role(role: Column) -> Column:

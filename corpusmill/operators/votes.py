@@ -6,6 +6,8 @@ step is a join, an aggregate or a ranked selection keyed by ``voting_id``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
 from corpusmill.operators.select import first_per_key, top_per_key
+from corpusmill.session import cut_lineage
 
 
 def page_rows(pages: DataFrame, element: T.StructType, body: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -136,18 +139,22 @@ def _piece(text: Column, limit: int | None) -> Column:
     return tx.squeeze(text) if limit is None else tx.compact(text, limit)
 
 
-def _sided(docs: DataFrame, texts: DataFrame, doc_bytes: int | None, text_bytes: int | None) -> DataFrame:
-    """``voting_id, origin, position, piece, side``: whole pieces unless cut."""
+def _marked(docs: DataFrame, texts: DataFrame, doc_bytes: int | None, text_bytes: int | None) -> DataFrame:
+    """``voting_id, origin, position, found``: the piece and its side, null for
+    a blank piece. A piece is made once per row, whatever is asked of it."""
 
-    from_docs = docs.select("voting_id", F.lit(0).alias("origin"), "position", _piece(F.col("text"), doc_bytes).alias("piece"))
-    from_texts = texts.select(
-        "voting_id",
-        F.lit(1).alias("origin"),
-        "position",
-        _piece(lg.localized(F.col("text")), text_bytes).alias("piece"),
-        F.lit("unknown").alias("side"),
-    )
-    return from_docs.withColumn("side", tx.argument_side(F.col("piece"))).unionByName(from_texts).filter("piece <> ''")
+    def found(text: Column, limit: int | None, side: Callable[[Column], Column]) -> Column:
+        return tx.let(_piece(text, limit), lambda p: F.when(p != "", F.struct(p.alias("piece"), side(p).alias("side")))).alias("found")
+
+    from_docs = docs.select("voting_id", F.lit(0).alias("origin"), "position", found(F.col("text"), doc_bytes, tx.argument_side))
+    unknown = found(lg.localized(F.col("text")), text_bytes, lambda p: F.lit("unknown"))
+    return from_docs.unionByName(texts.select("voting_id", F.lit(1).alias("origin"), "position", unknown))
+
+
+def _sided(docs: DataFrame, texts: DataFrame, doc_bytes: int | None, text_bytes: int | None) -> DataFrame:
+    """``voting_id, origin, position, piece, side`` of pieces that are not blank."""
+    marked = _marked(docs, texts, doc_bytes, text_bytes)
+    return marked.withColumn("found", F.explode(F.array_compact(F.array("found")))).select("voting_id", *_IN_ORDER, "found.*")
 
 
 _IN_ORDER = ("origin", "position")
@@ -159,17 +166,22 @@ def argument_pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Documents are sorted into sides by all their words. Where a vote has none
     for a side, its first piece of no side stands in for pro, its second for
-    contra. Nothing is gathered per vote: a side's presence is a flag added up
-    before the shuffle, and the two stand-ins come from a limited rank.
+    contra. Nothing is gathered per vote: sides are decided in one pass that
+    keeps no text, a side's presence is a flag added up before the shuffle, and
+    the two stand-ins come from a limited rank. Texts are read once more for the
+    result, where the few stand-ins meet them.
     """
     pieces = _sided(docs, texts, None, None)
-    known = pieces.filter("side <> 'unknown'")
+    sides = cut_lineage(pieces.select("voting_id", *_IN_ORDER, "side"))
+    known = sides.filter("side <> 'unknown'")
     has = known.groupBy("voting_id").agg(*[F.max((F.col("side") == s).cast("int")).alias(f"has_{s}") for s in ("pro", "contra")])
-    free = top_per_key(pieces.filter("side = 'unknown'"), ["voting_id"], [F.asc(c) for c in _IN_ORDER], 2, rank="nth")
-    standing = free.withColumn("side", F.when(F.col("nth") == 1, "pro").otherwise("contra")).join(has, "voting_id", "left")
-    missing = F.when(F.col("side") == "pro", F.col("has_pro")).otherwise(F.col("has_contra"))
-    columns = ("voting_id", "side", *_IN_ORDER, "piece")
-    return known.select(*columns).unionByName(standing.filter(F.coalesce(missing, F.lit(0)) == 0).select(*columns))
+    free = top_per_key(sides.filter("side = 'unknown'"), ["voting_id"], [F.asc(c) for c in _IN_ORDER], 2, rank="nth")
+    standing = free.withColumn("stand", F.when(F.col("nth") == 1, "pro").otherwise("contra")).join(has, "voting_id", "left")
+    missing = F.when(F.col("stand") == "pro", F.col("has_pro")).otherwise(F.col("has_contra"))
+    standing = standing.filter(F.coalesce(missing, F.lit(0)) == 0).select("voting_id", *_IN_ORDER, "stand")
+    side = F.when(F.col("side") == "unknown", F.col("stand")).otherwise(F.col("side"))
+    placed = pieces.join(standing, ["voting_id", *_IN_ORDER], "left").withColumn("side", side)
+    return placed.filter("side is not null").select("voting_id", "side", *_IN_ORDER, "piece")
 
 
 def arguments(docs: DataFrame, texts: DataFrame, side_bytes: int, doc_bytes: int | None = None, text_bytes: int | None = None) -> DataFrame:

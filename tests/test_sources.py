@@ -1,5 +1,6 @@
 """Files, votes, fetching and crawling."""
 
+import dataclasses
 import email.utils
 import json
 import sys
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import schemas
 from corpusmill.functions import dates
+from corpusmill.functions import fixed_values as fv
 from corpusmill.operators import votes
 from corpusmill.plans import index_job
 from corpusmill.sources import crawl as cr
@@ -213,9 +215,11 @@ def test_S21_retry_and_gate():
     answers.append((200, {}, b"x"))
     fetcher.fetch("u")
     assert 1.1 <= clock.slept[-1] <= 1.25
+    capped = dataclasses.replace(settings, max_bytes=fv.FETCH_MAX_BYTES)
     for answer, error in [((404, {}, b""), fetch.HttpStatus), ((200, {}, b"x" * 2_000_000), ValueError)]:
         with pytest.raises(error):
-            fetch.PoliteFetcher(lambda url, a=answer: a, settings, clock, clock.sleep).fetch("u")
+            fetch.PoliteFetcher(lambda url, a=answer: a, capped, clock, clock.sleep).fetch("u")
+    assert len(fetch.PoliteFetcher(lambda url: (200, {}, b"x" * 2_000_000), settings, clock, clock.sleep).fetch("u")[1]) == 2_000_000  # no limit by default
     assert fetch.retry_after_seconds(email.utils.formatdate(1060, usegmt=True), 1000.0) == 60
     assert fetch.retry_after_seconds("soon", 0) == 0
 
