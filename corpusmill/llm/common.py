@@ -28,6 +28,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
+def apart(df: DataFrame, text: str, columns: list[str]) -> Column:
+    """All ``columns`` but the text as one struct ``row``, so that a Python step
+    takes the text once, under a name of its own."""
+    rest = [F.col(c) for c in columns if c != text]
+    return F.struct(*(rest or [F.lit(True).alias("_none")])).alias("row")
+
+
+def together(text: str, columns: list[str], name: str = "t") -> list[Column]:
+    """The columns that ``apart`` took apart, in their order."""
+    return [F.col(name).alias(c) if c == text else F.col("row")[c].alias(c) for c in columns]
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, else
     unmarked, for an ordinary shuffled join. ``df`` should be checkpointed."""
