@@ -51,6 +51,7 @@ from tokenizers import Tokenizer
 from corpusmill.llm.common import small
 from corpusmill.llm.tokens import chunks, word_hashes
 from corpusmill.llm.windows import flat_ranges
+from corpusmill.llm.worker import only, tidy
 
 MAGIC = b"CMIDS\x00\x00\x01"
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 8_000, 64 * 1024
@@ -59,6 +60,8 @@ LEVEL = 3
 NULL_ID = -(2**63)
 #: Parts kept by a worker.
 CACHE = 600_000
+#: Bytes of text encoded at once: the more, the fewer parts are distinct in it.
+STEP = 4_000_000
 
 
 # Kinds of bytes in texts that are parted here. Of other characters
@@ -72,6 +75,14 @@ _KIND[0xC3:0xCA] = _LETTER
 _KIND[32], _KIND[10] = _GAP, _LINE
 
 
+# The characters that stand for bytes in a byte-level vocabulary: printable ones for
+# themselves, the others from U+0100 on in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_NAMES = np.arange(256, dtype="<u4")
+_NAMES[[b for b in range(256) if b not in _PLAIN]] = np.arange(256, 512 - len(_PLAIN))
+_NAMES[0] = 0  # parts the parts here
+
+
 def part(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For texts joined by a zero byte: where the parts start in which the
     vocabulary encodes them (the zero bytes are parts too), and places that are
@@ -125,47 +136,60 @@ class Encoder:
         splitter = settings.get("pre_tokenizer") or {}
         #: whether the parts are those of this vocabulary
         self.parts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not settings.get("normalizer")
-        #: parts by hash: a number, and by it where its ids start in the pool and how many they are
-        self.known: dict[int, int] = {}
-        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        if self.parts:
+            #: encodes parts: it splits nothing, and keeps no words, as each is asked once
+            self.bare = Tokenizer.from_file(path)
+            self.bare.pre_tokenizer = self.bare.post_processor = None
+            self.bare.model._resize_cache(0)
+        #: parts by ascending hash: where their ids start in the pool, how many they
+        #: are, and whether they were asked for again
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         self.pool, self.filled = np.zeros(4096, self.kind), 0
 
-    def keep(self, keys: list[int], ids: list[bytes]) -> None:
-        """Adds parts under new hashes."""
-        first, more = len(self.known), np.frombuffer(b"".join(ids), self.kind)
-        last, end = first + len(keys), self.filled + len(more)
-        while last > len(self.start):
-            self.start, self.size, self.used = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.used))
+    def keep(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Adds parts under new hashes, ascending."""
+        more = np.frombuffer(b"".join(ids), self.kind)
+        end = self.filled + len(more)
         while end > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.known.update(zip(keys, range(first, last), strict=True))
-        self.size[first:last] = [len(x) // self.width for x in ids]
-        self.start[first:last] = self.filled + np.cumsum(self.size[first:last]) - self.size[first:last]
         self.pool[self.filled : end] = more
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, size)
+        self.start = np.insert(self.start, at, self.filled + np.cumsum(size, dtype=np.int64) - size)
+        self.used = np.insert(self.used, at, False)
         self.filled = end
 
     def forget(self) -> None:
         """Leaves the parts that were asked for again since the last time, or none
         if these are most of them."""
-        keys = np.fromiter(self.known, np.uint64, len(self.known))
-        stay = np.flatnonzero(self.used[: len(keys)])
+        stay = np.flatnonzero(self.used)
         if len(stay) > CACHE // 2:
             stay = stay[:0]
-        start, size, pool = self.start[stay], self.size[stay], self.pool
-        ids = pool[flat_ranges(start, size)]
-        self.known = dict(zip(keys[stay].tolist(), range(len(stay)), strict=True))
-        self.size[: len(stay)], self.start[: len(stay)] = size, np.cumsum(size) - size
-        self.pool[: len(ids)] = ids
-        self.filled = len(ids)
-        self.used[:] = False
+        self.pool = self.pool[flat_ranges(self.start[stay], self.size[stay].astype(np.int64))]
+        self.filled = len(self.pool)
+        if not self.filled:
+            self.pool = np.zeros(4096, self.kind)
+        self.keys, self.size = self.keys[stay], self.size[stay]
+        self.start, self.used = np.cumsum(self.size, dtype=np.int64) - self.size, np.zeros(len(stay), bool)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the keys, and whether they are there."""
+        at = np.searchsorted(self.keys, hashes)
+        inside = at < len(self.keys)
+        known = np.zeros(len(hashes), bool)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        return at, known
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def cut(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of parts that start with a space, encoded as one text."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, self.kind)
+        """Ids of parts, which go to the library as they are, in its characters for bytes."""
+        named = _NAMES[np.frombuffer(b"\0".join(parts), np.uint8)].tobytes().decode("utf-32-le").split("\0")  # no part holds a zero byte
+        ids = np.array(self.bare.encode_batch_fast([named], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
         ends = np.concatenate(([0], np.cumsum(self.span[ids])))
         at = np.searchsorted(ends, np.cumsum([0] + [len(p) for p in parts]))
         data, at = ids.tobytes(), (at * self.width).tolist()
@@ -174,7 +198,7 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.parts:
             return self.raw([t.decode() for t in texts])
-        if len(self.known) > CACHE:
+        if len(self.keys) > CACHE:
             self.forget()
         # a text with a zero byte is encoded whole; \x01 stands for its bytes here
         joined = b"\0".join([t if b"\0" not in t else b"\x01" * len(t) for t in texts]) + b"\0"
@@ -187,33 +211,23 @@ class Encoder:
         used = (data[starts] != 0) & ~np.repeat(whole, np.diff(np.searchsorted(starts, first)))
         starts, ends = starts[used], ends[used]
         hashes, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys, known = hashes.tolist(), self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        words = [joined[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)] if new else []
-        spaced = [i for i, w in enumerate(words) if w[:1] == b" " and len(w) > 1]
-        plain = [i for i, w in enumerate(words) if not (w[:1] == b" " and len(w) > 1)]
-        for some, how in ((spaced, self.cut), (plain, lambda ws: self.raw([w.decode() for w in ws]))):
-            if some:
-                self.keep([keys[new[i]] for i in some], how([words[i] for i in some]))
-        number = np.array([known[k] for k in keys], np.int64)
-        again = np.ones(len(keys), bool)
-        again[new] = False
-        self.used[number[again]] = True
-        number = number[back]
-        count = self.size[number]
+        at, known = self.find(hashes)
+        self.used[at[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            words = [joined[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            self.keep(hashes[new], self.cut(words))
+            at, _ = self.find(hashes)
+        number = at[back]
+        count = self.size[number].astype(np.int64)
         out = self.pool[flat_ranges(self.start[number], count)]
         bound = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, first)].tolist()
         rest = iter(self.raw([t.decode() for t, w in zip(texts, whole.tolist(), strict=True) if w]))
         return [next(rest) if w else out[a:b].tobytes() for w, a, b in zip(whole.tolist(), bound[:-1], bound[1:], strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return only(("encoder", path), lambda: Encoder(path))
 
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> bytes:
@@ -286,7 +300,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
             kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=list(names))
 
-        for batch, parts in chunks(batches, "t", 2_000_000):
+        for batch, parts in chunks(batches, "t", STEP):
             for i, found in zip(batch.column(0).to_pylist(), encoder.encode(parts), strict=True):
                 ids.append(i)
                 counts.append((len(found) + len(end)) // width)
@@ -300,7 +314,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
             yield flush()
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(run, _SHARDS).write.option("compression", "none").parquet(f"{folder}/shards")
+    rows.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(tidy(run, ("encoder", path)), _SHARDS).write.option("compression", "none").parquet(f"{folder}/shards")
 
 
 def dictionary_of(spark: SparkSession, folder: str) -> bytes:
