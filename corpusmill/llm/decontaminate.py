@@ -1,22 +1,24 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Texts are normalised to lower-case words of letters and digits, one space
-apart. Every window of ``WINDOW`` consecutive item words is a pattern; one scan
-of a document finds all occurrences of all patterns. A document word inside any
-occurrence is hit.
-
-The benchmark is added up first. Up to ``BLOCK_BYTES`` of patterns make one
-automaton, built once per Python worker; a larger benchmark is cut into blocks,
-each bounded by that size, that scan the documents one after the other, and
-their hits are merged per document. Only benchmark items reach the driver,
-a block at a time; documents are never shuffled with one block.
+Texts are normalised to lower-case words of letters and digits. The words of
+the benchmark are numbered, and a text becomes a string with one character per
+word (one for all other words), so offsets of matches are word numbers, which
+lead back to the original. Every window of ``WINDOW`` consecutive item words is
+a pattern; one scan of a document finds all occurrences of all patterns. A
+document word inside any occurrence is hit.
+
+An automaton holds at most one node per pattern word. Items go into one
+automaton up to ``NODES`` nodes (a node takes some 60 bytes), which a worker
+keeps from task to task. A larger benchmark is dealt to several, which one
+Python step builds one after the other for every ``HELD`` bytes of documents,
+so that a worker has one of them at a time. The benchmark's texts reach the
+driver a block at a time and are broadcast; documents are never shuffled.
 
 Defined cases: null or wordless texts have no words and no hits; items without
-words are no patterns; items without an id are left out, as in the query's SQL,
-unless ``nameless``: then their hits count, but they are no item of n_items, and the
-pipeline has it so; ids are compared as strings; a repeated item_id counts once;
-repeated documents are
-each scanned; extra columns are ignored by ``report`` and kept by ``clean``.
+words are no patterns; items without an id hit words but are no item of
+n_items (with ``nameless=False`` they are left out); ids are compared as
+strings; a repeated item_id counts once; repeated documents are each scanned;
+extra columns are ignored by ``report`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -31,58 +33,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corpusmill.llm.tokens import LOWER, texts
+from corpusmill.llm.common import apart, together
+from corpusmill.llm.tokens import LOWER, chunks, texts
+from corpusmill.llm.worker import only, tidy
 
 WINDOW = 10
-#: Bytes of item text in one automaton (its nodes take some 30 times as much).
-BLOCK_BYTES = 4_000_000
+#: Nodes of an automaton, and bytes of documents for which each of several is built.
+NODES, HELD = 1_000_000, 32_000_000
 
 _FOLD = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def _patterns(items: list[tuple[str | None, bytes]], window: int) -> dict[bytes, tuple[str, ...]]:
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        words = text.translate(_FOLD).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(b" ".join([b"", *words[i : i + window], b""]), set()).update(() if item is None else (item,))
-    return {p: tuple(sorted(ids)) for p, ids in found.items()}
-
-
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(digest: str, items: list[tuple[str | None, bytes]], window: int) -> ahocorasick.Automaton:
-    """The worker keeps the last automaton it built."""
-    if digest not in _built:
-        _built.clear()
-        made = ahocorasick.Automaton()
-        for pattern, ids in _patterns(items, window).items():
-            made.add_word(pattern.decode("latin-1"), (len(pattern), ids))
-        made.make_automaton()
-        _built[digest] = made
-    return _built[digest]
-
-
-def scan(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, hit runs of words (first, end), and items found."""
-    words = text.translate(_FOLD).split()
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    if words and len(automaton):
-        whole = b" ".join([b"", *words, b""])
-        at = seen = 0  # spaces in whole[:seen], so that positions become word numbers
-        for end, (length, ids) in automaton.iter(whole.decode("latin-1")):
-            at += whole.count(b" ", seen, end)
-            seen = end
-            n = whole.count(b" ", end - length + 1, end)  # words of the occurrence
-            first, last = at - n, at
-            items.update(ids)
-            while runs and runs[-1][1] >= first:
-                first = min(first, runs.pop()[0])
-            runs.append((first, last))
-    return len(words), runs, items
+#: Characters of words: the first is for words that no item has, the others are
+#: beyond the surrogates.
+_UNKNOWN, _FIRST = "\x01", 0x10000
+
+Items = list[tuple[str | None, bytes]]
+
+
+class Scanner:
+    """One automaton with its words."""
+
+    def __init__(self, items: Items, window: int):
+        self.names: dict[bytes, str] = {}
+        found: dict[str, set[str]] = {}
+        for item, text in items:
+            words = text.translate(_FOLD).split()
+            line = "".join([self.names.setdefault(w, chr(_FIRST + len(self.names))) for w in words])
+            for i in range(max(1, len(line) - window + 1) if line else 0):
+                found.setdefault(line[i : i + window], set()).update(() if item is None else (item,))
+        self.automaton = ahocorasick.Automaton()
+        for pattern, ids in found.items():
+            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(ids))))
+        self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit runs of words (first, end), and items found."""
+        runs: list[tuple[int, int]] = []
+        items: set[str] = set()
+        if words and len(self.automaton):
+            name = self.names.get
+            for last, (length, ids) in self.automaton.iter("".join([name(w, _UNKNOWN) for w in words])):
+                first = last + 1 - length
+                items.update(ids)
+                while runs and runs[-1][1] >= first:
+                    first = min(first, runs.pop()[0])
+                runs.append((first, last + 1))
+        return runs, items
 
 
 def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,12 +89,14 @@ def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", nameless: bool = False) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark's items in lists of about BLOCK_BYTES at most, fetched one
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", nameless: bool = True, window: int = WINDOW) -> Iterator[Items]:
+    """The benchmark's items in lists of about NODES pattern words, fetched one
     at a time; a single item is never cut."""
     kept = benchmark.where(F.col(text).isNotNull() & (F.lit(nameless) | F.col(item).isNotNull())).select(F.col(item).cast("string").alias("item"), F.col(text).alias("t"))
-    total = kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 if total <= BLOCK_BYTES else 2 * -(-total // BLOCK_BYTES)
+    words = F.regexp_count("t", F.lit(_WORD.pattern))
+    nodes = F.when(words <= window, words).otherwise((words - window + 1) * window)
+    total = kept.agg(F.sum(nodes)).first()[0] or 0
+    n = 1 if total <= NODES else -(-3 * total // (2 * NODES))
     for k in range(n):
         part = kept if n == 1 else kept.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k)
         yield sorted({(r.item, r.t.encode()) for r in part.collect()}, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
@@ -117,35 +115,39 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
-    """``row`` (a struct of all columns of ``docs``), the text ``t``, n_words,
+def _scanned(batches: Iterator[pa.RecordBatch], shared: list, window: int, key: str) -> Iterator[pa.RecordBatch]:
+    """Batches (row, t) with n_words, runs and items added."""
+    many = len(shared) > 1
+    for batch, parts in chunks(batches, "t", HELD if many else 1_000_000):
+        words = [t.translate(_FOLD).split() for t in parts]
+        runs: list[list[tuple[int, int]]] = [[] for _ in parts]
+        items: list[set[str]] = [set() for _ in parts]
+        for number, block in enumerate(shared):
+            scanner = only((key, number), lambda block=block: Scanner(block.value, window))
+            for i, w in enumerate(words):
+                more, found = scanner.scan(w)
+                if more:
+                    runs[i] = _union([*runs[i], *more]) if runs[i] else more
+                    items[i] |= found
+        columns = [
+            pa.array([len(w) for w in words], pa.int64()),
+            pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], _RUNS),
+            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_words", "runs", "items"])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = True) -> DataFrame:
+    """``row`` (a struct of all other columns of ``docs``), the text ``t``, n_words,
     ``runs`` of hit words (first, end) and ``items`` found, ascending."""
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
-    df = df.selectExpr("row", "t", "0L n_words", "array() :: array<struct<a:long,b:long>> runs", "array() :: array<string> items")
-    shape = df.schema
-    for items in blocks(benchmark, item, item_text, nameless):
-        digest = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], digest: str = digest, shared: object = shared) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(digest, shared.value, window)
-            for batch in batches:
-                found = [scan(automaton, t) for t in texts(batch.column(1))]
-                runs = [_union([*r, *((x["a"], x["b"]) for x in old)]) for (_, r, _), old in zip(found, batch.column(3).to_pylist(), strict=True)]
-                ids = [sorted({*f, *old}) for (_, _, f), old in zip(found, batch.column(4).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], _RUNS),
-                        pa.array(ids, pa.list_(pa.string())),
-                    ],
-                    names=batch.schema.names,
-                )
-
-        df = df.mapInArrow(run, shape)
-    return df
+    df = docs.select(apart(docs, text, docs.columns), F.col(text).alias("t"))
+    shape = df.limit(0).selectExpr("row", "t", "0L n_words", "array() :: array<struct<a:long,b:long>> runs", "array() :: array<string> items").schema
+    shared, digest = [], hashlib.sha256(repr(window).encode())
+    for items in blocks(benchmark, item, item_text, nameless, window):
+        digest.update(repr(items).encode())
+        shared.append(docs.sparkSession.sparkContext.broadcast(items))
+    key = digest.hexdigest()
+    return df.mapInArrow(tidy(lambda batches: _scanned(batches, shared, window, key), (key, 0)), shape)
 
 
 def offsets(found: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def offsets(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, shape)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", nameless: bool = False) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", nameless: bool = True) -> DataFrame:
     """Per row: key, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, nameless=nameless)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
@@ -173,6 +175,6 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", nameless: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", nameless: bool = True) -> DataFrame:
     """The rows of ``docs`` without any hit, columns unchanged."""
-    return hits(docs, benchmark, text, nameless=nameless).where(F.size("runs") == 0).select("row.*")
+    return hits(docs, benchmark, text, nameless=nameless).where(F.size("runs") == 0).select(*together(text, docs.columns))

@@ -77,7 +77,7 @@ _A = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP9 = f"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '{_A}') as w from documents),
-  items as (select distinct item_id, regexp_extract_all({_LOW}, '{_A}') as w from benchmark where item_id is not null),
+  items as (select distinct item_id, regexp_extract_all({_LOW}, '{_A}') as w from benchmark),
   patterns as (
     select distinct item_id, list_slice(w, i, i + 9) as x, len(list_slice(w, i, i + 9)) as n
     from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import pathlib
 import re
 import time
 import zlib
@@ -166,9 +167,9 @@ def test_decontamination_equals_brute_force(spark, messy, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     patterns = {}
     for item, text in items:
-        w = words.findall(low(text or "")) if item is not None else []
+        w = words.findall(low(text or ""))
         for i in range(max(1, len(w) - 9) if w else 0):
-            patterns.setdefault(tuple(w[i : i + 10]), set()).add(item)
+            patterns.setdefault(tuple(w[i : i + 10]), set()).update(() if item is None else (item,))  # hits without an item
     expected = []
     for doc, t, _ in rows:
         w, hit, found = words.findall(low(t)), set(), set()
@@ -178,26 +179,47 @@ def test_decontamination_equals_brute_force(spark, messy, monkeypatch):
                     hit.update(range(i, i + n))
                     found |= patterns[tuple(w[i : i + n])]
         expected.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
-    for size in (decontaminate.BLOCK_BYTES, 100):  # one block, and several
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for size in (decontaminate.NODES, 100):  # one block, and several
+        monkeypatch.setattr(decontaminate, "NODES", size)
         got = decontaminate.report(messy, bench).collect()
         assert in_order((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == in_order(expected)
     clean = decontaminate.clean(messy, bench)
     assert clean.columns == messy.columns and clean.count() == sum(not e[-1] for e in expected)
     spans = decontaminate.offsets(decontaminate.hits(messy.where("doc_id = 7"), bench)).first()
-    assert [spans.row.text[s.a : s.b] for s in spans.spans] == [passage]
+    assert [spans.t[s.a : s.b] for s in spans.spans] == [passage]
 
 
 def test_decontamination_with_text_ids_and_without_ids(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "gamma"), (3, "clean")], "doc_id long, text string")
     spark.createDataFrame([("q-7", "alpha beta"), (None, "gamma"), (None, "beta")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    for size in (decontaminate.BLOCK_BYTES, 5):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
-        got = decontaminate.report(docs, bench, nameless=True).collect()
+    for size in (decontaminate.NODES, 5):
+        monkeypatch.setattr(decontaminate, "NODES", size)
+        got = decontaminate.report(docs, bench).collect()
         assert sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in got) == [(1, 2, 1, sha("q-7")), (2, 1, 0, sha("")), (3, 0, 0, sha(""))]
         assert [r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()] == [3]
-    assert sorted((r.doc_id, r.contaminated) for r in decontaminate.report(docs, bench).collect()) == [(1, True), (2, False), (3, False)]
+    assert sorted((r.doc_id, r.contaminated) for r in decontaminate.report(docs, bench, nameless=False).collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_many_automata_find_what_one_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(f"i{k}", " ".join(f"w{x}" for x in rng.integers(0, 3000, 400))) for k in range(60)]
+    noise = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 300)) for _ in range(80)]
+    docs = [(k, noise[k] + " " + " ".join(items[k % 60][1].split()[20 : 20 + k % 15]) + " " + noise[-k]) for k in range(80)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    one = in_order(decontaminate.report(df, bench).collect())
+    assert sum(r.contaminated for r in one) == sum(k % 15 >= 10 for k in range(80))
+    monkeypatch.setattr(decontaminate, "NODES", 12_000)
+    assert len(list(decontaminate.blocks(bench))) >= 20 and in_order(decontaminate.report(df, bench).collect()) == one
+
+
+def test_an_automaton_stays_within_its_memory():
+    rng = np.random.default_rng(5)
+    items = [(f"i{k}", b" ".join(b"%x" % x for x in rng.integers(0, 1 << 40, 1000))) for k in range(100)]  # close to NODES
+    before = int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096
+    scanner = decontaminate.Scanner(items, decontaminate.WINDOW)
+    used = int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096 - before
+    assert len(scanner.names) > 99_000 and used < 300_000_000
 
 
 def test_secrets_equal_brute_force(spark):
