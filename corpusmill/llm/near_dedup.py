@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import components, small
 from corpusmill.llm.tokens import LOWER, SPACED, chunks, mix, rolling, series, spans, texts, word_hashes
+from corpusmill.llm.worker import tidy
 from corpusmill.session import cut_lineage
 
 ROWS = 5
@@ -147,7 +148,7 @@ def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
                 names=["id", "n", "set", "bands", *SKETCH, *FULL],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _alike(like: Likeness, a: str, b: str) -> Column:
@@ -207,7 +208,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
         if rest:
             yield judge(rest)
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:

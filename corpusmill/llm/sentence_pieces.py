@@ -30,7 +30,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -40,9 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
+from corpusmill.llm.common import apart, together
 from corpusmill.llm.tokens import chunks, mix
+from corpusmill.llm.worker import only, tidy
 
-CACHE = 200_000
+CACHE = 120_000
 SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -308,6 +310,12 @@ class Codec:
         self.learn([w for w in new if w not in old])
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def rest(self) -> None:
+        """Between tasks only the words of late stay, ``CACHE`` at most."""
+        self.old = {}
+        if len(self.known) > CACHE:
+            self.known = {}
+
     def decode(self, ids: np.ndarray) -> str:
         out = self.pieces.out
         text = b"".join([out[i] for i in ids.tolist()]).decode(errors="replace")
@@ -321,14 +329,14 @@ def _split(text: str) -> list[str]:
     return _UNITS.findall(text)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The worker's codec of a model."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return only(("codec", path), lambda: Codec(path))
+
+
+def _step(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a step whose worker keeps the codec, but no more than ``CACHE`` words."""
+    return tidy(run, ("codec", path), lambda: codec(path).rest())
 
 
 def _lists(found: list[bytes], given: pa.Array) -> pa.Array:
@@ -339,16 +347,17 @@ def _lists(found: list[bytes], given: pa.Array) -> pa.Array:
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``ids``, an array of ints (null for null)."""
-    wide = docs.select(F.struct(*[c for c in docs.columns if c != "ids"]).alias("row"), F.col(text).alias("t"))
-    shape = StructType([wide.schema["row"], StructField("ids", ArrayType(IntegerType()))])
+    kept = [c for c in docs.columns if c != "ids"]
+    wide = docs.select(apart(docs, text, kept), F.col(text).alias("t"))
+    shape = StructType([*wide.schema, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch, parts in chunks(batches, "t", 1_000_000):
             found = own.encode([p.decode() for p in parts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, batch.column(1))], names=["row", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(found, batch.column(1))], names=["row", "t", "ids"])
 
-    return wide.mapInArrow(run, shape).select("row.*", "ids")
+    return wide.mapInArrow(_step(run, path), shape).select(*together(text, kept), "ids")
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -363,7 +372,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [None if x is None else own.decode(x.values.to_numpy(zero_copy_only=False)) for x in map(lambda s: s if s.is_valid else None, column)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
 
-    return wide.mapInArrow(run, shape).select("row.*", "decoded")
+    return wide.mapInArrow(_step(run, path), shape).select("row.*", "decoded")
 
 
 def report(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,5 +388,5 @@ def report(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             same = [own.decode(np.frombuffer(x, "<i4")).encode() == p for x, p in zip(found, parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, batch.column(1)), pa.array(same)], names=["key", "ids", "exact"])
 
-    found = slim.mapInArrow(run, shape)
+    found = slim.mapInArrow(_step(run, path), shape)
     return found.select(F.col("key").alias(key), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "exact")
