@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.functions import fixed_values as fv
-from corpusmill.operators import cache_replay
 
 
 def _per_moment(events: DataFrame, key: str, at: str) -> DataFrame:
@@ -58,24 +57,67 @@ def rate_limit(requests: DataFrame, qps: float = fv.RATE_QPS, burst: int = fv.RA
     )
 
 
-def replay_cache_stream(
-    lookups: DataFrame, path: str, checkpoint: str, ttl_seconds: int = fv.EXACT_TTL_SECONDS
-) -> StreamingQuery:
-    """Outcomes of a stream of lookups; batch ``n`` is written to ``batch=n``.
-
-    The entries alive after a batch are the state the next one starts from.
-    Each batch writes its own folders, so a repeated batch changes nothing.
+class _Entry(StatefulProcessor):
+    """One key's cache entry: the moment it ends, in microseconds."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ends = handle.getValueState("ends", "ends long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        ends = self.ends.get()[0] if self.ends.exists() else None
+        before = ends
+        # a trigger's rows may come in several pieces; only moments and ids are kept
+        asked = pd.concat([r[["at", "event_id"]] for r in rows]).sort_values(["at", "event_id"], kind="stable")
+        outcomes = []
+        for at in asked["at"].tolist():
+            hit = ends is not None and at <= ends
+            outcomes.append("exact_hit" if hit else "miss")
+            if not hit:
+                ends = at + self.ttl
+        if ends != before:
+            if before is not None:
+                self.handle.deleteTimer(_after(before))
+            self.ends.update((ends,))
+            self.handle.registerTimer(_after(ends))
+        yield pd.DataFrame({"event_id": asked["event_id"], "key": key[0], "outcome": outcomes})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.ends.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _after(micros: int) -> int:
+    """The first whole millisecond after a moment: the last one still counts."""
+    return micros // 1000 + 1
+
+
+def replay_cache_stream(lookups: DataFrame, ttl_seconds: int = fv.EXACT_TTL_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """``event_id, key, outcome`` of a stream of lookups ``event_id, key, asked_at``.
+
+    State is one number per key with a living entry. A timer in event time
+    removes it when the watermark (``late`` behind the newest lookup) has passed
+    its end, so the state follows the keys asked of late, not all keys ever
+    asked. Lookups later than the watermark are dropped. Lookups of a trigger
+    are taken in time order, those of one moment by id; one key's lookups of a
+    trigger meet in one task, as each depends on the one before (bound a trigger
+    with ``maxFilesPerTrigger``). The session must name the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
     """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{path}/state/batch={number - 1}") if number else None
-        done = cache_replay.replay_exact(batch, ttl_seconds, state)
-        done.outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
-        done.state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-
-    writer = lookups.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    timed = lookups.withWatermark("asked_at", late).select("key", "event_id", F.unix_micros("asked_at").alias("at"), "asked_at")
+    kinds = {f.name: f.dataType.simpleString() for f in timed.schema}
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Entry(ttl_seconds * 1_000_000),
+        outputStructType=f"event_id {kinds['event_id']}, key {kinds['key']}, outcome string",
+        outputMode="append",
+        timeMode="eventTime",
+    )
 
 
 def new_jobs(pending: DataFrame) -> DataFrame:

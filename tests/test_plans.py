@@ -1,5 +1,6 @@
 """Catalogue queries, request checks, streams and the driver contract."""
 
+import random
 import re
 from datetime import datetime, timedelta, timezone
 
@@ -10,6 +11,7 @@ import __spark_entry__ as contract
 from corpusmill import schemas
 from corpusmill.functions import dates
 from corpusmill.operators import usage
+from corpusmill.operators.cache_replay import replay_exact
 from corpusmill.plans import catalog, requests
 from corpusmill.streaming import stateful
 from corpusmill.streaming import usage as usage_stream
@@ -151,23 +153,57 @@ def test_stream_equals_batch_with_late_events(spark, tmp_path):
     assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
-def test_stream_cache_replay(spark, tmp_path):
-    start = datetime(2024, 1, 1, tzinfo=UTC)
-    log = [(i, f"k{i % 2}", start + timedelta(seconds=i * 20)) for i in range(40)]
+@pytest.fixture
+def rocks(spark):
+    """Streams of this test keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def played(stream, name, checkpoint):
+    """Runs a stream over what there is; its progress, trigger by trigger."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
+    query = query.option("checkpointLocation", checkpoint).start()
+    query.awaitTermination()
+    return query.recentProgress
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_cache_replay_in_random_triggers(spark, rocks, tmp_path, seed):
+    rng = random.Random(seed)
+    start, at, log = datetime(2024, 1, 1, tzinfo=UTC), 0, []
+    for i in range(300):
+        at += rng.choice([0, 0, 1, 5, 20, 61])
+        log.append((i, f"k{rng.choice([0, 0, 0, 0, 1, 2, 3])}", start + timedelta(seconds=at)))
     df = spark.createDataFrame(log, "event_id long, key string, asked_at timestamp")
-    stream = parts(spark, df, f"{tmp_path}/in", ["event_id < 20"])
-    stateful.replay_cache_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", 60).awaitTermination()
-    df.filter("event_id >= 20").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stateful.replay_cache_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", 60).awaitTermination()
-    got = {r.event_id: r.outcome for r in spark.read.parquet(f"{tmp_path}/out/outcomes").collect()}
-    expires, expected = {}, {}
-    for event, key, at in log:
-        hit = key in expires and at <= expires[key]
-        expires[key] = expires[key] if hit else at + timedelta(seconds=60)
-        expected[event] = "exact_hit" if hit else "miss"
+    cuts = sorted({0, 300, *rng.sample(range(1, 300), 3)})
+    stream = parts(spark, df, f"{tmp_path}/in", [f"event_id >= {a} and event_id < {b}" for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    played(stateful.replay_cache_stream(stream, 60), f"replay{seed}", f"{tmp_path}/cp")
+    got = {(r.event_id, r.key): r.outcome for r in spark.table(f"replay{seed}").collect()}
+    assert got == {(r.event_id, r.key): r.outcome for r in replay_exact(df, 60).outcomes.collect()}
+    ends, expected = {}, {}
+    for event, key, moment in log:
+        hit = key in ends and moment <= ends[key]
+        ends[key] = ends[key] if hit else moment + timedelta(seconds=60)
+        expected[event, key] = "exact_hit" if hit else "miss"
     assert got == expected
 
 
+def test_stream_cache_forgets_what_expired(spark, rocks, tmp_path):
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    many = [(i, f"k{i}", start + timedelta(seconds=i % 50)) for i in range(200)]
+    few = [(1000 + i, "late", start + timedelta(seconds=3600 * (i + 1))) for i in range(3)]
+    df = spark.createDataFrame(many + few, "event_id long, key string, asked_at timestamp")
+    stream = parts(spark, df, f"{tmp_path}/in", ["event_id < 200", *[f"event_id = {1000 + i}" for i in range(3)]])
+    progress = played(stateful.replay_cache_stream(stream, 600), "forgets", f"{tmp_path}/cp")
+    rows = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    assert max(rows) >= 200 and rows[-1] < 20
+    assert spark.table("forgets").filter("outcome = 'miss'").count() == 203
+
+
 def test_rate_limit_is_a_token_bucket(spark, tmp_path):
     start = datetime(2024, 1, 1, tzinfo=UTC)
     moments = [0, 0, 0, 0, 0.5, 1.2, 10, 10, 10, 10]
