@@ -552,3 +552,24 @@ ORACLE: dict[str, str] = {
         select page_id, {_squeeze("array_to_string(nodes, ' ')")} as text from t""",
     "metadata_sanitized": """select c_custkey, '{"more":{"segment":"' || c_mktsegment || '"},"name":"' || c_name || '"}' as clean from customer""",
 }
+
+# Each question key is walked in time order, one ask after the other.
+ORACLE["qa_cached_answers"] = f"""with recursive {_ASKED},
+    asks as (
+      select question_id, question_id * 10 + n as ask, exact_key, strlen(question) >= {fv.SEMANTIC_MIN_BYTES} as long_enough,
+        (question_id * 7919 + n * n * 180 + n * (question_id % 5) * 20000) % 300000 as sec,
+        question <> '' and not contains(question, '{fv.EMAIL_MARK}') and not contains(question, '{fv.PHONE_MARK}') as cacheable
+      from keyed, unnest(range(4)) as t(n)),
+    ordered as (select *, row_number() over (partition by exact_key order by sec, ask) as i from asks where cacheable),
+    walk(exact_key, i, ask, outcome, made, entry_at) as (
+      select exact_key, i, ask, 'miss', sec, sec from ordered where i = 1
+      union all
+      select o.exact_key, o.i, o.ask,
+        case when o.sec - made <= {fv.EXACT_TTL_SECONDS} then 'exact_hit' when o.long_enough and o.sec - made <= {fv.SEMANTIC_TTL_SECONDS} then 'semantic_hit' else 'miss' end,
+        case when o.sec - made <= {fv.EXACT_TTL_SECONDS} or (o.long_enough and o.sec - made <= {fv.SEMANTIC_TTL_SECONDS}) then made else o.sec end,
+        case when o.sec - made <= {fv.EXACT_TTL_SECONDS} or (o.long_enough and o.sec - made <= {fv.SEMANTIC_TTL_SECONDS}) then made else o.sec end
+      from walk w join ordered o on o.exact_key = w.exact_key and o.i = w.i + 1),
+    said as ({ORACLE["qa_answers"]})
+    select asks.ask as question_id, coalesce(outcome, 'bypass_sensitive') as outcome, entry_at::bigint as entry_second,
+      case when outcome = 'semantic_hit' then 1.0::double end as score, answer, confidence
+    from asks left join walk using (ask) join said on said.question_id = asks.question_id"""

@@ -410,6 +410,16 @@ def qa_answers(spark, sf):
     )
 
 
+@query
+def qa_cached_answers(spark, sf):
+    """Every user question asked four times within some days, through the cache."""
+    nth = views.questions(spark, sf).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    second = (F.col("question_id") * 7919 + F.col("n") * F.col("n") * 180 + F.col("n") * F.pmod(F.col("question_id"), F.lit(5)) * 20000) % 300000
+    asks = nth.select((F.col("question_id") * 10 + F.col("n")).alias("question_id"), "question", "language", F.timestamp_seconds(second).alias("asked_at"))
+    found = qa.answer_in_order(asks, views.embedded_chunks(spark, sf), HashEmbedder())
+    return found.select("question_id", "outcome", F.unix_seconds("entry_at").alias("entry_second"), F.col("score").alias("score"), "answer", "confidence")
+
+
 @query
 def prompt_budget(spark, sf):
     work, hits = _hits(spark, sf)
