@@ -1,15 +1,15 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Texts are normalised to lower-case words of letters and digits. The words of
-the benchmark are numbered, and a text becomes a string with one character per
-word (one for all other words), so offsets of matches are word numbers, which
-lead back to the original. Every window of ``WINDOW`` consecutive item words is
+the benchmark are numbered, and a text becomes a string with two characters per
+word (the same two for all other words), so offsets of matches are word numbers,
+which lead back to the original. Two, because a node looks for its child one by
+one, and so no node has more than the root of the number of words. Every window of ``WINDOW`` consecutive item words is
 a pattern; one scan of a document finds all occurrences of all patterns. A
 document word inside any occurrence is hit.
 
-An automaton holds at most one node per pattern word. Items go into one
-automaton up to ``NODES`` nodes (a node takes some 60 bytes), which a worker
-keeps from task to task. A larger benchmark is dealt to several, which one
+An automaton holds at most two nodes per pattern word. Items go into one
+automaton up to ``NODES`` pattern words, which a worker keeps from task to task. A larger benchmark is dealt to several, which one
 Python step builds one after the other for every ``HELD`` bytes of documents,
 so that a worker has one of them at a time. The benchmark's texts reach the
 driver a block at a time and are broadcast; documents are never shuffled.
@@ -24,8 +24,10 @@ extra columns are ignored by ``report`` and kept by ``clean``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -38,14 +40,14 @@ from corpusmill.llm.tokens import LOWER, chunks, texts
 from corpusmill.llm.worker import only, tidy
 
 WINDOW = 10
-#: Nodes of an automaton, and bytes of documents for which each of several is built.
-NODES, HELD = 1_000_000, 32_000_000
+#: Pattern words of an automaton (each takes two nodes at most), and bytes of documents for which each of several is built.
+NODES, HELD = 500_000, 32_000_000
 
 _FOLD = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Characters of words: the first is for words that no item has, the others are
+#: Characters for words that no item has, and where those of the others start,
 #: beyond the surrogates.
-_UNKNOWN, _FIRST = "\x01", 0x10000
+_UNKNOWN, _FIRST, _SECOND = "\x01\x01", 0x10000, 0x80000
 
 Items = list[tuple[str | None, bytes]]
 
@@ -54,16 +56,19 @@ class Scanner:
     """One automaton with its words."""
 
     def __init__(self, items: Items, window: int):
-        self.names: dict[bytes, str] = {}
+        split = [(item, text.translate(_FOLD).split()) for item, text in items]
+        words = dict.fromkeys(w for _, ws in split for w in ws)
+        base = math.isqrt(len(words)) + 1
+        # the two characters are from different ranges, so no match starts inside a word
+        self.names = {w: chr(_FIRST + i // base) + chr(_SECOND + i % base) for i, w in enumerate(words)}
         found: dict[str, set[str]] = {}
-        for item, text in items:
-            words = text.translate(_FOLD).split()
-            line = "".join([self.names.setdefault(w, chr(_FIRST + len(self.names))) for w in words])
-            for i in range(max(1, len(line) - window + 1) if line else 0):
-                found.setdefault(line[i : i + window], set()).update(() if item is None else (item,))
+        for item, ws in split:
+            line = "".join([self.names[w] for w in ws])
+            for i in range(0, max(2, len(line) - 2 * window + 2) if line else 0, 2):
+                found.setdefault(line[i : i + 2 * window], set()).update(() if item is None else (item,))
         self.automaton = ahocorasick.Automaton()
         for pattern, ids in found.items():
-            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(ids))))
+            self.automaton.add_word(pattern, (len(pattern) // 2, tuple(sorted(ids))))
         self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -72,7 +77,8 @@ class Scanner:
         items: set[str] = set()
         if words and len(self.automaton):
             name = self.names.get
-            for last, (length, ids) in self.automaton.iter("".join([name(w, _UNKNOWN) for w in words])):
+            for end, (length, ids) in self.automaton.iter("".join(map(name, words, repeat(_UNKNOWN)))):
+                last = end // 2
                 first = last + 1 - length
                 items.update(ids)
                 while runs and runs[-1][1] >= first:
