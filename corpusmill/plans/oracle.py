@@ -573,3 +573,5 @@ ORACLE["qa_cached_answers"] = f"""with recursive {_ASKED},
     select asks.ask as question_id, coalesce(outcome, 'bypass_sensitive') as outcome, entry_at::bigint as entry_second,
       case when outcome = 'semantic_hit' then 1.0::double end as score, answer, confidence
     from asks left join walk using (ask) join said on said.question_id = asks.question_id"""
+
+ORACLE["vector_topk_cells"] = ORACLE["vector_topk_batch"]

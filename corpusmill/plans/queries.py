@@ -13,7 +13,7 @@ from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import json_values as js
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
-from corpusmill.operators import qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage, votes
+from corpusmill.operators import qa, qa_cache, search, skip, snapshot, stats, summary, translation, usage, vector_cells, votes
 from corpusmill.operators.chunking import ChunkPlan, expected_chunks
 from corpusmill.operators.embedding import HashEmbedder
 from corpusmill.plans import catalog
@@ -364,6 +364,16 @@ def vector_topk_batch(spark, sf):
     return found.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query
+def vector_topk_cells(spark, sf):
+    """The same for any number of questions: each visits the cells that can
+    still reach its best rows."""
+    items = views.stored_vectors(spark, sf)
+    index = vector_cells.build(items, 64)
+    found = vector_cells.nearest(index, items.withColumnRenamed("item_id", "query_id"), 5, skip_self=True)
+    return found.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def cosine_pairs(spark, sf):
     """Cosine of each vector with the next one, pair by pair."""
