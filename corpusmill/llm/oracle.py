@@ -4,11 +4,20 @@ what the results are, not from the Spark plans."""
 from __future__ import annotations
 
 _TURNS = """
-  turns as (
+  spoken as (
     select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as n, role, text
     from (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
           from conversations where conv_id is not null and turn is not null)),
-  pairs as (select distinct conv_id // 2 as pair_id from conversations where conv_id is not null),
+  answers as (select conv_id, n, text, row_number() over (partition by conv_id order by n desc) as back from spoken where role = 'assistant'),
+  ends as (
+    select a.conv_id, a.n as last, coalesce(b.text, '') as stale
+    from answers a left join answers b on b.conv_id = a.conv_id and b.back = 2 where a.back = 1),
+  turns as (
+    select conv_id * 2 as conv_id, n, role, text from spoken
+    union all
+    select conv_id * 2 + 1, n, role, case when n = last then stale else text end
+    from spoken left join ends using (conv_id) where last is null or n <= last),
+  pairs as (select distinct conv_id as pair_id from conversations where conv_id is not null),
   first_difference as (
     select pair_id, min(n) as n from (
       select coalesce(a.conv_id // 2, b.conv_id // 2) as pair_id, coalesce(a.n, b.n) as n,

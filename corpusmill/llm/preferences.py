@@ -45,6 +45,32 @@ def numbered(conversations: DataFrame, conversation: str = "conv_id", turn: str
     return rows.select("id", (F.row_number().over(order) - 1).alias("n"), "role", "text")
 
 
+def alternative_endings(conversations: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pairs (pair_id, chosen, rejected) and their conversations, one pair for each
+    conversation ``c``: it is chosen (id 2 c), rejected (2 c + 1) is a model that
+    repeats itself: the conversation up to its last assistant turn, which says what
+    the assistant's turn before said (nothing, if there is none). A conversation
+    without an assistant turn is paired with itself."""
+    turns = numbered(conversations, conversation, turn, role, text)
+    is_answer = F.col("role") == LEARNED
+    whole = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    seen = turns.withColumns(
+        {
+            "last": F.max(F.when(is_answer, F.col("n"))).over(whole),
+            "stale": F.coalesce(F.last(F.when(is_answer, F.col("text")), ignorenulls=True).over(before), F.lit("")),
+        }
+    )
+    at_last = F.col("n") == F.col("last")
+    said = F.array(
+        F.struct((2 * F.col("id")).alias("id"), F.col("text").alias("text"), F.lit(True).alias("stays")),
+        F.struct((2 * F.col("id") + 1).alias("id"), F.when(at_last, F.col("stale")).otherwise(F.col("text")).alias("text"), F.coalesce(F.col("n") <= F.col("last"), F.lit(True)).alias("stays")),
+    )
+    both = seen.select(F.col("n").alias("turn"), "role", F.explode(said).alias("s")).where("s.stays").select(F.col("s.id").alias("conv_id"), "turn", "role", "s.text")
+    ids = conversations.where(F.col(conversation).isNotNull()).select(F.col(conversation).cast("long").alias("pair_id")).distinct()
+    return ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen"), (2 * F.col("pair_id") + 1).alias("rejected")), both
+
+
 def rendered(turns: Column) -> Column:
     """The turns (role, text) of a part of a conversation as one text."""
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), t["role"], F.lit(MIDDLE), t["text"], F.lit(END))), "")

@@ -13,8 +13,7 @@ from corpusmill.session import work_folder
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    found = preferences.formatted(preferences.adjacent_pairs(turns), turns)
+    found = preferences.formatted(*preferences.alternative_endings(table(spark, sf_dir, "conversations")))
     spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for c in ("chosen_spans", "rejected_spans")}
     return found.withColumns(spans)
 

@@ -146,6 +146,31 @@ def test_preferences_equal_brute_force(spark):
     assert preferences.formatted(given.limit(0), df).count() == 0
 
 
+def test_alternative_endings_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(c, n, rng.choice(["system", "user", "assistant", "assistant", None]), f"t{rng.randint(0, 2)}") for c in range(30) for n in range(rng.randint(0, 6))]
+    rows += [rows[0], (50, 0, "assistant", None), (51, 0, "user", None), (52, None, "user", "x"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, id string")
+    turns = {c: [] for c, *_ in rows if c is not None}
+    for c, _, r, t in sorted({(c, n, r or "", t or "") for c, n, r, t in rows if c is not None and n is not None}):
+        turns[c].append((r, t))
+    derived, pairs = [], []
+    for c, own in turns.items():
+        answers = [n for n, (r, _) in enumerate(own) if r == "assistant"]
+        other = list(own)
+        if answers:
+            other = [*own[: answers[-1]], ("assistant", own[answers[-2]][1] if len(answers) > 1 else "")]
+        derived += [(2 * c, n, *t) for n, t in enumerate(own)] + [(2 * c + 1, n, *t) for n, t in enumerate(other)]
+        pairs.append((c, 2 * c, 2 * c + 1))
+    given, both = preferences.alternative_endings(df)
+    assert sorted(map(tuple, given.collect())) == sorted(pairs)
+    assert sorted(map(tuple, both.select("conv_id", "turn", "role", "text").collect())) == sorted(derived)
+    got = {(r.pair_id, r.n_prompt, r.prompt, r.chosen_completion, r.rejected_completion) for r in preferences.formatted(given, both).collect()}
+    assert got == {(p, n, prompt, a, b) for p, n, prompt, a, _, b, _ in brute(derived, pairs)}
+    assert len({n for _, n, *_ in got}) > 2
+    assert preferences.alternative_endings(df.limit(0))[1].count() == 0
+
+
 def test_suffix_order_equals_sorting():
     rng = random.Random(1)
     for _ in range(60):
