@@ -127,6 +127,7 @@ MAX_FILE_BYTES = 2 * 1024 * 1024
 
 # --- question cache --------------------------------------------------------
 EXACT_TTL_SECONDS = 600
+TRANSLATION_JOB_SECONDS = 90
 EXACT_MAX_ENTRIES = 500
 EXACT_ENTRIES_CEILING = 50_000
 SEMANTIC_TTL_SECONDS = 86_400

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import ids
 from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
+from corpusmill.operators.cache_replay import replay_exact
 from corpusmill.operators.select import first_per_key
 
 Translate = Callable[[str, str, str, str], str]  # text, source language, target language, what the text is
@@ -214,6 +215,40 @@ def already_ready(jobs: DataFrame, stored: DataFrame) -> DataFrame:
     return jobs.join(done, ["document_id", "target_lang", "source_hash"], "left_semi")
 
 
+def in_flight(events: DataFrame, seconds: int = fv.TRANSLATION_JOB_SECONDS) -> DataFrame:
+    """``event_id, document_id, target_lang, outcome`` of every request: ``started``,
+    or ``joined`` where a job for the same document and language was under way.
+
+    ``events``: ``event_id, document_id, target_lang, asked_at, is_end``. A job is
+    under way until an end is reported for it, or until its deadline, so that one
+    that never finished blocks nobody for longer. Of one moment ends come first,
+    then requests by id; ends without a job do nothing.
+
+    Ends cut a pair's requests into parts that do not know of each other; within a
+    part the starts are a chain, found by joins and not by walking it.
+    """
+    pair = ["document_id", "target_lang"]
+    order = Window.partitionBy(*pair).orderBy("asked_at", F.desc("is_end"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    parts = events.withColumn("part", F.sum(F.col("is_end").cast("long")).over(order)).filter("not is_end")
+    keyed = parts.select("event_id", *pair, "asked_at", F.to_json(F.struct(*pair, "part")).alias("key"))
+    outcomes = replay_exact(keyed, seconds).outcomes.select("key", "event_id", F.when(F.col("outcome") == "miss", "started").otherwise("joined").alias("outcome"))
+    return outcomes.select("event_id", "outcome", F.from_json("key", "document_id string, target_lang string").alias("k")).select("event_id", "k.document_id", "k.target_lang", "outcome")
+
+
+def jobs_to_start(events: DataFrame, translations: DataFrame, seconds: int = fv.TRANSLATION_JOB_SECONDS) -> DataFrame:
+    """``event_id, document_id, target_lang, source_lang, source_hash`` of the requests
+    that call a provider: none of the pair is under way, a source exists and no ready
+    translation was made from it. ``translations``: ``document_id, lang, title,
+    content, status, source_hash``. Texts are hashed before anything is joined."""
+    own = ids.translation_source_hash(F.col("lang"), F.col("title"), F.col("content"))
+    hashes = translations.select("document_id", "lang", own.alias("own_hash"))
+    started = in_flight(events, seconds).filter("outcome = 'started'").select("event_id", "document_id", "target_lang")
+    sources = best_source_translation(hashes, started.select("document_id", "target_lang").distinct())
+    jobs = sources.select("document_id", "target_lang", F.col("lang").alias("source_lang"), F.col("own_hash").alias("source_hash"))
+    ready = already_ready(jobs, translations).select("document_id", "target_lang")
+    return started.join(jobs.join(ready, ["document_id", "target_lang"], "left_anti"), ["document_id", "target_lang"])
+
+
 def translate_pending(pending: DataFrame, translations: DataFrame, translator: Translator, as_of: Column) -> DataFrame:
     """The background job: pending (document, target) pairs to translation rows.
 

@@ -460,6 +460,22 @@ ORACLE: dict[str, str] = {
     "best_source_translation": f"""with {_CATALOG},{_TRANSLATIONS} select document_id, 'en' as target_lang, lang, title from tr
         where lang <> 'en' and document_id in (select id from cat)
         qualify row_number() over (partition by document_id order by lang = 'fr' desc, lang) = 1""",
+    "pending_translations": f"""with recursive {_TRANSLATIONS},
+        st as (select document_id, lang, sha256(lang || '|' || title || '|' || content_normalized) as own, status = 'ready' as is_ready from tr),
+        ev as (select event_id, 'orders:' || user_id as document_id, case event_type when 'view' then 'en' when 'signup' then 'fr' when 'error' then 'it' else 'de' end as lang,
+          ts as t, event_type = 'purchase' as done from events),
+        l as (select * from (select *, sum(done::int) over (partition by document_id, lang order by t, not done, event_id rows unbounded preceding) as g from ev) where not done),
+        n as materialized (select a.document_id, a.lang, a.g, a.t, b.t as nxt from (select distinct document_id, lang, g, t, t + interval 2 day as open from l) a
+          asof join (select distinct document_id, lang, g, t from l) b on a.document_id = b.document_id and a.lang = b.lang and a.g = b.g and a.open < b.t),
+        chain as (select document_id, lang, g, min(t) as t from l group by all
+          union select n.document_id, n.lang, n.g, n.nxt from chain join n using (document_id, lang, g, t)),
+        started as (select document_id, lang, min(event_id) as event_id from chain join l using (document_id, lang, g, t) group by document_id, lang, g, t),
+        source as (select s.event_id, s.document_id, s.lang as target_lang, st.lang as source_lang, st.own as source_hash
+          from started s join st on st.document_id = s.document_id and st.lang <> s.lang
+          qualify row_number() over (partition by s.event_id, s.document_id, s.lang order by st.lang = 'en' desc, st.lang = 'fr' desc, st.lang) = 1)
+        select * from source where not exists (
+          select 1 from st ready join st en on en.document_id = ready.document_id and en.lang = 'en'
+          where ready.is_ready and ready.document_id = source.document_id and ready.lang = source.target_lang and en.own = source.source_hash)""",
     "metrics_source_pick": f"""with {_TRANSLATIONS} select document_id, lang, cast(strlen(title) as integer) as title_bytes from tr
         qualify row_number() over (partition by document_id order by lang = 'it' desc, lang = 'fr' desc, lang) = 1""",
     "first_seen_sources": f"""with {_CATALOG} select source_uri, id from cat

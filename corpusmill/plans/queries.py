@@ -671,6 +671,26 @@ def best_source_translation(spark, sf):
     return translation.best_source_translation(translations, targets).select("document_id", "target_lang", "lang", "title")
 
 
+@query
+def pending_translations(spark, sf):
+    """Requests that call a provider, from a log of requests and ends of jobs; a
+    job that never ends blocks its pair for two days here."""
+    kind, lang = F.col("event_type"), F.col("lang")
+    target = F.when(kind == "view", "en").when(kind == "signup", "fr").when(kind == "error", "it").otherwise("de")
+    events = table(spark, sf, "events").select(
+        "event_id",
+        F.concat(F.lit("orders:"), F.col("user_id").cast("string")).alias("document_id"),
+        target.alias("target_lang"),
+        F.col("ts").cast("timestamp").alias("asked_at"),
+        (kind == "purchase").alias("is_end"),
+    )
+    stored = views.catalog_translations(spark, sf).select(
+        "document_id", "lang", "title", F.col("content_normalized").alias("content"), F.get_json_object("metadata", "$.translation_status").alias("status")
+    )
+    english = stored.filter(lang == "en").select("document_id", ids.translation_source_hash(lang, F.col("title"), F.col("content")).alias("source_hash"))
+    return translation.jobs_to_start(events, stored.join(english, "document_id", "left"), 2 * 86400)
+
+
 @query
 def metrics_source_pick(spark, sf):
     docs = views.catalog_translations(spark, sf).withColumn("source_path", F.lit(""))

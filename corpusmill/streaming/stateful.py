@@ -120,6 +120,48 @@ def replay_cache_stream(lookups: DataFrame, ttl_seconds: int = fv.EXACT_TTL_SECO
     )
 
 
-def new_jobs(pending: DataFrame) -> DataFrame:
-    """Each (document, target language) request once over the stream's life."""
-    return pending.dropDuplicates(["document_id", "target_lang"])
+class _Job(_Entry):
+    """One pair's job under way: the moment of its deadline, in microseconds."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        ends = self.ends.get()[0] if self.ends.exists() else None
+        before = ends
+        told = pd.concat([r[["at", "event_id", "is_end"]] for r in rows])
+        told = told.assign(later=~told["is_end"]).sort_values(["at", "later", "event_id"], kind="stable")
+        outcomes = []
+        for at, is_end in zip(told["at"].tolist(), told["is_end"].tolist()):
+            if is_end:
+                ends = None
+                continue
+            under_way = ends is not None and at <= ends
+            outcomes.append("joined" if under_way else "started")
+            if not under_way:
+                ends = at + self.ttl
+        if ends != before:
+            if before is not None:
+                self.handle.deleteTimer(_after(before))
+            if ends is None:
+                self.ends.clear()
+            else:
+                self.ends.update((ends,))
+                self.handle.registerTimer(_after(ends))
+        yield pd.DataFrame({"event_id": told["event_id"][~told["is_end"]], "document_id": key[0], "target_lang": key[1], "outcome": outcomes})
+
+
+def new_jobs(events: DataFrame, seconds: int = fv.TRANSLATION_JOB_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """The stream form of ``translation.in_flight``: ``event_id, document_id,
+    target_lang, outcome`` of each request.
+
+    State is one number per pair with a job under way. The end of a job frees its
+    pair, and so does the deadline: a timer in event time removes what never
+    finished. What ``replay_cache_stream`` says of late rows, of the rows of a
+    trigger and of the state store holds here too.
+    """
+    timed = events.withWatermark("asked_at", late).select("document_id", "target_lang", "event_id", "is_end", F.unix_micros("asked_at").alias("at"), "asked_at")
+    kind = timed.schema["event_id"].dataType.simpleString()
+    return timed.groupBy("document_id", "target_lang").transformWithStateInPandas(
+        statefulProcessor=_Job(seconds * 1_000_000),
+        outputStructType=f"event_id {kind}, document_id string, target_lang string, outcome string",
+        outputMode="append",
+        timeMode="eventTime",
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from corpusmill import schemas
 from corpusmill.functions import dates
-from corpusmill.operators import usage
+from corpusmill.operators import translation, usage
 from corpusmill.operators.cache_replay import replay_exact
 from corpusmill.plans import catalog, requests
 from corpusmill.streaming import stateful
@@ -204,6 +204,63 @@ def test_stream_cache_forgets_what_expired(spark, rocks, tmp_path):
     assert spark.table("forgets").filter("outcome = 'miss'").count() == 203
 
 
+def job_log(seed):
+    """Requests and ends of jobs in order of time, and how each request goes."""
+    rng = random.Random(seed)
+    start, at, log, until, expected = datetime(2024, 1, 1, tzinfo=UTC), 0, [], {}, {}
+    for i in range(300):
+        at += rng.choice([1, 5, 20, 91])
+        pair, is_end = (f"d{rng.choice([0, 0, 0, 1])}", rng.choice(["en", "de"])), rng.random() < 0.2
+        moment = start + timedelta(seconds=at)
+        log.append((i, *pair, moment, is_end))
+        if is_end:
+            until.pop(pair, None)
+        else:
+            under_way = pair in until and moment <= until[pair]
+            expected[i] = (*pair, "joined" if under_way else "started")
+            until[pair] = until[pair] if under_way else moment + timedelta(seconds=90)
+    return log, expected
+
+
+def outcomes_of(df):
+    return {r.event_id: (r.document_id, r.target_lang, r.outcome) for r in df.collect()}
+
+
+JOB_LOG = "event_id long, document_id string, target_lang string, asked_at timestamp, is_end boolean"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_M8_jobs_under_way_batch_and_stream(spark, rocks, tmp_path, seed):
+    log, expected = job_log(seed)
+    df = spark.createDataFrame(log, JOB_LOG)
+    assert outcomes_of(translation.in_flight(df.repartition(3))) == expected
+    cuts = sorted({0, 300, *random.Random(seed).sample(range(1, 300), 3)})
+    stream = parts(spark, df, f"{tmp_path}/in", [f"event_id >= {a} and event_id < {b}" for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    played(stateful.new_jobs(stream), f"jobs{seed}", f"{tmp_path}/cp")
+    assert outcomes_of(spark.table(f"jobs{seed}")) == expected
+
+
+def test_M8_jobs_of_one_moment_and_none(spark):
+    at = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(3, "d", "en", at, False), (2, "d", "en", at, False), (9, "d", "en", at, True), (4, "d", "en", at + timedelta(seconds=90), False), (5, "d", "en", at + timedelta(seconds=91), False)]
+    df = spark.createDataFrame(rows, JOB_LOG)
+    got = {event: outcome for event, (*_, outcome) in outcomes_of(translation.in_flight(df)).items()}
+    assert got == {2: "started", 3: "joined", 4: "joined", 5: "started"}
+    assert translation.in_flight(df.limit(0)).count() == 0
+
+
+def test_M6_jobs_to_start(spark):
+    at = datetime(2024, 1, 1, tzinfo=UTC)
+    texts = [("a", "fr", "T", "x", "ready", ""), ("b", "en", "T", "x", "ready", ""), ("b", "de", "T", "x", "ready", "old"), ("c", "de", "T", "x", "ready", "")]
+    stored = spark.createDataFrame(texts, "document_id string, lang string, title string, content string, status string, source_hash string")
+    log = [(1, "a", "de", at, False), (2, "a", "de", at, False), (3, "b", "de", at, False), (4, "c", "de", at, False), (5, "gone", "de", at, False)]
+    events = spark.createDataFrame(log, JOB_LOG)
+    started = {r.event_id: r for r in translation.jobs_to_start(events, stored).collect()}
+    assert {event: r.source_lang for event, r in started.items()} == {1: "fr", 3: "en"}
+    renewed = stored.withColumn("source_hash", F.when(F.col("source_hash") == "old", started[3].source_hash).otherwise(""))
+    assert {r.event_id for r in translation.jobs_to_start(events, renewed).collect()} == {1}
+
+
 def test_rate_limit_is_a_token_bucket(spark, tmp_path):
     start = datetime(2024, 1, 1, tzinfo=UTC)
     moments = [0, 0, 0, 0, 0.5, 1.2, 10, 10, 10, 10]
