@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import fixed_values as fv
 from corpusmill.functions import ids
 from corpusmill.functions import text as tx
+from corpusmill.operators.deep_page import Key, deep_page
 from corpusmill.operators.select import page
 
 _TEXT = [
@@ -132,6 +133,16 @@ def events_page(events: DataFrame, wanted: UsageFilter) -> DataFrame:
     return page(events.filter(wanted.event_condition()), [F.desc("created_at"), F.desc("event_id")], limit, offset)
 
 
+#: The order of ``events_page`` as sort keys.
+NEWEST_FIRST: list[Key] = [("created_at", True), ("event_id", True)]
+
+
+def events_deep_page(events: DataFrame, wanted: UsageFilter) -> DataFrame:
+    """``events_page`` for large offsets: only the range of the page is sorted."""
+    limit, offset = wanted.paging()
+    return deep_page(events.filter(wanted.event_condition()), NEWEST_FIRST, limit, offset)
+
+
 def daily_page(daily: DataFrame, wanted: UsageFilter) -> DataFrame:
     """Newest day first; model and provider complete the order."""
     limit, offset = wanted.paging()

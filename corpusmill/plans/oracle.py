@@ -485,6 +485,8 @@ ORACLE: dict[str, str] = {
     "usage_events_page": f"""with {_USAGE} select event_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at, flow, operation, mode, total_tokens
         from u0 where created_at between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-20 12:00:00' and flow = 'rag_index'
         order by u0.created_at desc, event_id desc limit 200 offset 10""",
+    "usage_events_middle": f"""with {_USAGE} select event_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at, flow, total_tokens
+        from u0 order by u0.created_at desc, event_id desc limit 500 offset (select count(*) // 2 from u0)""",
     "usage_daily_page": f"""with {_USAGE} from daily where day between date '2024-01-05' and date '2024-01-20' and flow = 'rag_index'
         order by day desc, flow, operation, mode, model_name, provider_name limit 200 offset 10""",
     "usage_per_document": f"""with {_USAGE} select document_id,

@@ -734,6 +734,14 @@ def usage_events_page(spark, sf):
     return found.select("event_id", dates.utc_text(F.col("created_at")).alias("created_at"), "flow", "operation", "mode", "total_tokens")
 
 
+@query
+def usage_events_middle(spark, sf):
+    """The 500 events after the newer half, whose offset grows with the table."""
+    events = views.usage_events(spark, sf)
+    found = usage.events_deep_page(events, usage.UsageFilter(limit=500, offset=events.count() // 2))
+    return found.select("event_id", dates.utc_text(F.col("created_at")).alias("created_at"), "flow", "total_tokens")
+
+
 @query
 def usage_daily_page(spark, sf):
     return usage.daily_page(usage.daily_usage(views.usage_events(spark, sf)), _USAGE)
