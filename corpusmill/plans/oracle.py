@@ -501,6 +501,7 @@ ORACLE: dict[str, str] = {
         cast(coalesce(sum(total_tokens) filter (operation = 'translation'), 0) as bigint) as llm_total_tokens_sum
         from u0 group by document_id""",
     "usage_daily_stream": f"with {_USAGE} from daily",
+    "usage_daily_once": f"with {_USAGE} from daily",
     "cache_replay": """with recursive l as (select event_id, event_type as key, ts as t from events),
         n as materialized (select a.key, a.t, b.t as nxt from (select distinct key, t, t + interval 6 hour as open from l) a
           asof join (select distinct key, t from l) b on a.key = b.key and a.open < b.t),

@@ -767,6 +767,26 @@ def usage_daily_stream(spark, sf):
     return stream.read_daily(spark, f"{folder}/daily")
 
 
+@query
+def usage_daily_once(spark, sf):
+    """The daily aggregate of a log that delivers each event one to three times,
+    read by a stream that stops half-way and goes on."""
+    from corpusmill.session import work_folder
+    from corpusmill.streaming import usage as stream
+
+    folder, log = work_folder(spark), views.usage_events(spark, sf)
+    times = F.sequence(F.lit(0), F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int"))
+    repeated = log.withColumn("delivery", F.explode(times))
+    for number in range(3):
+        repeated.filter(F.col("delivery") == number).drop("delivery").write.mode("append").parquet(f"{folder}/log")
+        if number == 1:
+            continue  # two deliveries wait when the stream goes on
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/log")
+        daily = stream.daily_stream(source, once_within="366 days")
+        stream.write_updates(daily, f"{folder}/daily", f"{folder}/checkpoint").awaitTermination()
+    return stream.read_daily(spark, f"{folder}/daily")
+
+
 @query
 def cache_replay(spark, sf):
     """Hits and misses of a question log; few keys, so every key is hot."""

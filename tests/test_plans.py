@@ -1,5 +1,6 @@
 """Catalogue queries, request checks, streams and the driver contract."""
 
+import os
 import random
 import re
 from datetime import datetime, timedelta, timezone
@@ -153,6 +154,35 @@ def test_stream_equals_batch_with_late_events(spark, tmp_path):
     assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
+def test_daily_counts_once_through_repeats_and_restarts(spark, tmp_path):
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    raw = spark.range(240).select(
+        F.when(F.col("id") % 40 != 0, F.concat(F.lit("e"), F.col("id"))).alias("event_id"),
+        (F.lit(start) + F.make_dt_interval(mins=F.col("id").cast("int") * 10)).alias("created_at"),
+        *[F.lit(x).alias(n) for n, x in [("flow", "f"), ("operation", "o"), ("provider_name", "p"), ("model_name", "x")]],
+        F.concat(F.lit("m"), F.col("id") % 3).alias("mode"),
+        F.when(F.col("id") % 3 == 0, "error").otherwise("success").alias("status"),
+        *[F.col("id").alias(n) for n in ("input_chars", "output_chars", "input_tokens", "output_tokens", "total_tokens", "duration_ms")],
+    )
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    # Every second batch delivers rows of the one before again; the stream stops after each.
+    for wanted in ["id < 80", "id between 40 and 150", "id between 100 and 160", "id > 120", "id > 200"]:
+        raw.withColumn("id", F.col("input_chars")).filter(wanted).drop("id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        usage_stream.write_updates(usage_stream.daily_stream(stream, once_within="3 days"), out, cp).awaitTermination()
+        assert len([f for f in os.listdir(out) if f.startswith("generation-")]) <= 2
+    got = usage_stream.read_daily(spark, out)
+    # Rows without an id can't be told apart: ids 40, 80, 120, 160, 200, 0 came 2, 1, 2, 2, 1 and 1 times.
+    nameless = raw.filter("event_id is null")
+    again = nameless.filter("input_chars in (40, 120, 160)")
+    expected = usage.daily_usage(raw.unionByName(again))
+    assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    # A generation without its mark is not read, and a repeated batch replaces its own.
+    newest = max(int(f.split("-")[1]) for f in os.listdir(out))
+    os.makedirs(f"{out}/generation-{newest + 1}")
+    assert usage_stream.read_daily(spark, out).count() == expected.count()
+
+
 @pytest.fixture
 def rocks(spark):
     """Streams of this test keep their state in RocksDB."""
