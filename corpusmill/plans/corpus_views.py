@@ -323,3 +323,62 @@ def link_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         every = every.unionByName(more)
     seeds = people.select(F.col("c_custkey").alias("voting_id"), F.lit(0).alias("position"), F.lit("").alias("name"), url("c", "c_custkey").alias("url"))
     return seeds, every
+
+
+# --- JSON files --------------------------------------------------------------
+
+
+def vote_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as normalised votes. Federal ones declare their languages, one of
+    them unknown; the others are discovered from their language maps, one of
+    which is blank for communal ones; those of low priority have no affair."""
+    key, state = _text("o_orderkey"), F.col("o_orderstatus")
+
+    def said(**texts: Column) -> Column:
+        return F.create_map(*[part for code, text in texts.items() for part in (F.lit(code), text)])
+
+    voting = F.struct(
+        F.concat(F.lit("v"), key).alias("external_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.when(state == "F", "CH").when(state == "O", "ZH").otherwise(F.pmod("o_custkey", F.lit(25)).cast("string")).alias("body_key"),
+        said(
+            de=F.concat(F.lit("Vorlage "), key), it=F.when(state == "P", " ").otherwise(F.concat(F.lit("Oggetto "), key))
+        ).alias("title"),
+    )
+    affair = F.struct(
+        F.col("o_orderkey").alias("id"),
+        said(de=F.concat(F.lit("Geschaeft "), key)).alias("title"),
+        said(fr=F.substring("o_orderpriority", 3, 20)).alias("type_name"),
+    )
+    author = F.struct(F.concat(F.lit("Anna Nr"), F.col("o_custkey")).alias("fullname"), F.lit("Urheber").alias("role"))
+    body = F.struct(
+        F.lit("openparldata").alias("source_system"),
+        F.when(state == "F", F.array(F.lit("de"), F.lit("fr"), F.lit("xx"))).alias("available_languages"),
+        F.when(state == "P", "be").alias("canton"),
+        voting.alias("voting"),
+        F.when(F.col("o_orderpriority") != "5-LOW", affair).alias("affair"),
+        F.array(author).alias("initiants"),
+    )
+    path = F.concat(F.lit("votes/"), key, F.lit(".json"))
+    return table(spark, sf, "orders").select(path.alias("source_path"), F.to_json(body.alias("b")).alias("raw"))
+
+
+def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """French documents as dataset listings, the others as plain objects."""
+    docs, key = table(spark, sf, "documents"), _text("doc_id")
+    found = F.struct(
+        F.concat(F.lit("ds-"), key).alias("id"),
+        F.create_map(F.lit("it"), F.concat(F.lit("Dati "), key), F.lit("de"), F.concat(F.lit("Daten "), key)).alias("title"),
+        F.array(F.lit("it"), F.lit("xx"), F.col("lang")).alias("language"),
+        F.struct(F.create_map(F.lit("fr"), F.col("source")).alias("display_name")).alias("organization"),
+        F.lit("cc-by").alias("license_id"),
+        F.concat(F.lit("https://data.example.org/"), key).alias("url"),
+        F.lit("2024-02-03T04:05:06").alias("issued"),
+        F.lit("Anna Meier, Bo Li Ost,Solo").alias("author"),
+        F.lit("a@b.ch").alias("author_email"),
+        F.col("text").alias("notes"),
+    )
+    listing = F.struct(F.struct(F.lit(1).alias("count"), F.array(found).alias("results")).alias("result"))
+    plain = F.struct("text", F.struct(F.lit("x").alias("contact_name"), F.lit(1.5).alias("share")).alias("more"))
+    raw = F.when(F.col("lang") == "fr", F.to_json(listing)).otherwise(F.to_json(plain))
+    return docs.select(F.concat(F.lit("sets/"), key, F.lit(".json")).alias("source_path"), raw.alias("raw"))

@@ -594,3 +594,45 @@ ORACLE["qa_cached_answers"] = f"""with recursive {_ASKED},
     from asks left join walk using (ask) join said on said.question_id = asks.question_id"""
 
 ORACLE["vector_topk_cells"] = ORACLE["vector_topk_batch"]
+
+ORACLE["vote_json_rows"] = f"""with o as (
+      select *, cast(o_orderkey as varchar) as k, o_orderstatus as s, o_orderpriority <> '5-LOW' as has_affair,
+        case o_orderstatus when 'F' then 'CH' when 'O' then 'ZH' else cast(o_custkey % 25 as varchar) end as body from orders),
+    l as (
+      select *, case when s = 'F' then ['de','fr']
+        else list_filter([case when has_affair then 'fr' end, 'de', case when s = 'O' then 'it' end], lambda x: x is not null) end as langs from o),
+    r as (select *, unnest(langs) as lang from l),
+    v as (
+      select *, case lang when 'de' then 'Vorlage ' || k when 'it' then case when s <> 'P' then 'Oggetto ' || k end end as own from r)
+    select 'openparldata:v' || k as document_id, lang,
+      case when has_affair then 'Geschaeft ' || k else coalesce(own, 'Vorlage ' || k) end as title,
+      array_to_string(langs, ',') as languages, 'Anna~Nr' || o_custkey || '~Urheber' as people, 'v' || k as votation_id,
+      case when has_affair then k end as object_id, case when has_affair then o_orderpriority[3:] end as object_type,
+      case s when 'F' then 'federal' when 'O' then 'cantonal' else 'communal' end as level,
+      case s when 'O' then 'ZH' when 'P' then 'BE' end as canton, case when s = 'P' then body end as commune_code,
+      case when o_orderdate > {_AS_OF} then 'upcoming' else 'past' end as status,
+      strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') as vote_date,
+      sha256('{{' || case when has_affair then '"affair":{{"id":' || k || case when lang = 'de' then ',"title":"Geschaeft ' || k || '"' else '' end
+          || case when lang = 'fr' then ',"type_name":"' || o_orderpriority[3:] || '"' else '' end || '}},' else '' end
+        || case when s = 'F' then '"available_languages":["de","fr","xx"],' else '' end
+        || case when s = 'P' then '"canton":"be",' else '' end
+        || '"initiants":[{{"fullname":"Anna Nr' || o_custkey || '","role":"Urheber"}}],"source_system":"openparldata","voting":{{"body_key":"' || body
+        || '","date":"' || strftime(o_orderdate, '%Y-%m-%d') || '","external_id":"v' || k || '"'
+        || coalesce(',"title":"' || own || '"', '') || '}}}}') as content_sha from v"""
+
+_JSON_TEXT = (
+    "replace(replace(replace(cast(to_json(text) as varchar), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), '&', chr(92) || 'u0026')"
+)
+ORACLE["generic_json_rows"] = f"""with d as (
+      select *, lang = 'fr' as listed, cast(doc_id as varchar) as k, {_JSON_TEXT} as j from documents),
+    c as (select *, case when listed then '{{"result":{{"count":1,"results":[{{"author":"Anna Meier, Bo Li Ost,Solo","id":"ds-' || k
+        || '","issued":"2024-02-03T04:05:06","language":["it","xx","fr"],"license_id":"cc-by","notes":' || j
+        || ',"organization":{{"display_name":{{"fr":"' || source || '"}}}},"title":{{"de":"Daten ' || k || '","it":"Dati ' || k
+        || '"}},"url":"https://data.example.org/' || k || '"}}]}}}}' else '{{"more":{{"share":1.5}},"text":' || j || '}}' end as body from d)
+    select case when listed then 'opendata_swiss:ds-' || k else 'json_fixture:sets_' || k || '_json' end as document_id,
+      case when listed then 'opendata_swiss:ds-' || k else 'json_fixture:sets_' || k || '_json' end || ':fr' as translation_id,
+      'fr' as lang, case when listed then 'Daten ' || k else k end as title, case when listed then source else '' end as source_org,
+      case when listed then 'https://data.example.org/' || k else '' end as source_uri, case when listed then 'cc-by' else '' end as license_uri,
+      case when listed then '2024-02-03T04:05:06Z' end as issued, case when listed then 'it,fr' else '' end as languages,
+      case when listed then 'Anna~Meier~source_contributor|Bo~Li Ost~source_contributor' else '' end as people,
+      sha256({_squeeze('body')}) as content_sha from c"""

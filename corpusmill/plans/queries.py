@@ -899,3 +899,47 @@ def metadata_sanitized(spark, sf):
         )
     )
     return people.select("c_custkey", js.remove_sensitive(body).alias("clean"))
+
+
+def _persons(column: str):
+    people = F.transform(F.col(column), lambda p: F.concat_ws("~", p["first_name"], p["last_name"], p["role"]))
+    return F.array_join(people, "|").alias("people")
+
+
+@query
+def vote_json_rows(spark, sf):
+    """Normalised votes: one row per language, its text, filters and people."""
+    from corpusmill.sources.json_docs import json_documents
+
+    rows = json_documents(views.vote_files(spark, sf), views.as_of())
+    filters = ["votation_id", "object_id", "object_type", "level", "canton", "commune_code", "status", "vote_date"]
+    return rows.select(
+        "document_id",
+        "lang",
+        "title",
+        F.array_join("available_languages", ",").alias("languages"),
+        _persons("persons"),
+        *[F.get_json_object("metadata", f"$.{name}").alias(name) for name in filters],
+        _sha("content").alias("content_sha"),
+    )
+
+
+@query
+def generic_json_rows(spark, sf):
+    """Dataset listings and other objects, contact data removed."""
+    from corpusmill.sources.json_docs import json_documents
+
+    rows = json_documents(views.dataset_files(spark, sf), views.as_of())
+    return rows.select(
+        "document_id",
+        "translation_id",
+        "lang",
+        "title",
+        "source_org",
+        "source_uri",
+        "license_uri",
+        dates.utc_text(F.col("issued_at")).alias("issued"),
+        F.array_join("available_languages", ",").alias("languages"),
+        _persons("persons"),
+        _sha("content").alias("content_sha"),
+    )
