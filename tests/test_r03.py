@@ -57,3 +57,25 @@ def test_F8_only_equal_groups_meet(spark):
     cut = search.nearest(items, asked, 5, 2, within="ctx", skip_self=True, broadcast_budget=200, queries_per_block=11, vectors_per_slice=17)
     whole = search.nearest(items, asked, 5, 2, within="ctx", skip_self=True)
     assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole.collect()} and whole.count() == 240
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_F4_F10_each_walk_of_a_text_runs_once(spark):
+    raw = '{"source_system":"openparldata","voting":{"id":"7","title":{"de":"Ja","fr":"Oui <b>"}}}'
+    files = spark.createDataFrame([("votes/7.json", raw), ("sets/1.json", '{"text":"a&b","email":"x"}')], "source_path string, raw string")
+    rows = json_documents(files, dates.moment("2000-01-01T00:00:00Z"))
+    # languages, removal and views of votes; removal of other objects
+    assert plan(rows.select("lang", "content", "source_extra")).count("ArrowEvalPython") <= 4
+    found = {(r.source_path, r.lang): r.content for r in rows.collect()}
+    assert set(found) == {("votes/7.json", "de"), ("votes/7.json", "fr"), ("sets/1.json", "fr")}
+    assert found["sets/1.json", "fr"] == '{"text":"a\\u0026b"}' and "Oui \\u003cb\\u003e" in found["votes/7.json", "fr"]
+
+
+def test_F10_views_over_many_slices_keep_their_rows(spark):
+    rows = [(i, None if i % 50 == 0 else '{"t":{"de":"x%d","fr":"y%d"}}' % (i, i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, raw string").coalesce(1)
+    for r in df.select("i", "raw", js.project_languages(F.col("raw"), F.array(F.lit("fr"), F.lit("it"))).alias("v")).collect():
+        assert r.v == [None, None] if r.raw is None else r.v[0] == '{"t":"y%d"}' % r.i
