@@ -79,3 +79,9 @@ def test_F10_views_over_many_slices_keep_their_rows(spark):
     df = spark.createDataFrame(rows, "i int, raw string").coalesce(1)
     for r in df.select("i", "raw", js.project_languages(F.col("raw"), F.array(F.lit("fr"), F.lit("it"))).alias("v")).collect():
         assert r.v == [None, None] if r.raw is None else r.v[0] == '{"t":"y%d"}' % r.i
+
+
+def test_F12_vectors_over_many_slices_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 97 == 5 else f"t{i}") for i in range(700)], "i int, x string").coalesce(1)
+    both = df.select("x", vectors.hash_embedding_batch(F.col("x"), 4).alias("a"), vectors.hash_embedding(F.col("x"), 4).alias("b")).collect()
+    assert all((r.a is None) if r.x is None else r.a == r.b for r in both) and len(both) == 700
