@@ -15,6 +15,7 @@ from corpusmill.functions import lang as lg
 from corpusmill.functions import text as tx
 from corpusmill.operators.cache_replay import replay_exact
 from corpusmill.operators.select import first_per_key
+from corpusmill.session import cut_lineage
 
 Translate = Callable[[str, str, str, str], str]  # text, source language, target language, what the text is
 
@@ -239,13 +240,15 @@ def jobs_to_start(events: DataFrame, translations: DataFrame, seconds: int = fv.
     """``event_id, document_id, target_lang, source_lang, source_hash`` of the requests
     that call a provider: none of the pair is under way, a source exists and no ready
     translation was made from it. ``translations``: ``document_id, lang, title,
-    content, status, source_hash``. Texts are hashed before anything is joined."""
+    content, status, source_hash``. Those of requested documents are read once, as
+    hashes of their texts."""
     own = ids.translation_source_hash(F.col("lang"), F.col("title"), F.col("content"))
-    hashes = translations.select("document_id", "lang", own.alias("own_hash"))
-    started = in_flight(events, seconds).filter("outcome = 'started'").select("event_id", "document_id", "target_lang")
+    started = cut_lineage(in_flight(events, seconds).filter("outcome = 'started'").select("event_id", "document_id", "target_lang"))
+    requested = translations.join(started.select("document_id").distinct(), "document_id", "left_semi")
+    hashes = cut_lineage(requested.select("document_id", "lang", "status", "source_hash", own.alias("own_hash")))
     sources = best_source_translation(hashes, started.select("document_id", "target_lang").distinct())
     jobs = sources.select("document_id", "target_lang", F.col("lang").alias("source_lang"), F.col("own_hash").alias("source_hash"))
-    ready = already_ready(jobs, translations).select("document_id", "target_lang")
+    ready = already_ready(jobs, hashes).select("document_id", "target_lang")
     return started.join(jobs.join(ready, ["document_id", "target_lang"], "left_anti"), ["document_id", "target_lang"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import dates, ids, urls, vectors
@@ -687,8 +687,9 @@ def pending_translations(spark, sf):
     stored = views.catalog_translations(spark, sf).select(
         "document_id", "lang", "title", F.col("content_normalized").alias("content"), F.get_json_object("metadata", "$.translation_status").alias("status")
     )
-    english = stored.filter(lang == "en").select("document_id", ids.translation_source_hash(lang, F.col("title"), F.col("content")).alias("source_hash"))
-    return translation.jobs_to_start(events, stored.join(english, "document_id", "left"), 2 * 86400)
+    own = ids.translation_source_hash(lang, F.col("title"), F.col("content"))
+    english = F.max(F.when(lang == "en", own)).over(Window.partitionBy("document_id"))  # one row a language
+    return translation.jobs_to_start(events, stored.withColumn("source_hash", english), 2 * 86400)
 
 
 @query

@@ -85,3 +85,14 @@ def test_F12_vectors_over_many_slices_keep_their_rows(spark):
     df = spark.createDataFrame([(i, None if i % 97 == 5 else f"t{i}") for i in range(700)], "i int, x string").coalesce(1)
     both = df.select("x", vectors.hash_embedding_batch(F.col("x"), 4).alias("a"), vectors.hash_embedding(F.col("x"), 4).alias("b")).collect()
     assert all((r.a is None) if r.x is None else r.a == r.b for r in both) and len(both) == 700
+
+
+def test_F9_writes_are_read_once(spark):
+    ask = [(1, "d1", "en", 0, False), (2, "d1", "en", 5, False), (3, "d2", "en", 6, False), (4, None, "en", 7, False)]
+    events = spark.createDataFrame(ask, "event_id long, document_id string, target_lang string, s long, is_end boolean")
+    events = events.withColumn("asked_at", F.timestamp_seconds("s")).drop("s")
+    kinds = "document_id string, lang string, title string, content string, status string, source_hash string"
+    stored = spark.createDataFrame([("d1", "fr", "t", "c", "ready", None), ("d2", "en", "t", "c", "ready", None), ("d3", "fr", "t", "c", "ready", None)], kinds)
+    jobs = translation.jobs_to_start(events, stored, 60)
+    assert [(r.event_id, r.document_id, r.source_lang) for r in jobs.collect()] == [(1, "d1", "fr")]
+    assert "title" not in plan(jobs)
