@@ -18,6 +18,7 @@ from corpusmill.operators.chunking import ChunkPlan, expected_chunks
 from corpusmill.operators.embedding import HashEmbedder
 from corpusmill.plans import catalog
 from corpusmill.plans import corpus_views as views
+from corpusmill.session import cut_lineage
 from corpusmill.sources.html import visible_text
 from corpusmill.sources.tables import table
 
@@ -845,7 +846,8 @@ def crawl_levels(spark, sf):
     from corpusmill.sources.crawl import crawl, from_table
 
     seeds, pages = views.link_pages(spark, sf)
-    return crawl(seeds, from_table(pages)).select("voting_id", "depth", "url", "label")
+    # joined and nested from tables, and looked into on every level
+    return crawl(seeds, from_table(cut_lineage(pages))).select("voting_id", "depth", "url", "label")
 
 
 @query

@@ -96,3 +96,7 @@ def test_F9_writes_are_read_once(spark):
     jobs = translation.jobs_to_start(events, stored, 60)
     assert [(r.event_id, r.document_id, r.source_lang) for r in jobs.collect()] == [(1, "d1", "fr")]
     assert "title" not in plan(jobs)
+
+
+def test_F11_pages_are_built_once(spark):
+    assert "o_orderkey" not in plan(REGISTRY["crawl_levels"](spark, "/root/testdata/sf0.001"))
